@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: ASCII white space; words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +30,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sampled(docs: DataFrame, key: str, lang: str, size: int) -> DataFrame:
+    """About ``size`` labelled rows of each label, those with the smallest hash of the key.
+
+    Only hashes are compared across tasks; a threshold for each label then filters the scan. One number
+    a label comes to the driver.
+    """
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
+    hashes = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("hash"))
+    last = hashes.withColumn("n", rank).where(F.col("n") <= size).groupBy("lang").agg(F.max("hash").alias("last")).collect()
+    within = F.lit(False)
+    for r in last:
+        within = within | ((F.col(lang) == r.lang) & (F.xxhash64(key) <= r["last"]))
+    return docs.where(within)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .common import sampled
 
 #: Documents per language, those with the smallest hash of the key, and bytes of text kept of them.
 SAMPLE = 96
@@ -24,10 +25,9 @@ def fit(docs: DataFrame, train: Column | None = None, key: str = "doc_id", text:
     teach nothing; an empty table gives no dictionary.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if train is None else train))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("k"), "k", F.xxhash64("text"))
-    rows = rows.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    rows = sampled(rows, key, lang, sample).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("n"), F.substring(text, 1, size).alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in rows.select("lang", "n", F.substring("text", 1, size).alias("text")).orderBy("lang", "n").collect():
+    for r in sorted(rows.collect()):
         texts.setdefault(r.lang, []).append(r.text.lower())
     return {x: b"\n".join(t.encode()[: max(200, 4 * size // len(ts))] for t in ts)[-size:] for x, ts in sorted(texts.items())}
 
