@@ -16,6 +16,9 @@ from .common import WORD
 
 GRAM = 3
 WINDOW = 4
+#: Keys in a span; spans up to the second number are sent to every task (64 MB), beyond it they are joined by shuffle.
+SPAN = 512
+BROADCAST_SPANS = 4_000_000
 #: A long holds a hash of 32 bits above 31 bits that fall as the position rises, so the least is the rightmost of equals.
 _LAST = (1 << 31) - 1
 
@@ -59,37 +62,39 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def next_ids(ids: DataFrame, span: int = 4096) -> DataFrame:
-    """(id, next): the next smaller id, after the smallest the largest. Ids are ordered within spans, and the
-    spans' largest ids, of which there are far fewer, among one another."""
-    spans = ids.where("id is not null").distinct().withColumn("span", F.floor(F.col("id") / span))
-    tops = spans.groupBy("span").agg(F.max("id").alias("top"))
-    falling = W.orderBy(F.col("span").desc())
-    below = tops.select("span", F.lead("top").over(falling).alias("below"), F.max("top").over(W.partitionBy()).alias("first"))
-    inner = spans.select("id", "span", F.lead("id").over(W.partitionBy("span").orderBy(F.col("id").desc())).alias("inside"))
-    return inner.join(below, "span").select("id", F.coalesce("inside", "below", "first").alias("next"))
+def _spans(ids: DataFrame, span: int) -> DataFrame:
+    """(top, to): the largest id of each span of ids and the span above, which needs it as its lowest row's
+    next document; the very largest goes to the lowest span. One row a span."""
+    tops = ids.where("id is not null").groupBy(F.floor(F.col("id") / span).alias("span")).agg(F.max("id").alias("top"))
+    above = F.lag("span").over(W.orderBy(F.col("span").desc()))
+    return tops.select("top", F.coalesce(above, F.min("span").over(W.partitionBy())).alias("to"))
 
 
-def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document's.
 
     The edited text has its last third replaced by as much of the start of the next document, in
-    descending order of the key. Returns the key, ``n_chars``, ``edited``, ``fingerprint``,
-    ``edited_fingerprint`` array<long> and ``near_edited``, ``near_next`` double. A null text is empty; a
-    document with a null key has no next one, which counts as empty; of rows that repeat a key the one
-    with the smallest start is the next document. An empty table gives an empty one.
+    descending order of the key. Texts move once, to the span of their key, where the next document is
+    the next row; a span's first row also goes to the span above. Returns the key, ``n_chars``,
+    ``edited``, ``fingerprint``, ``edited_fingerprint`` array<long> and ``near_edited``, ``near_next``
+    double. A null text is empty; rows with a null key follow one another, as do rows that repeat a key,
+    in the order of their texts' hashes. An empty table gives an empty one.
     """
     own = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    thin = own.select("id", F.length("_text").alias("n"))
-    order = next_ids(thin.select("id"))
-    wanted = thin.groupBy("id").agg(F.max("n").alias("n")).join(order, "id").select(F.col("next").alias("id"), F.expr("n div 3").cast("int").alias("need"))
-    following = winnowed(own, "_text", "_fp").withColumn("_next", hashes("_fp")).select("id", "_text", "_next").join(wanted, "id")
-    following = following.select(F.col("id").alias("next"), F.struct(F.expr("left(_text, need)").alias("start"), "_next").alias("s")).groupBy("next").agg(F.min("s").alias("s"))
-    both = own.join(order, "id", "left").join(following, "next", "left").select("id", "_text", F.coalesce("s.start", F.lit("")).alias("_start"), F.coalesce("s._next", F.expr("cast(array() AS array<int>)")).alias("_next"))
+    tops = _spans(own.select("id"), span)
+    few = tops.count() <= BROADCAST_SPANS
+    both = own.join(F.broadcast(tops) if few else tops, F.col("id") == F.col("top"), "left")
+    places = F.array(F.struct(F.floor(F.col("id") / span).alias("span"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("span"), F.lit(True).alias("guest")))
+    both = both.select("id", "_text", F.explode(F.filter(places, lambda p: ~p.guest | p.span.isNotNull())).alias("p")).select("id", "_text", "p.span", "p.guest")
+    # fingerprints are taken behind the shuffle, so that only texts are shuffled
+    both = winnowed(both.repartition("span"), "_text", "fingerprint").withColumn("_a", hashes("fingerprint"))
+    order = W.partitionBy("span").orderBy("guest", F.col("id").desc(), F.xxhash64("_text"))
+    both = both.withColumn("_follows", F.lead(F.struct(F.col("_text").alias("t"), F.col("_a").alias("a"))).over(order)).where("NOT guest")
     third = F.expr("length(_text) div 3").cast("int")
-    both = both.withColumn("edited", F.concat(F.expr("left(_text, cast(length(_text) - length(_text) div 3 AS int))"), F.substring("_start", F.lit(1), third)))
-    both = winnowed(winnowed(both, "_text", "fingerprint"), "edited", "edited_fingerprint")
-    both = both.withColumn("_a", hashes("fingerprint")).withColumn("_b", hashes("edited_fingerprint"))
+    start = F.substring(F.coalesce("_follows.t", F.lit("")), F.lit(1), third)
+    both = both.withColumn("edited", F.concat(F.expr("left(_text, cast(length(_text) - length(_text) div 3 AS int))"), start))
+    both = both.withColumn("_next", F.coalesce("_follows.a", F.expr("cast(array() AS array<int>)")))
+    both = winnowed(both, "edited", "edited_fingerprint").withColumn("_b", hashes("edited_fingerprint"))
     return both.select(F.col("id").alias(key), F.length("_text").cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint", likeness("_a", "_b").alias("near_edited"), likeness("_a", "_next").alias("near_next"))
 
 
