@@ -69,7 +69,9 @@ def quotas(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def slots(q: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """(s, slot, shard, epoch, block): every slot of the mix with its output shard and its source block."""
-    chunks = q.where("slots > 0").select("s", "blocks", "slots", "base", "all_slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk")).repartition("s", "chunk")
+    chunks = q.where("slots > 0").select("s", "blocks", "slots", "base", "all_slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
+    # a few tiny rows that grow by CHUNK: spread over all tasks, and not to be taken for small below
+    chunks = chunks.repartition(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "chunk")
     one = chunks.select("s", "blocks", "base", "all_slots", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")).alias("slot"))
     one = one.withColumn("epoch", F.expr("slot div blocks")).withColumn("block", F.expr("slot % blocks")).withColumn("place", F.col("base") + F.col("slot"))
     one = permuted(one, "block", "blocks", "s", "epoch", seed=seed)
@@ -101,7 +103,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """(row, lo, hi, times): the words of a row that the mix takes and how often."""
         times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"))
-        return self.pieces.join(times, ["s", "block"]).select("row", "lo", "hi", "times")
+        return self.pieces.join(times.hint("merge"), ["s", "block"]).select("row", "lo", "hi", "times")
 
 
 def mixed_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -113,7 +115,7 @@ def mixed_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """
     mix = Mix(docs, key, text, source, **options)
     words = mix.taken().groupBy("row").agg(F.sum(F.expr("(hi - lo) * times")).alias("taken"))
-    return mix.documents.join(words, "row", "left").select(F.col("key").alias(key), "size", F.col("total").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return mix.documents.join(words.hint("merge"), "row", "left").select(F.col("key").alias(key), "size", F.col("total").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -124,10 +126,10 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """
     mix = Mix(docs, key, text, source, **options)
     parts = F.sort_array(F.collect_list(F.struct("lo", "hi", "times")))
-    taken = mix.taken().groupBy("row").agg(parts.alias("_parts")).join(mix.documents.select("row", "key", "hash", "size"), "row")
+    taken = mix.taken().groupBy("row").agg(parts.alias("_parts")).hint("merge").join(mix.documents.select("row", "key", "hash", "size"), "row")
     taken = taken.dropDuplicates(["key", "hash"]).select("key", F.col("hash").alias("_hash"), F.col("size").alias("_size"), "_parts")
     named = docs.withColumn("_hash0", F.xxhash64(text))
-    both = named.join(taken, named[key].eqNullSafe(taken["key"]) & (F.col("_hash0") == F.col("_hash"))).drop("key", "_hash", "_hash0")
+    both = named.join(taken.hint("merge"), named[key].eqNullSafe(taken["key"]) & (F.col("_hash0") == F.col("_hash"))).drop("key", "_hash", "_hash0")
     both = both.withColumn("_copy", F.explode(F.expr("sequence(1L, array_max(transform(_parts, p -> p.times)))")))
     both = both.withColumn("_part", F.expr("filter(_parts, p -> p.times >= _copy)"))
     whole = F.expr("aggregate(_part, 0L, (n, p) -> n + p.hi - p.lo) = _size")
