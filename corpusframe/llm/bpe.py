@@ -15,17 +15,18 @@ missing too. The automaton is therefore stored as three tables, of a size set by
   used it;
 * ``missing``: (owner of the line, token) -> the number of the merge that took the arc away.
 
-Every prefix of a word has one accepted sequence, so a word is encoded from left to right with one
-state for each position; decoding emits the byte labels of the arcs.
+An accepted sequence that ends at a place of a word is the only one that does, so a word is encoded from
+left to right with one state for each place; decoding emits the byte labels of the arcs.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 #: The split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose encoding each Python worker keeps; the memory is emptied when it is full.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Tokens in one Arrow batch that leaves a worker.
 BATCH_TOKENS = 1_000_000
 FOREVER = 1 << 60
@@ -69,12 +70,15 @@ class Automaton:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(number, self.ids[to_bytes(left)], self.ids[to_bytes(right)], self.ids[to_bytes(left + right)])
         self.accepted = {b: t for b, t in self.ids.items() if t in self.lines}
-        self.beginnings = {b[:n] for b in self.accepted for n in range(1, len(b))}
-        self.longest = max(map(len, self.accepted))
+        self.finder = ahocorasick.Automaton()
+        for b, t in self.accepted.items():
+            self.finder.add_word(b.decode("latin-1"), t)
+        self.finder.make_automaton()
+        self.sizes = {t: len(b) for b, t in self.accepted.items()}
         self.split = regex.compile(SPLIT)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
 
     def _gadget(self, number: int, a: int, b: int, c: int) -> None:
         if a not in self.lines or b not in self.lines or c in self.lines or not self._leads(a, b):
@@ -101,28 +105,31 @@ class Automaton:
             known = self.arcs[key] = self._leads(after, token)
         return known
 
-    def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Each reachable position keeps the only token that can end there."""
-        n = len(word)
-        ends: list[int | None] = [None] * (n + 1)
-        accepted, beginnings = self.accepted, self.beginnings
-        for i in range(n):
-            if (before := ends[i]) is None and i:
-                continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = word[i:j]
-                token = accepted.get(piece)
-                if token is not None and (not i or self.leads(before, token)):
-                    ends[j] = token
-                if piece not in beginnings:
-                    break
-        out, i = [], n
+    def encode_word(self, word: bytes) -> bytes:
+        """The one accepted sequence as 32-bit ids. Each place keeps the only token that can end there; the
+        labels that stand in the word come from a trie with failure links, by their ends, the longest first."""
+        if (whole := self.accepted.get(word)) is not None:
+            return array("i", (whole,)).tobytes()
+        arc, leads, sizes = self.arcs.get, self.leads, self.sizes
+        ends = [-1] * (len(word) + 1)
+        for end, token in self.finder.iter(word.decode("latin-1")):
+            end += 1
+            if ends[end] < 0:
+                start = end - sizes[token]
+                if not start:
+                    ends[end] = token
+                elif (before := ends[start]) >= 0:
+                    allowed = arc(before << 32 | token)
+                    if allowed or allowed is None and leads(before, token):
+                        ends[end] = token
+        out, i = [], len(word)
         while i:
-            out.append(ends[i])
-            i -= len(self.labels[ends[i]])
-        return tuple(reversed(out))
+            out.append(token := ends[i])
+            i -= sizes[token]
+        out.reverse()
+        return array("i", out).tobytes()
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
             if len(self.words) >= KEPT_WORDS:
@@ -130,31 +137,31 @@ class Automaton:
             got = self.words[word] = self.encode_word(word.encode())
         return got
 
-    def _spaced(self, part: str) -> tuple[int, ...]:
+    def _spaced(self, part: str) -> bytes:
         """A part of the text together with the one space before it."""
         if len(self.spaced) >= KEPT_WORDS:
             self.spaced.clear()
-        got = self.spaced[part] = tuple(chain.from_iterable(map(self._word, self.split.findall(" " + part))))
+        got = self.spaced[part] = b"".join(map(self._word, self.split.findall(" " + part)))
         return got
 
-    def _plain(self, text: str, lone_space=re.compile(r" \s|\s |^ | $").search) -> Iterator[tuple[int, ...]]:
+    def _plain(self, text: str, lone_space=re.compile(r" \s|\s |^ | $").search) -> bytes:
         """Where every space stands alone between other characters, the pattern always splits before it."""
         if lone_space(text):
-            return map(self._word, self.split.findall(text))
+            return b"".join(map(self._word, self.split.findall(text)))
         first, *rest = text.split(" ")
         known, new = self.spaced.get, self._spaced
-        return chain(map(self._word, self.split.findall(first)), [known(x) or new(x) for x in rest])
+        return b"".join(map(self._word, self.split.findall(first))) + b"".join([known(x) or new(x) for x in rest])
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        out = []
         for part in self.special_split.split(text) if self.special_split and any(s in text for s in self.special) else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array("i", (self.special[part],)).tobytes())
             elif part:
-                out.extend(chain.from_iterable(self._plain(part)))
-        return out
+                out.append(self._plain(part))
+        return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -203,8 +210,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
             ids, decoded, start, size = [], [], 0, 0
             for row, t in enumerate(texts):
                 got = automaton.encode(t.as_py())
-                decoded.append(automaton.decode(got))
-                ids.append(np.array(got, dtype=np.int32))
+                decoded.append(automaton.decode(got.tolist()))
+                ids.append(got)
                 size += len(got)
                 if size >= BATCH_TOKENS or row == batch.num_rows - 1:
                     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
