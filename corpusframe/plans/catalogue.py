@@ -1,6 +1,519 @@
-"""All queries by name with their SQL."""
+"""Queries by name, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .. import sources, streaming
+from ..functions import text as tx
+from ..operators import incremental as inc
+from ..operators import metrics as me
+from ..operators import records as rec
+from ..operators import retrieval as ret
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return sources.table(spark, d, name)
+
+
+def _long(*cs: str) -> list[Column]:
+    return [F.col(c).cast("long").alias(c) for c in cs]
+
+
+# --- retrieval: vectors are the index, every tenth one asks, an equal label is relevant --------------
+
+_SQL_TOP = """WITH q AS (SELECT vec_id AS q, embedding AS v, label AS ql FROM embeddings WHERE vec_id % 10 = 0),
+ s AS (SELECT q, ql, vec_id AS id, label, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings ON vec_id <> q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rk FROM s),
+ hits AS (SELECT * FROM r WHERE rk <= 10)"""
+_SQL_METRICS = (
+    _SQL_TOP
+    + """, n AS (SELECT q, count(*) AS total FROM q JOIN embeddings ON vec_id <> q AND label = ql GROUP BY q),
+ p AS (SELECT q, min(CASE WHEN label = ql AND rk <= {depth} THEN rk END) AS first, count(CASE WHEN label = ql AND rk <= 5 THEN 1 END) AS h,
+   sum(CASE WHEN label = ql AND rk <= 5 THEN 1 / log2(rk + 1.0) ELSE 0 END) AS g FROM hits GROUP BY q),
+ m AS (SELECT n.q, CASE WHEN (n.q / 10)::BIGINT % 2 = 0 THEN 'ar' ELSE 'en' END AS lang, coalesce((first = 1)::INT, 0)::DOUBLE AS hit1, (coalesce(h, 0) > 0)::INT::DOUBLE AS hitk, coalesce(h, 0) / total AS recallk,
+   coalesce(1.0 / first, 0) AS mrr, coalesce(g, 0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 1 + least(total, 5)) t(i)) AS ndcgk FROM n LEFT JOIN p USING (q))"""
+)
+
+
+def _hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    index = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+    return ret.top_k(asked, index, k, skip_self=True)
+
+
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = _t(spark, d, "embeddings").select("vec_id", "label")
+    hits = _hits(spark, d).join(e.select(F.col("vec_id").alias("id"), "label"), "id").join(e.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q")
+    counts = e.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    total = e.where("vec_id % 10 = 0").join(counts, "label").select(F.col("vec_id").alias("q"), "n_relevant")
+    return hits.withColumn("relevant", F.col("label") == F.col("ql")), total
+
+
+def _lang(q: str = "q") -> Column:
+    return F.when(F.expr(f"({q} div 10) % 2 = 0"), "ar").otherwise("en")
+
+
+_MEASURES = ["hit1", "hitk", "recallk", "mrr", "ndcgk"]
+
+
+@query(_SQL_TOP + " SELECT q, id, score, rk FROM hits")
+def knn_topk(spark, d):
+    return _hits(spark, d).select("q", "id", "score", *_long("rk"))
+
+
+def _metrics_sql(depth: int) -> str:
+    means = ", ".join(f"round(avg({m}), 4) AS {m}" for m in _MEASURES)
+    return _SQL_METRICS.replace("{depth}", str(depth)) + f" SELECT coalesce(lang, 'all') AS part, count(*) AS n, {means} FROM m GROUP BY GROUPING SETS ((), (lang))"
+
+
+def _metrics(spark, d, depth):
+    ranked, total = _ranked(spark, d)
+    return me.summary(me.ranking_metrics(ranked, total, 5, depth).withColumn("lang", _lang()), "lang", _MEASURES)
+
+
+@query(_metrics_sql(10))
+def retrieval_metrics(spark, d):
+    return _metrics(spark, d, 10)
+
+
+@query(_metrics_sql(5))
+def retrieval_metrics_top5_depth(spark, d):
+    return _metrics(spark, d, 5)
+
+
+@query(_SQL_TOP + ", b AS (SELECT q, id // 4 AS doc, score, rk, row_number() OVER (PARTITION BY q, id // 4 ORDER BY rk) AS n FROM hits) SELECT q, doc, score, row_number() OVER (PARTITION BY q ORDER BY rk) AS rk FROM b WHERE n = 1")
+def best_chunk_per_doc(spark, d):
+    hits = _hits(spark, d).withColumn("doc", F.expr("id div 4"))
+    return ret.best_per_document(hits).select("q", "doc", "score", *_long("rk"))
+
+
+@query(
+    _SQL_TOP
+    + """, named AS (SELECT q, unnest([q + 1, q + 3]) AS doc, unnest([1, 2]) AS pos FROM q),
+ u AS (SELECT q, doc, TRUE AS by_number, pos FROM named UNION ALL SELECT q, id, FALSE, rk FROM hits h WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.q = h.q AND n.doc = h.id)),
+ o AS (SELECT q, doc, by_number, row_number() OVER (PARTITION BY q ORDER BY by_number DESC, pos) AS rk, sum(by_number::INT) OVER (PARTITION BY q) AS c FROM u)
+ SELECT q, doc, by_number, rk FROM o WHERE rk <= greatest(5, c)"""
+)
+def hybrid_named_first(spark, d):
+    hits = _hits(spark, d).withColumnRenamed("id", "doc")
+    asked = _t(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"))
+    named = asked.select("q", F.posexplode(F.array(F.col("q") + 1, F.col("q") + 3)).alias("pos", "doc")).withColumn("pos", F.col("pos") + 1)
+    return ret.merge_named(named, hits, 5).select("q", "doc", "by_number", *_long("rk"))
+
+
+@query(_SQL_TOP + ", x AS (SELECT q, id, rk, (id * 37) % 11 AS second FROM hits), o AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY second DESC, rk) AS rk FROM x) SELECT q, id, rk FROM o WHERE rk <= 5")
+def rerank_topk(spark, d):
+    return ret.rerank(_hits(spark, d).withColumn("second", F.expr("(id * 37) % 11")), "second", 5).select("q", "id", *_long("rk"))
+
+
+@query(_SQL_TOP + ", t AS (SELECT q // 20 AS pair, (q // 10) % 2 AS l, label AS doc FROM hits WHERE rk = 1), w AS (SELECT pair, max(CASE WHEN l = 0 THEN doc END) AS a, max(CASE WHEN l = 1 THEN doc END) AS e FROM t GROUP BY pair) SELECT round(avg((a = e)::INT), 4) AS rate, count(*) AS n FROM w WHERE a IS NOT NULL AND e IS NOT NULL")
+def pair_agreement(spark, d):
+    ranked, _ = _ranked(spark, d)
+    return me.agreement(ranked.where("rk = 1").select(F.expr("q div 20").alias("pair"), _lang().alias("lang"), F.col("label").alias("doc")))
+
+
+@query(_SQL_TOP + ", t AS (SELECT q % 3 = 0 AS inside, score FROM hits WHERE rk = 1) SELECT round(avg(CASE WHEN inside THEN score END), 4) AS in_scope, round(avg(CASE WHEN NOT inside THEN score END), 4) AS out_scope, round(avg(CASE WHEN inside THEN score END) - avg(CASE WHEN NOT inside THEN score END), 4) AS gap FROM t")
+def scope_gap(spark, d):
+    a, b = (F.avg(F.when(c, F.col("score"))) for c in (F.expr("q % 3 = 0"), F.expr("q % 3 <> 0")))
+    return _hits(spark, d).where("rk = 1").agg(F.round(a, 4).alias("in_scope"), F.round(b, 4).alias("out_scope"), F.round(a - b, 4).alias("gap"))
+
+
+_BUCKET = "CASE WHEN first = 1 THEN '1' WHEN first <= 5 THEN '2-5' WHEN first <= 10 THEN '6-10' ELSE 'miss' END"
+
+
+@query(_SQL_TOP + f", f AS (SELECT q, min(CASE WHEN label = ql THEN rk END) AS first FROM hits GROUP BY q) SELECT {_BUCKET} AS bucket, count(*) AS n FROM f GROUP BY 1")
+def rank_histogram(spark, d):
+    ranked, _ = _ranked(spark, d)
+    return ranked.groupBy("q").agg(F.min(F.when(F.col("relevant"), F.col("rk"))).alias("first")).groupBy(F.expr(_BUCKET).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_SQL_RUNS = _SQL_TOP + ", a AS (SELECT q, min(CASE WHEN label = ql THEN rk END) AS first FROM hits GROUP BY q), o AS (SELECT q, label, ql, row_number() OVER (PARTITION BY q ORDER BY (id * 37) % 11 DESC, rk) AS rk FROM hits), b AS (SELECT q, min(CASE WHEN label = ql THEN rk END) AS first FROM o GROUP BY q)"
+
+
+def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    ranked, _ = _ranked(spark, d)
+    other = ret.rerank(ranked.withColumn("second", F.expr("(id * 37) % 11")), "second", 10)
+    first = lambda x: x.groupBy("q").agg(F.min(F.when(F.col("relevant"), F.col("rk"))).alias("first"))
+    return first(ranked), first(other)
+
+
+@query(_SQL_RUNS + " SELECT count(*) FILTER (coalesce(b.first <= 1, FALSE) AND NOT coalesce(a.first <= 1, FALSE)) AS won1, count(*) FILTER (coalesce(a.first <= 1, FALSE) AND NOT coalesce(b.first <= 1, FALSE)) AS lost1, count(*) FILTER (coalesce(b.first <= 5, FALSE) AND NOT coalesce(a.first <= 5, FALSE)) AS wonk, count(*) FILTER (coalesce(a.first <= 5, FALSE) AND NOT coalesce(b.first <= 5, FALSE)) AS lostk FROM a JOIN b USING (q)")
+def run_won_lost(spark, d):
+    base, run = _runs(spark, d)
+    return me.won_lost(run, base, 5)
+
+
+@query(_SQL_RUNS + " SELECT a.q, count(CASE WHEN b.first <= 5 THEN 1 END) AS n_other FROM a JOIN b USING (q) WHERE coalesce(a.first > 5, TRUE) GROUP BY a.q")
+def baseline_misses_found_by(spark, d):
+    base, run = _runs(spark, d)
+    both = base.where("coalesce(first > 5, true)").select("q").join(run, "q")
+    return both.groupBy("q").agg(F.count(F.when(F.col("first") <= 5, 1)).alias("n_other"))
+
+
+_SQL_BY_BRAND = "SELECT p_brand AS name, row_number() OVER (ORDER BY p_brand) AS grid, round(avg(p_size), 2) AS recall, round(avg(p_retailprice), 2) AS hit1, max(p_size)::DOUBLE AS gap FROM part GROUP BY p_brand"
+
+
+def _brands(spark, d) -> DataFrame:
+    b = _t(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.round(F.avg("p_size"), 2).alias("recall"), F.round(F.avg("p_retailprice"), 2).alias("hit1"), F.max("p_size").cast("double").alias("gap"))
+    return b.withColumn("grid", F.row_number().over(W.orderBy("name")).cast("long"))  # a run grid: one row a brand
+
+
+@query(f"WITH r AS ({_SQL_BY_BRAND}) SELECT * FROM (SELECT 'recall' AS metric, max(recall) AS best FROM r UNION ALL SELECT 'hit1', max(hit1) FROM r UNION ALL SELECT 'gap', max(gap) FROM r)")
+def best_per_metric(spark, d):
+    b = _brands(spark, d)
+    return b.agg(*(F.max(m).alias(m) for m in ("recall", "hit1", "gap"))).unpivot([], ["recall", "hit1", "gap"], "metric", "best")
+
+
+@query(f"WITH r AS ({_SQL_BY_BRAND}), a AS (SELECT * FROM r WHERE recall = (SELECT max(recall) FROM r)), b AS (SELECT * FROM a WHERE hit1 >= (SELECT max(hit1) FROM a) - 1.0 / 58 - 1e-9) SELECT name, recall, hit1, gap, grid FROM b ORDER BY gap DESC, grid LIMIT 1")
+def select_run(spark, d):
+    return me.select_run(_brands(spark, d), 58).select("name", "recall", "hit1", "gap", "grid")
+
+
+@query(_SQL_TOP + ", x AS (SELECT q, score * 10 AS t, ((id * 37) % 11) / 3.0 AS s FROM hits), e AS (SELECT q, exp(t - max(t) OVER (PARTITION BY q)) AS t, exp(s - max(s) OVER (PARTITION BY q)) AS s FROM x), p AS (SELECT q, t / sum(t) OVER (PARTITION BY q) AS t, s / sum(s) OVER (PARTITION BY q) AS s FROM e) SELECT q, round(sum(t * (ln(t) - ln(s))), 6) AS kl FROM p GROUP BY q")
+def softmax_kl(spark, d):
+    rows = _hits(spark, d).select("q", (F.col("score") * 10).alias("t"), (F.expr("(id * 37) % 11") / 3.0).alias("s"))
+    return me.softmax_kl(rows, "q", "t", "s")
+
+
+@query(_SQL_TOP + ", c AS (SELECT q, list(id ORDER BY rk)[1:5] AS c FROM hits GROUP BY q) SELECT q, array_to_string(CASE WHEN list_contains(c, q + 7) THEN c ELSE list_concat(c[1:4], [q + 7]) END, ',') AS cands, list_contains(c, q + 7) AS retrieved FROM c")
+def force_positive(spark, d):
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rk", "id"))), lambda x: x.id)
+    c = _hits(spark, d).where("rk <= 5").groupBy("q").agg(ranked.alias("c")).withColumn("p", F.col("q") + 7)
+    return c.select("q", F.array_join(tx.force_positive("c", "p", 5).cast("array<string>"), ",").alias("cands"), F.array_contains("c", F.col("p")).alias("retrieved"))
+
+
+# --- runs, logs, joins ---------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey AS k, o_orderkey AS latest FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def latest_run_per_name(spark, d):
+    return me.latest(_t(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("latest"))
+
+
+@query("SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'")
+def sql_count_join(spark, d):
+    c = _t(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    return _t(spark, d, "orders").where("o_orderstatus = 'F'").join(c, F.col("o_custkey") == F.col("c_custkey")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id FROM events ORDER BY event_id DESC LIMIT 200")
+def feedback_tail(spark, d):
+    return sources.last_rows(_t(spark, d, "events"), "event_id").select("event_id")
+
+
+@query("SELECT event_type, count(*) AS n, round(avg((value > 50)::INT), 4) AS share FROM events GROUP BY event_type")
+def feedback_stats(spark, d):
+    return streaming.feedback_stats(_t(spark, d, "events"), "event_type", "value > 50")
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, round(avg(value), 4) AS mean, round(max(value), 4) AS most FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return me.percentiles(_t(spark, d, "events"), "event_type", "value")
+
+
+@query("WITH b AS (SELECT max(ts) - INTERVAL 6 HOUR AS t FROM events) SELECT count(*) AS n, round(avg(value), 4) AS mean, round(max(value), 4) AS peak FROM events, b WHERE ts >= t")
+def steady_window_stats(spark, d):
+    e = _t(spark, d, "events")
+    last = e.agg((F.max("ts") - F.expr("INTERVAL 6 HOURS")).alias("t"))
+    return e.join(F.broadcast(last), F.col("ts") >= F.col("t")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("peak"))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling(spark, d):
+    return streaming.rates(_t(spark, d, "events"), "6 hours")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - o * INTERVAL 1 HOUR AS start, event_type, count(*) AS n FROM events, range(0, 6) t(o) GROUP BY 1, 2")
+def sliding(spark, d):
+    return streaming.rates(_t(spark, d, "events"), "6 hours", "1 hour")
+
+
+@query("WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS n FROM s GROUP BY user_id, g")
+def sessions(spark, d):
+    return streaming.sessions(_t(spark, d, "events"), "2 hours")
+
+
+@query("SELECT user_id, event_id, state FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'ok') AS b FROM (SELECT *, CASE WHEN value < 20 THEN 'firing' ELSE 'ok' END AS state FROM events)) WHERE state <> b")
+def alert_transitions(spark, d):
+    return me.alert_transitions(_t(spark, d, "events"), "user_id", "ts", "value", 20).select("user_id", "event_id", "state")
+
+
+@query("SELECT count(*) AS n, count(s) AS judged, round(avg(s), 4) AS mean, count(s) >= 0.8 * count(*) AND coalesce(avg(s) >= 0.75, FALSE) AS passed FROM (SELECT CASE WHEN doc_id % 11 = 0 THEN NULL ELSE quality::DOUBLE END AS s FROM labels)")
+def gate_decision(spark, d):
+    failed = F.when(F.expr("doc_id % 11 = 0"), F.lit(float("nan"))).otherwise(F.col("quality").cast("double"))
+    return me.gate(_t(spark, d, "labels").withColumn("s", failed), "s", 0.75)
+
+
+@query("SELECT w, stop, yes, tty, CASE WHEN w = 0 THEN 'go' WHEN stop THEN 'no' WHEN yes THEN 'go' WHEN NOT tty THEN 'no' ELSE 'ask' END AS go FROM (SELECT n_nationkey % 2 AS w, n_nationkey // 2 % 2 = 1 AS stop, n_nationkey // 4 % 2 = 1 AS yes, n_nationkey // 8 % 2 = 1 AS tty FROM nation WHERE n_nationkey < 16)")
+def gate_precedence(spark, d):
+    bit = lambda i: F.expr(f"n_nationkey div {i} % 2 = 1")
+    rows = _t(spark, d, "nation").where("n_nationkey < 16").select(F.expr("n_nationkey % 2").alias("w"), bit(2).alias("stop"), bit(4).alias("yes"), bit(8).alias("tty"))
+    return rows.withColumn("go", inc.go_ahead("w", "stop", "yes", "tty"))
+
+
+@query("SELECT p_partkey, greatest(1, least(floor((p_retailprice * 10 - 1000) / 2300)::INT, 4, p_size)) AS n FROM part")
+def replica_plan(spark, d):
+    return _t(spark, d, "part").select("p_partkey", inc.replicas(F.col("p_retailprice") * 10, F.lit(1000), F.lit(2300), 4, F.col("p_size")).alias("n"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest, count(*) AS deltas FROM conversations GROUP BY conv_id")
+def stream_replay(spark, d):
+    return streaming.replayed(_t(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", F.md5("text").alias("digest"), "deltas")
+
+
+@query("SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total FROM (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k FROM events) GROUP BY event_type")
+def json_in_text(spark, d):
+    inside = tx.json_inside(F.concat(F.lit("Answer: "), F.col("props"), F.lit(" end")))
+    return _t(spark, d, "events").select("event_type", F.from_json(inside, "k long").k.alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"))
+
+
+# --- text ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ([,.;:!?])', '\\1', 'g')) AS digest FROM documents")
+def doc_normalize(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(tx.clean_en("text")).alias("digest"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, round(length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^\\p{L}]', '', 'g'))), 4) AS upper_share, 'en' AS lang FROM documents")
+def doc_language_share(spark, d):
+    n = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    return _t(spark, d, "documents").select("doc_id", n.cast("long").alias("letters"), F.round(F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), n), 4).alias("upper_share"), tx.question_language("text").alias("lang"))
+
+
+_CITED = "text || ' [Article ' || (conv_id % 7) || '] [Art. ' || (turn % 5) || '] [article ' || (conv_id % 3) || ']'"
+
+
+@query("WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(" + _CITED + ", '(?i)\\[(?:articles?|art\\.?) *([0-9]+)\\]', 1), lambda x: x::INT) AS n FROM conversations), s AS (SELECT conv_id, turn, list_sort(list_distinct(n)) AS n FROM c) SELECT conv_id, turn, array_to_string(n, ',') AS cited, array_to_string(list_filter(n, lambda x: x IN (1, 2, 3)), ',') AS valid, array_to_string(list_filter(n, lambda x: x NOT IN (1, 2, 3)), ',') AS invalid FROM s")
+def citation_check(spark, d):
+    c = _t(spark, d, "conversations").withColumn("n", tx.extract_citations(F.expr(_CITED))).withColumn("ctx", F.array(F.lit(1), F.lit(2), F.lit(3)))
+    joined = lambda x: F.array_join(F.array_sort(x).cast("array<string>"), ",")
+    checked = c.withColumn("r", tx.citation_check("n", "ctx"))
+    return checked.select("conv_id", "turn", joined(F.col("n")).alias("cited"), joined(F.col("r.valid")).alias("valid"), joined(F.col("r.invalid")).alias("invalid"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all('Article ' || (doc_id % 50) || ' and art. ' || n_chars || ' ' || text, '(?i)\\bart(?:icles?|\\.)?\\s*\\(?([0-9]{1,4})', 1), lambda x: x::INT), lambda x: x BETWEEN 10 AND 2000))), ',') AS numbers FROM documents")
+def numbers_in_text(spark, d):
+    q = F.concat(F.lit("Article "), F.expr("doc_id % 50").cast("string"), F.lit(" and art. "), F.col("n_chars").cast("string"), F.lit(" "), F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(tx.numbers_in_question(q, 10, 2000)).cast("array<string>"), ",").alias("numbers"))
+
+
+@query("SELECT c_custkey, 'Part ' || r_regionkey || ' ' || r_name || ' > Book ' || n_nationkey || ' ' || n_name || ' > ' || c_mktsegment AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def heading_path(spark, d):
+    t = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t.select("c_custkey", tx.heading_path([("Part", "r_regionkey", "r_name"), ("Book", "n_nationkey", "n_name"), ("", "c_custkey", "c_mktsegment")]).alias("path"))
+
+
+@query("WITH t AS (SELECT r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT 'r_name' AS level, count(DISTINCT r_name) AS n FROM t UNION ALL SELECT 'n_name', count(DISTINCT (r_name, n_name)) FROM t UNION ALL SELECT 'c_mktsegment', count(DISTINCT (r_name, n_name, c_mktsegment)) FROM t")
+def hierarchy_cardinality(spark, d):
+    t = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rec.cardinalities(t, ["r_name", "n_name", "c_mktsegment"])
+
+
+@query("""WITH l AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_linenumber = 1 THEN l_partkey END AS a, CASE WHEN l_linenumber = 3 THEN l_partkey END AS b FROM (SELECT l_suppkey, l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)),
+ f AS (SELECT doc, pos, max(CASE WHEN a IS NOT NULL THEN pos END) OVER w AS pa, max(CASE WHEN b IS NOT NULL THEN pos END) OVER w AS pb, last_value(a IGNORE NULLS) OVER w AS va, last_value(b IGNORE NULLS) OVER w AS vb FROM l WINDOW w AS (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING))
+ SELECT doc, pos, va AS a, CASE WHEN pb > coalesce(pa, -1) THEN vb END AS b FROM f""")
+def hierarchy_fill_reset(spark, d):
+    at = lambda n: F.when(F.col("l_linenumber") == n, F.col("l_partkey"))
+    lines = _t(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    rows = lines.select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), at(1).alias("a"), at(3).alias("b"))
+    return rec.filled(rows, "doc", "pos", ["a", "b"])
+
+
+# --- data quality ----------------------------------------------------------------------------------------
+
+
+@query("WITH m AS (SELECT n FROM (SELECT unnest(range(0, max(doc_id) + 1)) AS n FROM documents) WHERE n NOT IN (SELECT doc_id FROM documents WHERE md5(doc_id::VARCHAR) > '2')), i AS (SELECT n, n - row_number() OVER (ORDER BY n) AS g FROM m) SELECT min(n) AS first, max(n) AS last FROM i GROUP BY g")
+def dq_numbering(spark, d):
+    docs = _t(spark, d, "documents")
+    last = docs.agg(F.max("doc_id")).collect()[0][0]
+    return rec.numbering_gaps(docs.where(F.md5(F.col("doc_id").cast("string")) > "2").select(F.col("doc_id").alias("n")), 0, last)
+
+
+def _records(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("article_number"), F.when(F.expr("doc_id % 9 <> 0"), F.col("text")).otherwise("").alias("text_en"), F.lit("").alias("text_ar"), F.expr("doc_id % 50 = 0").alias("is_repealed"))
+
+
+_RULES = {"min_chars": 60, "max_chars": 6000, "ratio": (0.35, 1.6)}
+_SQL_ISSUES = """WITH r AS (SELECT doc_id AS k, CASE WHEN doc_id % 9 <> 0 THEN text ELSE '' END AS t, doc_id % 50 = 0 AS rep FROM documents),
+ i AS (SELECT k, 'warning' AS level, 'REPEALED_HAS_TEXT' AS code FROM r WHERE rep AND t <> '' UNION ALL SELECT k, 'warning', 'EMPTY_TEXT_EN' FROM r WHERE NOT rep AND t = '' UNION ALL SELECT k, 'warning', 'EMPTY_TEXT_AR' FROM r WHERE NOT rep
+ UNION ALL SELECT k, 'warning', 'CUT_OFF_EN' FROM r WHERE NOT rep AND regexp_matches(t, '[,،]\\s*$') UNION ALL SELECT k, 'info', 'NO_FINAL_PERIOD_EN' FROM r WHERE NOT rep AND t <> '' AND NOT regexp_matches(t, '[.:؟?!]\\s*$')
+ UNION ALL SELECT k, 'warning', 'TOO_SHORT_EN' FROM r WHERE NOT rep AND t <> '' AND length(t) < 60 UNION ALL SELECT k, 'warning', 'TOO_LONG_EN' FROM r WHERE NOT rep AND length(t) > 6000
+ UNION ALL SELECT k, 'warning', 'ARTIFACT_BRACKETS_EN' FROM r WHERE NOT rep AND regexp_matches(t, '\\(\\s*\\(|\\)\\s*\\)') UNION ALL SELECT k, 'info', 'PARENS_UNBALANCED_EN' FROM r WHERE NOT rep AND length(replace(t, '(', '')) <> length(replace(t, ')', '')))"""
+
+
+@query(_SQL_ISSUES + " SELECT k AS article_number, level, code FROM i")
+def dq_record_rules(spark, d):
+    return rec.issues(_records(spark, d), "article_number", rec.record_rules(_RULES)).select("article_number", "level", "code")
+
+
+@query(_SQL_ISSUES + ", n AS (SELECT *, row_number() OVER (PARTITION BY level, code ORDER BY k) AS n FROM i) SELECT level, code, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (n <= 3) AS examples FROM n GROUP BY level, code")
+def dq_issue_summary(spark, d):
+    return rec.issue_summary(rec.issues(_records(spark, d), "article_number", rec.record_rules(_RULES)), "article_number")
+
+
+@query("SELECT l_orderkey AS id, list_sort(list(l_linenumber)) = range(1, count(*) + 1) AS ok FROM lineitem WHERE l_quantity > 5 GROUP BY l_orderkey")
+def dq_list_sequence(spark, d):
+    rows = _t(spark, d, "lineitem").where("l_quantity > 5").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("s"))
+    return rows.select("id", tx.in_sequence("s").alias("ok"))
+
+
+@query("SELECT p_partkey, 'p_name' AS \"column\" FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'p_size' FROM part WHERE p_partkey % 15 = 0")
+def golden_diff(spark, d):
+    p = _t(spark, d, "part")
+    moved = p.withColumn("p_name", F.when(F.expr("p_partkey % 10 = 0"), F.concat("p_name", F.lit("x"))).otherwise(F.concat(F.lit(" "), "p_name"))).withColumn("p_size", F.expr("p_size + if(p_partkey % 15 = 0, 1, 0)"))
+    return rec.golden_diff(p, moved, "p_partkey", ["p_name", "p_brand", "p_size"])
+
+
+@query("WITH e AS (SELECT o_orderkey AS n FROM orders WHERE o_orderkey % 3 <> 0), a AS (SELECT DISTINCT l_orderkey AS n FROM lineitem WHERE l_orderkey % 4 <> 0), t AS (SELECT c_custkey AS n FROM customer) SELECT n, CASE WHEN e.n IS NOT NULL THEN 'en' WHEN a.n IS NOT NULL THEN 'ar' ELSE 'note' END AS source, t.n IS NOT NULL AS is_repealed FROM e FULL JOIN a USING (n) FULL JOIN t USING (n)")
+def full_outer_assemble(spark, d):
+    en = _t(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("n"), F.col("o_orderstatus").alias("text"))
+    ar = _t(spark, d, "lineitem").where("l_orderkey % 4 <> 0").select(F.col("l_orderkey").alias("n")).distinct().withColumn("text", F.lit("x"))
+    return rec.assembled(en, ar, _t(spark, d, "customer").select(F.col("c_custkey").alias("n"), F.col("c_name").alias("text"))).select("n", "source", "is_repealed")
+
+
+@query("SELECT l_orderkey AS k, array_to_string(list_sort(list(DISTINCT month(l_shipdate))), ',') AS pages, count(DISTINCT month(l_shipdate)) - 1 AS breaks FROM lineitem GROUP BY l_orderkey")
+def page_spans(spark, d):
+    s = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set(F.month("l_shipdate"))).alias("p"))
+    return s.select("k", F.array_join(F.col("p").cast("array<string>"), ",").alias("pages"), (F.size("p") - 1).cast("long").alias("breaks"))
+
+
+@query("SELECT a.s_suppkey AS a, b.c_custkey AS b FROM supplier a JOIN customer b ON a.s_nationkey = b.c_nationkey AND b.c_acctbal BETWEEN a.s_acctbal - 40 AND a.s_acctbal + 40")
+def band_join_y(spark, d):
+    s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    c = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).where("c_acctbal BETWEEN s_acctbal - 40 AND s_acctbal + 40").select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
+
+
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS page, l_linenumber AS k, l_quantity AS x, l_discount * 100 AS y FROM l), c AS (SELECT l_orderkey AS page, l_linenumber AS cell, l_quantity - 5 AS x0, l_quantity + 5 AS x1, 0.0 AS y0, 6.0 AS y1 FROM l) SELECT g.page, g.k, min(cell) AS cell FROM g LEFT JOIN c ON g.page = c.page AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY g.page, g.k")
+def first_claim(spark, d):
+    li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"), F.min("l_discount").alias("l_discount"))
+    glyphs = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    cells = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("cell"), (F.col("l_quantity") - 5).alias("x0"), (F.col("l_quantity") + 5).alias("x1"), F.lit(0.0).alias("y0"), F.lit(6.0).alias("y1"))
+    return rec.claimed(glyphs, cells).select("page", "k", "cell")
+
+
+# --- chunks and maintenance ------------------------------------------------------------------------------
+
+_SQL_WINDOWS = """WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS t FROM documents), n AS (SELECT *, len(t) AS n FROM t),
+ s AS (SELECT doc_id, text, t, n, unnest(CASE WHEN n <= 40 THEN [0] ELSE list_filter(range(0, n + 1, 35), lambda s: s = 0 OR s + 5 < n) END) AS s FROM n)
+ SELECT doc_id, s // 35 AS w, least(40, n - s) AS n_tokens, md5(CASE WHEN n <= 40 THEN text ELSE array_to_string(t[s + 1:s + 40], ' ') END) AS digest FROM s"""
+
+
+@query(_SQL_WINDOWS)
+def chunk_windows(spark, d):
+    w = rec.windows(_t(spark, d, "documents"), "doc_id", "text", 40, 5)
+    return w.select("doc_id", *_long("w", "n_tokens"), F.md5("chunk").alias("digest"))
+
+
+def _articles(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("article_number"), F.col("source").alias("header"), F.col("text").alias("text_en"), F.col("lang").alias("text_ar"), F.expr("doc_id % 50 = 0").alias("is_repealed"))
+
+
+@query("SELECT 'art-' || lpad(doc_id::VARCHAR, 4, '0') AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents WHERE doc_id < 10000")
+def chunk_whole(spark, d):
+    return rec.chunked(_articles(spark, d).where("article_number < 10000"), "article").select("id", F.md5("text").alias("digest"))
+
+
+@query("SELECT 'art-' || lpad(doc_id::VARCHAR, 4, '0') AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents WHERE doc_id % 50 = 0 AND doc_id < 10000 UNION ALL SELECT 'art-' || lpad(doc_id::VARCHAR, 4, '0') || s, md5(source || chr(10) || CASE WHEN s = '-ar' THEN lang ELSE text END) FROM documents, (VALUES ('-ar'), ('-en')) v(s) WHERE doc_id % 50 <> 0 AND doc_id < 10000")
+def chunk_per_lang(spark, d):
+    return rec.chunked(_articles(spark, d).where("article_number < 10000"), "per_language").select("id", F.md5("text").alias("digest"))
+
+
+@query("SELECT sum(n)::BIGINT AS total, median(n) AS middle, max(n) AS most, count(CASE WHEN n > 1000 THEN 1 END) AS too_long FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM documents)")
+def token_stats(spark, d):
+    n = _t(spark, d, "documents").select(F.size(tx.tokens("text")).cast("long").alias("n"))
+    return n.agg(F.sum("n").alias("total"), F.median("n").alias("middle"), F.max("n").alias("most"), F.count(F.when(F.col("n") > 1000, 1)).alias("too_long"))
+
+
+def _old(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").where("doc_id % 3 <> 0").withColumn("text", F.when(F.expr("doc_id % 5 = 0"), F.concat("text", F.lit("x"))).otherwise(F.col("text"))).select("doc_id", "text")
+
+
+@query("SELECT CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS n FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1")
+def change_classify(spark, d):
+    new = _t(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", "text")
+    return inc.classified(_old(spark, d), new, "doc_id", "text").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 7 <> 0 THEN text WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS digest FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 <> 0")
+def merge_upsert(spark, d):
+    new = _t(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", "text")
+    return inc.merged(_old(spark, d), new, "doc_id").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+def heldout_anti(spark, d):
+    evaluation = _t(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return inc.held_out(_t(spark, d, "documents"), evaluation, "doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || substr(md5('7-' || doc_id), 1, 8))::UBIGINT / 4294967296.0 < 0.1 THEN 'val' ELSE 'train' END AS split FROM documents")
+def train_val_split(spark, d):
+    return inc.split(_t(spark, d, "documents"), "doc_id", 0.1, 7).select("doc_id", "split")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('3-' || doc_id), doc_id LIMIT 50")
+def seeded_sample(spark, d):
+    return inc.sample(_t(spark, d, "documents").select("doc_id"), "doc_id", 50, 3)
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', doc_id::VARCHAR, source, text)), 'license')")
+def search_substring(spark, d):
+    return _t(spark, d, "documents").where(F.lower(F.concat_ws(" ", F.col("doc_id").cast("string"), "source", "text")).contains("license")).select("doc_id")
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<a ')) AS links FROM pages")
+def page_extract(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("(?i)<a ")).cast("long").alias("links"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT item_id) AS ids, count(DISTINCT text) AS texts, min(length(text)) AS shortest FROM benchmark")
+def eval_set_checks(spark, d):
+    return _t(spark, d, "benchmark").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("ids"), F.count_distinct("text").alias("texts"), F.min(F.length("text")).cast("long").alias("shortest"))
+
+
+@query("SELECT n_nationkey || '-name' AS id, n_name AS value FROM nation UNION ALL SELECT n_nationkey || '-region', n_regionkey::VARCHAR FROM nation")
+def unpivot_topics(spark, d):
+    n = _t(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))
+    return n.unpivot(["n_nationkey"], ["name", "region"], "part", "value").select(F.concat_ws("-", F.col("n_nationkey").cast("string"), "part").alias("id"), "value")
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) AS indexed, (SELECT count(*) FROM documents) AS records, (SELECT count(*) FROM embeddings) <> (SELECT count(*) FROM documents) AS stale, (SELECT count(*) FROM embeddings) >= (SELECT count(*) FROM documents) AS usable")
+def index_status(spark, d):
+    return inc.status(_t(spark, d, "embeddings"), _t(spark, d, "documents"))
+
+
+@query("SELECT c_custkey, CASE r WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 9 WHEN 3 THEN 14 ELSE 40 END AS n FROM (SELECT c_custkey, c_nationkey % 5 AS r FROM customer)")
+def roman_numbers(spark, d):
+    names = F.element_at(F.array(*map(F.lit, ["I", "IV", "IX", "XIV", "XL"])), F.expr("c_nationkey % 5 + 1"))
+    return _t(spark, d, "customer").select("c_custkey", tx.roman_to_int(names).alias("n"))
+
+
+@query("SELECT n_nationkey, regexp_replace(regexp_replace(regexp_replace(lower(n_name || ' /Qwen_3 v1.0 '), '^.*/', ''), '[^a-z0-9._-]', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS slug FROM nation")
+def collection_slug(spark, d):
+    return _t(spark, d, "nation").select("n_nationkey", tx.slug(F.concat("n_name", F.lit(" /Qwen_3 v1.0 "))).alias("slug"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def content_hash(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
