@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 #: The split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose encoding each Python worker keeps; the memory is emptied when it is full.
@@ -77,8 +79,8 @@ class Automaton:
         self.sizes = {t: len(b) for b, t in self.accepted.items()}
         self.split = regex.compile(SPLIT)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = keep({})
+        self.spaced: dict[str, bytes] = keep({})
 
     def _gadget(self, number: int, a: int, b: int, c: int) -> None:
         if a not in self.lines or b not in self.lines or c in self.lines or not self._leads(a, b):

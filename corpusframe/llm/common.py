@@ -14,6 +14,22 @@ SPACE = r"[\x20\x09-\x0D]"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: What operators keep in a Python worker between tasks; workers are shared by all stages of an executor.
+_kept: list[dict] = []
+
+
+def keep(cache: dict) -> dict:
+    """Name a cache that other operators may empty when they start on the same worker."""
+    _kept.append(cache)
+    return cache
+
+
+def forget() -> None:
+    """Empty what other operators keep in this worker, so that memories do not add up over stages."""
+    for cache in _kept:
+        cache.clear()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 

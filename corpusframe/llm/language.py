@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import forget, sampled
 
 #: Documents per language, those with the smallest hash of the key, and bytes of text kept of them.
 SAMPLE = 96
@@ -63,6 +63,7 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded: DICTIONARY_BYTES for each label
 
     def run(batches):
+        forget()
         classifier = Classifier(shared.value)
         for batch in batches:
             got = [classifier.predict(t.as_py()) for t in batch.column(at)]

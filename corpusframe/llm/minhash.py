@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, forget
 
 SHINGLE = 5
 PERCENT = 85
@@ -84,6 +84,7 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
+    forget()
     for batch in batches:
         sets, sizes, keys = [], [], []
         for t in batch.column(1):
@@ -101,6 +102,7 @@ def _signed(batches):
 
 
 def _sets(batches):
+    forget()
     for batch in batches:
         hashes = [shingle_hashes(t.as_py()).view(np.int64) for t in batch.column(1)]
         offsets = np.zeros(len(hashes) + 1, np.int32)
