@@ -509,9 +509,9 @@ def roman_numbers(spark, d):
     return _t(spark, d, "customer").select("c_custkey", tx.roman_to_int(names).alias("n"))
 
 
-@query("SELECT n_nationkey, regexp_replace(regexp_replace(regexp_replace(lower(n_name || ' /Qwen_3 v1.0 '), '^.*/', ''), '[^a-z0-9._-]', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS slug FROM nation")
+@query("SELECT n_nationkey, regexp_replace(regexp_replace(regexp_replace(lower(n_name || ' /Model_3 v1.0 '), '^.*/', ''), '[^a-z0-9._-]', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS slug FROM nation")
 def collection_slug(spark, d):
-    return _t(spark, d, "nation").select("n_nationkey", tx.slug(F.concat("n_name", F.lit(" /Qwen_3 v1.0 "))).alias("slug"))
+    return _t(spark, d, "nation").select("n_nationkey", tx.slug(F.concat("n_name", F.lit(" /Model_3 v1.0 "))).alias("slug"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
