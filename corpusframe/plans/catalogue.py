@@ -263,10 +263,10 @@ def gate_decision(spark, d):
     return me.gate(_t(spark, d, "labels").withColumn("s", failed), "s", 0.75)
 
 
-@query("SELECT w, stop, yes, tty, CASE WHEN w = 0 THEN 'go' WHEN stop THEN 'no' WHEN yes THEN 'go' WHEN NOT tty THEN 'no' ELSE 'ask' END AS go FROM (SELECT n_nationkey % 2 AS w, n_nationkey // 2 % 2 = 1 AS stop, n_nationkey // 4 % 2 = 1 AS yes, n_nationkey // 8 % 2 = 1 AS tty FROM nation WHERE n_nationkey < 16)")
+@query("SELECT w, stop, yes, tty, CASE WHEN w = 0 THEN 'go' WHEN stop THEN 'no' WHEN yes THEN 'go' WHEN NOT tty THEN 'no' ELSE 'ask' END AS go FROM (SELECT n_nationkey % 2 AS w, n_nationkey // 2 % 2 = 1 AS stop, n_nationkey // 4 % 2 = 1 AS yes, n_nationkey // 8 % 2 = 1 AS tty FROM nation)")
 def gate_precedence(spark, d):
     bit = lambda i: F.expr(f"n_nationkey div {i} % 2 = 1")
-    rows = _t(spark, d, "nation").where("n_nationkey < 16").select(F.expr("n_nationkey % 2").alias("w"), bit(2).alias("stop"), bit(4).alias("yes"), bit(8).alias("tty"))
+    rows = _t(spark, d, "nation").select(F.expr("n_nationkey % 2").alias("w"), bit(2).alias("stop"), bit(4).alias("yes"), bit(8).alias("tty"))
     return rows.withColumn("go", inc.go_ahead("w", "stop", "yes", "tty"))
 
 
@@ -349,26 +349,76 @@ def dq_numbering(spark, d):
     return rec.numbering_gaps(docs.where(F.md5(F.col("doc_id").cast("string")) > "2").select(F.col("doc_id").alias("n")), 0, last)
 
 
+#: Records of documents: the other language is the whole text letter for letter, backwards in every seventh.
+_LATIN, _OTHER = "abcdefghijklmnopqrstuvwxyz0123456789,", "ابتثجحخدذرزسشصضطظعغفقكلمنه٠١٢٣٤٥٦٧٨٩،"
+
+
 def _records(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("article_number"), F.when(F.expr("doc_id % 9 <> 0"), F.col("text")).otherwise("").alias("text_en"), F.lit("").alias("text_ar"), F.expr("doc_id % 50 = 0").alias("is_repealed"))
+    text = F.coalesce("text", F.lit(""))
+    other = F.translate(F.lower(F.when(F.expr("doc_id % 7 = 3"), F.reverse(text)).otherwise(text)), _LATIN, _OTHER)
+    level = lambda i: F.when(F.expr(f"doc_id % {i + 2} <> 0"), F.col("doc_id")).alias(f"{rec.NUMBERED_LEVELS[i]}_number")
+    title = lambda i: F.when(F.expr(f"doc_id % {i + 11} <> 0"), F.col("source")).alias(f"{rec.NUMBERED_LEVELS[i]}_title_en")
+    return _t(spark, d, "documents").select(
+        F.col("doc_id").alias("article_number"),
+        F.expr("if(doc_id % 13 = 0, null, doc_id + if(doc_id % 17 = 0, 1, 0))").alias("ar_number"),
+        F.when(F.expr("doc_id % 9 <> 0"), text).otherwise("").alias("text_en"),
+        F.when(F.expr("doc_id % 8 <> 0"), other).otherwise("").alias("text_ar"),
+        F.expr("doc_id % 50 = 0").alias("is_repealed"),
+        F.expr("if(doc_id % 100 = 0, 'note', null)").alias("repeal_note"),
+        F.expr("if(doc_id % 5 = 0, array(1, 2), array(1))").alias("source_pages"),
+        *(f(i) for i in range(5) for f in (level, title)),
+    )
 
 
 _RULES = {"min_chars": 60, "max_chars": 6000, "ratio": (0.35, 1.6)}
-_SQL_ISSUES = """WITH r AS (SELECT doc_id AS k, CASE WHEN doc_id % 9 <> 0 THEN text ELSE '' END AS t, doc_id % 50 = 0 AS rep FROM documents),
- i AS (SELECT k, 'warning' AS level, 'REPEALED_HAS_TEXT' AS code FROM r WHERE rep AND t <> '' UNION ALL SELECT k, 'warning', 'EMPTY_TEXT_EN' FROM r WHERE NOT rep AND t = '' UNION ALL SELECT k, 'warning', 'EMPTY_TEXT_AR' FROM r WHERE NOT rep
- UNION ALL SELECT k, 'warning', 'CUT_OFF_EN' FROM r WHERE NOT rep AND regexp_matches(t, '[,،]\\s*$') UNION ALL SELECT k, 'info', 'NO_FINAL_PERIOD_EN' FROM r WHERE NOT rep AND t <> '' AND NOT regexp_matches(t, '[.:؟?!]\\s*$')
- UNION ALL SELECT k, 'warning', 'TOO_SHORT_EN' FROM r WHERE NOT rep AND t <> '' AND length(t) < 60 UNION ALL SELECT k, 'warning', 'TOO_LONG_EN' FROM r WHERE NOT rep AND length(t) > 6000
- UNION ALL SELECT k, 'warning', 'ARTIFACT_BRACKETS_EN' FROM r WHERE NOT rep AND regexp_matches(t, '\\(\\s*\\(|\\)\\s*\\)') UNION ALL SELECT k, 'info', 'PARENS_UNBALANCED_EN' FROM r WHERE NOT rep AND length(replace(t, '(', '')) <> length(replace(t, ')', '')))"""
+
+
+def _sql_issues() -> str:
+    mark = lambda c, p, digits=False: f"regexp_extract_all({c}, '(?m){p}', 1)"
+    western = lambda c: f"translate({c}, '٠١٢٣٤٥٦٧٨٩', '0123456789')"
+    numbers = lambda c: f"list_distinct(list_transform(regexp_extract_all({c}, '[0-9]+'), lambda x: ltrim(x, '0')))"
+    unordered = lambda x: f"len({x}) > 0 AND {x} <> list_transform(range(1, len({x}) + 1), lambda i: i::VARCHAR)"
+    quoted = lambda p: p.replace("'", "''")
+    rules = {
+        "EMPTY_TEXT_EN": "en = ''", "EMPTY_TEXT_AR": "ar = ''", "AR_NUMBER_MISSING": "arn IS NULL", "AR_NUMBER_MISMATCH": "arn <> k",
+        "CUT_OFF_EN": "open_en AND (pages > 1 OR right(en, 1) IN (',', '-'))", "CUT_OFF_AR": "open_ar AND (pages > 1 OR right(ar, 1) IN ('،', ',', '-'))",
+        "NO_FINAL_PERIOD_EN": "open_en AND NOT (pages > 1 OR right(en, 1) IN (',', '-'))", "NO_FINAL_PERIOD_AR": "open_ar AND NOT (pages > 1 OR right(ar, 1) IN ('،', ',', '-'))",
+        "TOO_SHORT": "en <> '' AND ar <> '' AND least(length(ar), length(en)) < 60", "TOO_LONG": "length(ar) + length(en) > 6000",
+        "LENGTH_RATIO": "en <> '' AND ar <> '' AND (length(ar) / length(en) < 0.35 OR length(ar) / length(en) > 1.6)",
+        "PARAGRAPH_SEQUENCE": unordered("paras"), "LIST_SEQUENCE_AR": unordered("la"), "LIST_SEQUENCE_EN": unordered("le"),
+        "LIST_COUNT_MISMATCH": "na > 0 AND ne > 0 AND na <> ne", "LIST_FORMAT_DIFFERS": "(na = 0 OR ne = 0) AND na <> ne",
+        "NUMBER_REVERSED": "len(list_filter(numbers_ar, lambda x: len(x) > 1 AND NOT list_contains(numbers_en, x) AND ltrim(reverse(x), '0') <> x AND list_contains(numbers_en, ltrim(reverse(x), '0')))) > 0",
+        "ARTIFACT_PRESENTATION_FORMS": f"regexp_matches(ar, '{rec.PRESENTATION_FORMS}')", "ARTIFACT_PRIVATE_GLYPH": f"regexp_matches(ar || en, '{rec.PRIVATE_USE}')",
+        "ARTIFACT_LIGATURE": f"regexp_matches(ar, '{rec.LIGATURE_BUG}')", "ARTIFACT_BRACKETS": f"regexp_matches(ar, '{rec.STRAY_BRACKETS}')",
+        "LATIN_IN_ARABIC": "regexp_matches(ar, '[A-Za-z]')", "ARABIC_IN_ENGLISH": "regexp_matches(en, '[ء-ي]')",
+        "PARENS_UNBALANCED_EN": "length(replace(en, '(', '')) <> length(replace(en, ')', ''))", "NO_HIERARCHY": "k % 5 = 0 AND k % 4 = 0",
+    }
+    infos = ("NO_FINAL_PERIOD_EN", "NO_FINAL_PERIOD_AR", "LIST_FORMAT_DIFFERS", "PARENS_UNBALANCED_EN")
+    parts = [f"SELECT k, '{'info' if code in infos else 'warning'}' AS level, '{code}' AS code FROM p WHERE NOT rep AND {test}" for code, test in rules.items()]
+    parts += [f"SELECT k, 'warning', 'HEADING_NO_TITLE' FROM p WHERE NOT rep AND k % {i + 2} <> 0 AND (k % {i + 11} = 0 OR source IS NULL OR source = '')" for i in range(5)]
+    parts += ["SELECT k, 'warning', 'REPEALED_HAS_TEXT' FROM p WHERE rep AND (en <> '' OR ar <> '')", "SELECT k, 'warning', 'REPEALED_NO_NOTE' FROM p WHERE rep AND k % 100 <> 0"]
+    letters = f"list_transform({mark('ar', rec.AR_LETTER)}, lambda x: instr('{rec.ABJAD}', x)::VARCHAR)"
+    return f"""WITH t AS (SELECT doc_id AS k, source, coalesce(text, '') AS text FROM documents),
+ r AS (SELECT k, source, CASE WHEN k % 9 <> 0 THEN text ELSE '' END AS en, CASE WHEN k % 8 <> 0 THEN translate(lower(CASE WHEN k % 7 = 3 THEN reverse(text) ELSE text END), '{_LATIN}', '{_OTHER}') ELSE '' END AS ar,
+  k % 50 = 0 AS rep, CASE WHEN k % 13 <> 0 THEN k + (k % 17 = 0)::INT END AS arn, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS pages FROM t),
+ p AS (SELECT *, en <> '' AND NOT regexp_matches(en, '{quoted(rec.TERMINAL["en"])}') AS open_en, ar <> '' AND NOT regexp_matches(ar, '{rec.TERMINAL["ar"]}') AS open_ar,
+  list_transform({mark("ar", rec.AR_PARAGRAPH)}, lambda x: ltrim({western("x")}, '0')) AS paras, {letters} AS la, list_transform({mark("en", rec.EN_LETTER)}, lambda x: (ascii(x) - 96)::VARCHAR) AS le,
+  len({mark("ar", rec.AR_LETTER)}) + len({mark("ar", rec.AR_ITEM)}) AS na, len({mark("en", rec.EN_LETTER)}) + len({mark("en", rec.EN_ITEM)}) AS ne, {numbers("en")} AS numbers_en,
+  {numbers(western(f"regexp_replace(translate(ar, '0123456789', '          '), '(?m){rec.AR_PARAGRAPH}', '', 'g')"))} AS numbers_ar FROM r),
+ i AS ({" UNION ALL ".join(parts)})"""
+
+
+_SQL_ISSUES = _sql_issues()
 
 
 @query(_SQL_ISSUES + " SELECT k AS article_number, level, code FROM i")
 def dq_record_rules(spark, d):
-    return rec.issues(_records(spark, d), "article_number", rec.record_rules(_RULES)).select("article_number", "level", "code")
+    return rec.issues(rec.with_marks(_records(spark, d)), "article_number", rec.record_rules(_RULES)).select("article_number", "level", "code")
 
 
 @query(_SQL_ISSUES + ", n AS (SELECT *, row_number() OVER (PARTITION BY level, code ORDER BY k) AS n FROM i) SELECT level, code, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (n <= 3) AS examples FROM n GROUP BY level, code")
 def dq_issue_summary(spark, d):
-    return rec.issue_summary(rec.issues(_records(spark, d), "article_number", rec.record_rules(_RULES)), "article_number")
+    return rec.issue_summary(rec.issues(rec.with_marks(_records(spark, d)), "article_number", rec.record_rules(_RULES)), "article_number")
 
 
 @query("SELECT l_orderkey AS id, list_sort(list(l_linenumber)) = range(1, count(*) + 1) AS ok FROM lineitem WHERE l_quantity > 5 GROUP BY l_orderkey")
@@ -429,14 +479,14 @@ def _articles(spark, d) -> DataFrame:
     return _t(spark, d, "documents").select(F.col("doc_id").alias("article_number"), F.col("source").alias("header"), F.col("text").alias("text_en"), F.col("lang").alias("text_ar"), F.expr("doc_id % 50 = 0").alias("is_repealed"))
 
 
-@query("SELECT 'art-' || lpad(doc_id::VARCHAR, 4, '0') AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents WHERE doc_id < 10000")
+@query("SELECT printf('art-%04d', doc_id) AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents")
 def chunk_whole(spark, d):
-    return rec.chunked(_articles(spark, d).where("article_number < 10000"), "article").select("id", F.md5("text").alias("digest"))
+    return rec.chunked(_articles(spark, d), "article").select("id", F.md5("text").alias("digest"))
 
 
-@query("SELECT 'art-' || lpad(doc_id::VARCHAR, 4, '0') AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents WHERE doc_id % 50 = 0 AND doc_id < 10000 UNION ALL SELECT 'art-' || lpad(doc_id::VARCHAR, 4, '0') || s, md5(source || chr(10) || CASE WHEN s = '-ar' THEN lang ELSE text END) FROM documents, (VALUES ('-ar'), ('-en')) v(s) WHERE doc_id % 50 <> 0 AND doc_id < 10000")
+@query("SELECT printf('art-%04d', doc_id) AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT printf('art-%04d', doc_id) || s, md5(source || chr(10) || CASE WHEN s = '-ar' THEN lang ELSE text END) FROM documents, (VALUES ('-ar'), ('-en')) v(s) WHERE doc_id % 50 <> 0")
 def chunk_per_lang(spark, d):
-    return rec.chunked(_articles(spark, d).where("article_number < 10000"), "per_language").select("id", F.md5("text").alias("digest"))
+    return rec.chunked(_articles(spark, d), "per_language").select("id", F.md5("text").alias("digest"))
 
 
 @query("SELECT sum(n)::BIGINT AS total, median(n) AS middle, max(n) AS most, count(CASE WHEN n > 1000 THEN 1 END) AS too_long FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM documents)")
