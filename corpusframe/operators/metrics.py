@@ -94,3 +94,21 @@ def softmax_kl(df: DataFrame, group: str, teacher: str, student: str) -> DataFra
     df = df.withColumn(f"_{teacher}", F.max(teacher).over(by)).withColumn(f"_{student}", F.max(student).over(by))
     df = df.withColumn("_t", soft(teacher)).withColumn("_s", soft(student))
     return df.groupBy(group).agg(F.round(F.sum(F.col("_t") * (F.ln("_t") - F.ln("_s"))), 6).alias("kl"))
+
+
+def yes_no_score(tokens: DataFrame, group: str, floor: float = -20.0) -> DataFrame:
+    """Log-odds of yes against no from captured tokens (group, token, logprob): of equal tokens, but for case and
+    space around them, the likeliest counts; a missing one has the floor (NUM-08, MIS-10)."""
+    best = lambda word: F.coalesce(F.max(F.when(F.lower(F.trim("token")) == word, F.col("logprob"))), F.lit(floor))
+    return tokens.groupBy(group).agg((best("yes") - best("no")).alias("score"))
+
+
+def worked_example(ranks: DataFrame, key: str, rank: str, k: int = 5) -> DataFrame:
+    """The question to show in a report: found second, else third, and so on to the k-th (MIS-08)."""
+    return ranks.where(F.col(rank).between(2, k)).orderBy(rank, key).limit(1)
+
+
+def warm_latency(calls: DataFrame, series: list[str], order: list[str], by: str, value: str, warmup: int) -> DataFrame:
+    """Mean of the calls after each series' first ones (MIS-11)."""
+    seq = F.row_number().over(W.partitionBy(*series).orderBy(*order))
+    return calls.withColumn("_seq", seq).where(F.col("_seq") > warmup).groupBy(by).agg(F.round(F.avg(value), 4).alias("mean"), F.count("*").alias("n"))

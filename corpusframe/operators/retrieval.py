@@ -136,3 +136,11 @@ def scored_pairs(df: DataFrame, query: str, text: str, out: str, scorer: Callabl
 def judged_once(df: DataFrame, keys: list[str], out: str, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """An expensive judgement once for each distinct input, joined back (STF-09)."""
     return df.join(judge(df.select(keys).distinct()).select(*keys, out), keys, "left")
+
+
+def prompts(hits: DataFrame) -> DataFrame:
+    """The context of each question: its hits (q, rk, doc, text, is_repealed) in their order, each under its
+    number, repealed ones marked (STR-26). A question has as many hits as its top k."""
+    head = F.concat(F.lit("[Article "), F.col("doc").cast("string"), F.lit("]"), F.when(F.col("is_repealed"), " (REPEALED)").otherwise(""))
+    part = F.struct("rk", F.concat_ws("\n", head, F.nullif("text", F.lit(""))).alias("part"))
+    return hits.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.part), "\n\n").alias("context"))

@@ -37,9 +37,9 @@ def _long(*cs: str) -> list[Column]:
     return [F.col(c).cast("long").alias(c) for c in cs]
 
 
-# --- retrieval: vectors are the index, every tenth one asks, an equal label is relevant --------------
+# --- retrieval: vectors are the index, every one whose id 50 divides asks, an equal label is relevant --------------
 
-_SQL_TOP = """WITH q AS (SELECT vec_id AS q, embedding AS v, label AS ql FROM embeddings WHERE vec_id % 10 = 0),
+_SQL_TOP = """WITH q AS (SELECT vec_id AS q, embedding AS v, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
  s AS (SELECT q, ql, vec_id AS id, label, round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings ON vec_id <> q),
  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rk FROM s),
  hits AS (SELECT * FROM r WHERE rk <= 10)"""
@@ -48,7 +48,7 @@ _SQL_METRICS = (
     + """, n AS (SELECT q, count(*) AS total FROM q JOIN embeddings ON vec_id <> q AND label = ql GROUP BY q),
  p AS (SELECT q, min(CASE WHEN label = ql AND rk <= {depth} THEN rk END) AS first, count(CASE WHEN label = ql AND rk <= 5 THEN 1 END) AS h,
    sum(CASE WHEN label = ql AND rk <= 5 THEN 1 / log2(rk + 1.0) ELSE 0 END) AS g FROM hits GROUP BY q),
- m AS (SELECT n.q, CASE WHEN (n.q / 10)::BIGINT % 2 = 0 THEN 'ar' ELSE 'en' END AS lang, coalesce((first = 1)::INT, 0)::DOUBLE AS hit1, (coalesce(h, 0) > 0)::INT::DOUBLE AS hitk, coalesce(h, 0) / total AS recallk,
+ m AS (SELECT n.q, CASE WHEN (n.q / 50)::BIGINT % 2 = 0 THEN 'ar' ELSE 'en' END AS lang, coalesce((first = 1)::INT, 0)::DOUBLE AS hit1, (coalesce(h, 0) > 0)::INT::DOUBLE AS hitk, coalesce(h, 0) / total AS recallk,
    coalesce(1.0 / first, 0) AS mrr, coalesce(g, 0) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 1 + least(total, 5)) t(i)) AS ndcgk FROM n LEFT JOIN p USING (q))"""
 )
 
@@ -56,7 +56,7 @@ _SQL_METRICS = (
 def _hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     e = _t(spark, d, "embeddings")
     index = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("vector"))
     return ret.top_k(asked, index, k, skip_self=True)
 
 
@@ -64,12 +64,12 @@ def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = _t(spark, d, "embeddings").select("vec_id", "label")
     hits = _hits(spark, d).join(e.select(F.col("vec_id").alias("id"), "label"), "id").join(e.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q")
     counts = e.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
-    total = e.where("vec_id % 10 = 0").join(counts, "label").select(F.col("vec_id").alias("q"), "n_relevant")
+    total = e.where("vec_id % 50 = 0").join(counts, "label").select(F.col("vec_id").alias("q"), "n_relevant")
     return hits.withColumn("relevant", F.col("label") == F.col("ql")), total
 
 
 def _lang(q: str = "q") -> Column:
-    return F.when(F.expr(f"({q} div 10) % 2 = 0"), "ar").otherwise("en")
+    return F.when(F.expr(f"({q} div 50) % 2 = 0"), "ar").otherwise("en")
 
 
 _MEASURES = ["hit1", "hitk", "recallk", "mrr", "ndcgk"]
@@ -115,7 +115,7 @@ def best_chunk_per_doc(spark, d):
 )
 def hybrid_named_first(spark, d):
     hits = _hits(spark, d).withColumnRenamed("id", "doc")
-    asked = _t(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"))
+    asked = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"))
     named = asked.select("q", F.posexplode(F.array(F.col("q") + 1, F.col("q") + 3)).alias("pos", "doc")).withColumn("pos", F.col("pos") + 1)
     return ret.merge_named(named, hits, 5).select("q", "doc", "by_number", *_long("rk"))
 
@@ -125,10 +125,10 @@ def rerank_topk(spark, d):
     return ret.rerank(_hits(spark, d).withColumn("second", F.expr("(id * 37) % 11")), "second", 5).select("q", "id", *_long("rk"))
 
 
-@query(_SQL_TOP + ", t AS (SELECT q // 20 AS pair, (q // 10) % 2 AS l, label AS doc FROM hits WHERE rk = 1), w AS (SELECT pair, max(CASE WHEN l = 0 THEN doc END) AS a, max(CASE WHEN l = 1 THEN doc END) AS e FROM t GROUP BY pair) SELECT round(avg((a = e)::INT), 4) AS rate, count(*) AS n FROM w WHERE a IS NOT NULL AND e IS NOT NULL")
+@query(_SQL_TOP + ", t AS (SELECT q // 100 AS pair, (q // 50) % 2 AS l, label AS doc FROM hits WHERE rk = 1), w AS (SELECT pair, max(CASE WHEN l = 0 THEN doc END) AS a, max(CASE WHEN l = 1 THEN doc END) AS e FROM t GROUP BY pair) SELECT round(avg((a = e)::INT), 4) AS rate, count(*) AS n FROM w WHERE a IS NOT NULL AND e IS NOT NULL")
 def pair_agreement(spark, d):
     ranked, _ = _ranked(spark, d)
-    return me.agreement(ranked.where("rk = 1").select(F.expr("q div 20").alias("pair"), _lang().alias("lang"), F.col("label").alias("doc")))
+    return me.agreement(ranked.where("rk = 1").select(F.expr("q div 100").alias("pair"), _lang().alias("lang"), F.col("label").alias("doc")))
 
 
 @query(_SQL_TOP + ", t AS (SELECT q % 3 = 0 AS inside, score FROM hits WHERE rk = 1) SELECT round(avg(CASE WHEN inside THEN score END), 4) AS in_scope, round(avg(CASE WHEN NOT inside THEN score END), 4) AS out_scope, round(avg(CASE WHEN inside THEN score END) - avg(CASE WHEN NOT inside THEN score END), 4) AS gap FROM t")
@@ -567,3 +567,53 @@ def collection_slug(spark, d):
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
 def content_hash(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+# --- prompts, checks of markers, reports -----------------------------------------------------------------
+
+
+@query(_SQL_TOP + " SELECT q, md5(string_agg('[Article ' || id || ']' || CASE WHEN id % 10 = 0 THEN ' (REPEALED)' ELSE '' END || chr(10) || label, chr(10) || chr(10) ORDER BY rk)) AS digest FROM hits WHERE rk <= 5 GROUP BY q")
+def prompt_assembly(spark, d):
+    ranked, _ = _ranked(spark, d)
+    texts = ranked.where("rk <= 5").select("q", "rk", F.col("id").alias("doc"), F.col("label").cast("string").alias("text"), F.expr("id % 10 = 0").alias("is_repealed"))
+    return ret.prompts(texts).select("q", F.md5("context").alias("digest"))
+
+
+@query("WITH t AS (SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'yes' ELSE 'no' END AS token, -turn / 4.0 - length(text) % 5 AS lp FROM conversations) SELECT conv_id, round(coalesce(max(CASE WHEN token = 'yes' THEN lp END), -20) - coalesce(max(CASE WHEN token = 'no' THEN lp END), -20), 4) AS score FROM t GROUP BY conv_id")
+def yes_no_score(spark, d):
+    said = F.when(F.expr("turn % 2 = 0"), " Yes").otherwise("NO ")
+    rows = _t(spark, d, "conversations").select("conv_id", said.alias("token"), F.expr("-turn / 4.0D - length(text) % 5").alias("logprob"))
+    return me.yes_no_score(rows, "conv_id").select("conv_id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT a.l_orderkey AS n, a.p AS en_at, b.p AS ar_at FROM (SELECT l_orderkey, min(l_suppkey) AS p FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY 1) b USING (l_orderkey) WHERE a.p <> b.p")
+def marker_crosscheck(spark, d):
+    at = lambda c: _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("n")).agg(F.min(c).alias("at"))
+    return rec.row_mismatches(at("l_suppkey"), at("l_partkey"))
+
+
+@query("WITH f AS (SELECT l_suppkey, min(CASE WHEN l_returnflag = 'R' THEN l_orderkey * 10 + l_linenumber END) AS first FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey AS doc, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem JOIN f USING (l_suppkey) WHERE l_orderkey * 10 + l_linenumber >= f.first GROUP BY 1")
+def preamble_skipped(spark, d):
+    rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "R", 1).alias("row"))
+    return rec.without_preamble(rows).groupBy("doc").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+
+
+@query(_SQL_RUNS + " SELECT q, first FROM a WHERE first BETWEEN 2 AND 5 ORDER BY first, q LIMIT 1")
+def worked_example(spark, d):
+    base, _ = _runs(spark, d)
+    return me.worked_example(base, "q", "first").select("q", "first")
+
+
+@query("SELECT lang, count(*) AS n, count(CASE WHEN n_chars > 500 THEN 1 END) AS reasoning, count(DISTINCT source) AS topics FROM documents GROUP BY lang")
+def question_mix(spark, d):
+    return _t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(F.col("n_chars") > 500, 1)).alias("reasoning"), F.count_distinct("source").alias("topics"))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS seq FROM events) WHERE seq > 3 GROUP BY event_type")
+def warm_latency(spark, d):
+    return me.warm_latency(_t(spark, d, "events"), ["event_type", "user_id"], ["ts", "event_id"], "event_type", "value", 3)
+
+
+@query("SELECT count(*) AS articles, count(CASE WHEN doc_id % 50 <> 0 THEN 1 END) AS live, count(CASE WHEN doc_id % 50 = 0 THEN 1 END) AS repealed, count(CASE WHEN doc_id % 9 = 0 OR coalesce(text, '') = '' THEN 1 END) AS without_en FROM documents")
+def corpus_report(spark, d):
+    return rec.corpus_counts(_records(spark, d)).select("articles", "live", "repealed", "without_en")
