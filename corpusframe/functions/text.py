@@ -195,3 +195,32 @@ def force_positive(candidates, positive, k: int) -> Column:
     """The positive is among k candidates, at the end if it was missing (ARR-05)."""
     c = _col(candidates)
     return F.when(F.array_contains(c, _col(positive)), c).otherwise(F.concat(F.slice(c, 1, k - 1), F.array(_col(positive))))
+
+
+#: Words that name heading levels and ordinals.
+PART_ORDINALS = {"FIRST": 1, "SECOND": 2, "THIRD": 3, "FOURTH": 4}
+ORDINAL_PREFIXES = {"أولا": 1, "ثانيا": 2, "ثالثا": 3, "رابعا": 4, "خامسا": 5, "سادسا": 6}
+DIACRITICS = r"[\x{064B}-\x{0652}\x{0670}]"
+
+
+def heading_keyword(c) -> Column:
+    """(level, number, rest) of a line that opens a part, book, chapter or section, else null (STR-12)."""
+    c = _col(c)
+    part = rf"(?i)^({'|'.join(PART_ORDINALS)})\s+PART\b\.?\s*(.*)$"
+    ordinal = F.element_at(F.create_map(*(F.lit(x) for pair in PART_ORDINALS.items() for x in pair)), F.upper(F.regexp_extract(c, part, 1)))
+    found = F.when(c.rlike(part), F.struct(F.lit("part").alias("level"), ordinal.alias("number"), F.regexp_extract(c, part, 2).alias("rest")))
+    for level in ("book", "chapter", "section"):
+        pattern = rf"(?i)^{level}\s+([IVXL]+)\b\.?\s*(.*)$"
+        number = roman_to_int(F.upper(F.regexp_extract(c, pattern, 1))).cast("int")
+        found = found.when(c.rlike(pattern), F.struct(F.lit(level).alias("level"), number.alias("number"), F.regexp_extract(c, pattern, 2).alias("rest")))
+    return found
+
+
+def ar_number(c) -> Column:
+    """(number, title) of an Arabic heading that a number or an ordinal word opens; number null where neither
+    does (STR-11). Diacritics do not count."""
+    plain = F.regexp_replace(_col(c), DIACRITICS, "")
+    digits, words = r"^([٠-٩0-9]+)\s*[-–.]\s*(.+)$", rf"^({'|'.join(ORDINAL_PREFIXES)})\s*[:：]?\s*-?\s*(.+)$"
+    ordinal = F.element_at(F.create_map(*(F.lit(x) for pair in ORDINAL_PREFIXES.items() for x in pair)), F.regexp_extract(plain, words, 1))
+    made = lambda number, title: F.struct(number.cast("int").alias("number"), title.alias("title"))
+    return F.when(plain.rlike(digits), made(fold_digits(F.regexp_extract(plain, digits, 1)), F.regexp_extract(plain, digits, 2))).when(plain.rlike(words), made(ordinal, F.regexp_extract(plain, words, 2))).otherwise(made(F.lit(None), plain))

@@ -617,3 +617,11 @@ def warm_latency(spark, d):
 @query("SELECT count(*) AS articles, count(CASE WHEN doc_id % 50 <> 0 THEN 1 END) AS live, count(CASE WHEN doc_id % 50 = 0 THEN 1 END) AS repealed, count(CASE WHEN doc_id % 9 = 0 OR coalesce(text, '') = '' THEN 1 END) AS without_en FROM documents")
 def corpus_report(spark, d):
     return rec.corpus_counts(_records(spark, d)).select("articles", "live", "repealed", "without_en")
+
+
+_HEADING = "CASE n_nationkey % 5 WHEN 0 THEN 'Second Part. ' || n_name WHEN 1 THEN 'BOOK XIV ' || n_name WHEN 2 THEN 'Chapter IX' WHEN 3 THEN 'SECTION XL. ' || n_name ELSE 'Books of ' || n_name END"
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'part' WHEN 1 THEN 'book' WHEN 2 THEN 'chapter' WHEN 3 THEN 'section' END AS level, CASE n_nationkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 14 WHEN 2 THEN 9 WHEN 3 THEN 40 END AS number, CASE n_nationkey % 5 WHEN 2 THEN '' WHEN 4 THEN NULL ELSE n_name END AS rest FROM nation")
+def heading_keywords(spark, d):
+    return _t(spark, d, "nation").select("n_nationkey", tx.heading_keyword(F.expr(_HEADING)).alias("h")).select("n_nationkey", "h.level", "h.number", "h.rest")
