@@ -2,16 +2,18 @@
 
 A gear hash rolls over the UTF-8 bytes; a chunk ends where it falls under a threshold, so chunks depend on
 the last 16 bytes alone and find each other again behind insertions. Chunks with equal digests in
-different documents are repeats; runs of repeated chunks long enough to be no chance are passages.
+different documents are candidates; spans of neighbouring candidates that are just long enough to be no
+chance are compared as wholes, so that a passage is one that some other document holds in one piece.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: Mean and largest bytes of a chunk, and the least bytes of a repeated passage.
 MEAN = 24
@@ -91,26 +93,105 @@ def _rows(mean: int):
     return run
 
 
+def _spans(passage: int):
+    """Of repeated chunks, sorted by document and place: from each chunk on, and up to each chunk, the
+    shortest span of neighbouring chunks with ``passage`` bytes. Any longer piece is a union of such spans."""
+
+    def emit(ids: np.ndarray, digests: np.ndarray, at: np.ndarray, sizes: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+        n, ends = len(ids), np.cumsum(sizes)
+        starts = ends - sizes
+        last = np.minimum(np.searchsorted(ends, starts + passage), n - 1)  # the chunk that completes the span from each chunk on
+        first = np.maximum(np.searchsorted(starts, ends - passage, "right") - 1, 0)  # and the one that a span up to each starts with
+        i = np.flatnonzero((runs[last] == runs) & (ends[last] - starts >= passage))
+        j = np.flatnonzero((runs[first] == runs) & (ends - starts[first] >= passage))
+        both = np.unique(np.concatenate((i * n + last[i], first[j] * n + j)))
+        x, y = both // n, both % n
+        key = np.zeros(len(both), np.uint64)
+        for k in range(int((y - x).max()) + 1 if len(both) else 0):
+            new = (key ^ digests[np.minimum(x + k, n - 1)].view(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+            key = np.where(x + k <= y, new ^ (new >> np.uint64(31)), key)
+        nth = np.arange(n) - np.searchsorted(runs, runs)
+        columns = [ids[x], key.view(np.int64), at[x], ends[y] - starts[x], nth[x], y - x + 1]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "span", "start", "size", "nth", "chunks"])
+
+    def run(batches):
+        left = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            rows = [np.concatenate((x, c.to_numpy(zero_copy_only=False))) for x, c in zip(left, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            fresh = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in rows], axis=0)))
+            ids, digests, at, sizes = rows = [c[fresh] for c in rows]
+            runs = np.concatenate(([0], np.cumsum((ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + sizes[:-1]))))
+            open_at = int(np.searchsorted(runs, runs[-1]))  # the last run may go on
+            if open_at:
+                yield emit(*(c[:open_at] for c in (*rows, runs)))
+            left = [c[open_at:] for c in rows]
+        if len(left[0]):
+            yield emit(*left, np.zeros(len(left[0]), np.int64))
+
+    return run
+
+
+def _pieces(batches):
+    """Spans, sorted by document and start, to pieces: each byte goes with the smallest key that holds a span over it."""
+
+    def split(spans: list[tuple], out: list[tuple]) -> None:
+        nth = {s[1]: s[4] for s in spans} | {s[2]: s[4] + s[5] for s in spans}
+        bounds, waiting, pieces, k = sorted(nth), [], [], 0
+        for x, y in zip(bounds, bounds[1:], strict=False):
+            while k < len(spans) and spans[k][1] <= x:
+                heapq.heappush(waiting, (spans[k][3], spans[k][2]))
+                k += 1
+            while waiting[0][1] <= x:
+                heapq.heappop(waiting)
+            if pieces and pieces[-1][2] == waiting[0][0]:
+                pieces[-1][1] = y
+            else:
+                pieces.append([x, y, waiting[0][0]])
+        out.extend((spans[0][0], x, y - x, nth[y] - nth[x], low) for x, y, low in pieces)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "start", "size", "chunks", "first_id"])
+
+    held: list[tuple] = []  # spans of one document that overlap or touch: id, start, end, low, nth, chunks
+    end = 0
+    for batch in batches:
+        out: list[tuple] = []
+        for i, start, size, low, nth, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (i != held[-1][0] or start > end):
+                split(held, out)
+                held = []
+            end = max(end, start + size) if held else start + size
+            held.append((i, start, start + size, low, nth, chunks))
+        yield batch_of(out)
+    out = []
+    if held:
+        split(held, out)
+    yield batch_of(out)
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", mean: int = MEAN, passage: int = PASSAGE) -> DataFrame:
-    """Passages that other documents hold too, as runs of repeated chunks.
+    """Passages of ``passage`` bytes or more that some other document holds in one piece, by whole chunks.
 
-    Returns the key, ``start`` and ``size`` in bytes, ``chunks``, ``first_id`` (the smallest key that holds
-    a chunk of the run) and ``keep`` (no smaller key holds its chunks). Documents without such a passage
-    have no row; null and empty texts and null keys have none. Rows that repeat a key are one document.
+    Returns the key, ``start`` and ``size`` in bytes, ``chunks``, ``first_id`` (the smallest key that holds a passage
+    over all of this piece) and ``keep`` (that is the document itself). Where the smallest holder changes a
+    new piece starts, so pieces may be shorter than ``passage``. Documents without such a passage have no
+    row; null and empty texts and null keys have none. Rows that repeat a key are one document.
     """
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     chunks = rows.mapInArrow(_rows(mean), "id long, digest long, place long")
-    held = chunks.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low")
-    again = chunks.join(held, "digest").select("id", F.shiftright("place", _SIZE_BITS).alias("at"), F.col("place").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1)).alias("size"), "low").distinct()
-    order = W.partitionBy("id").orderBy("at")
-    starts = F.coalesce((F.lag(F.col("at") + F.col("size")).over(order) != F.col("at")).cast("int"), F.lit(1))
-    runs = again.withColumn("new", starts).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    found = runs.groupBy("id", "run").agg(F.min("at").alias("start"), F.sum("size").alias("size"), F.count("*").alias("chunks"), F.min("low").alias("first_id"))
-    return found.where(F.col("size") >= passage).select(F.col("id").alias(key), "start", "size", "chunks", "first_id", (F.col("first_id") == F.col("id")).alias("keep"))
+    held = lambda df, by: df.groupBy(by).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(by, "low")
+    again = chunks.join(held(chunks, "digest").select("digest"), "digest").select("id", "digest", F.shiftright("place", _SIZE_BITS).alias("at"), F.col("place").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1)).alias("size"))
+    spans = again.repartition("id").sortWithinPartitions("id", "at", "size", "digest").mapInArrow(_spans(passage), "id long, span long, start long, size long, nth long, chunks long")
+    found = spans.join(held(spans, "span"), "span").select("id", "start", "size", "low", "nth", "chunks")
+    pieces = found.repartition("id").sortWithinPartitions("id", "start", "size", "low").mapInArrow(_pieces, "id long, start long, size long, chunks long, first_id long")
+    return pieces.select(F.col("id").alias(key), "start", "size", "chunks", "first_id", (F.col("first_id") == F.col("id")).alias("keep"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without the passages that a document with a smaller key holds; all columns stay."""
+    """The documents without the pieces that a document with a smaller key holds; all columns stay."""
     drop = repeated_passages(docs, key, text, **options).where("NOT keep").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("_drop"))
     names = docs.columns
     at = names.index(text)

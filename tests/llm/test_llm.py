@@ -133,3 +133,20 @@ def test_passages(spark):
         assert {r.doc_id for r in got.collect()} == {i for i in range(30) if i % 3 == 0}
     left = {r.doc_id: r.text for r in chunks.without_repeats(table(spark, texts)).collect()}
     assert left[0] == texts[0] and left[1] == texts[1] and len(left[3]) < len(texts[3]) - 250
+
+
+def test_first_copy_stays_whole(spark):
+    pick = random.Random(12)
+    words = lambda n: " ".join(f"{pick.choice('abcdefghij')}{pick.randint(0, 10**6)}" for _ in range(n))
+    copy, other = words(120), words(60)
+    _, starts, sizes = chunks.chunk(copy.encode())
+    k = next(i for i in range(5, len(starts)) if sizes[i] <= 30)
+    tiny = copy[starts[k] - 16 : starts[k] + sizes[k]]  # one chunk of the copy, in the smallest document
+    texts = [words(20) + tiny + words(20), words(50), copy, other + words(30), copy, words(9) + other + copy]
+    assert set(chunks.chunk(texts[0].encode())[0]) & set(chunks.chunk(copy.encode())[0])
+    df = table(spark, texts)
+    left = {r.doc_id: r.text for r in chunks.without_repeats(df).collect()}
+    assert [left[i] for i in (0, 1, 2, 3)] == texts[:4] and left[4] == "" and len(left[5]) < len(texts[5]) / 4
+    for r in chunks.repeated_passages(df).collect():
+        assert r.keep == (r.first_id == r.doc_id) and texts[r.doc_id].encode()[r.start : r.start + r.size] in texts[r.first_id].encode()
+    assert {(r.doc_id, r.first_id) for r in chunks.repeated_passages(df).collect()} == {(2, 2), (4, 2), (5, 2), (3, 3), (5, 3)}
