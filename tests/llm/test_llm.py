@@ -150,3 +150,18 @@ def test_first_copy_stays_whole(spark):
     for r in chunks.repeated_passages(df).collect():
         assert r.keep == (r.first_id == r.doc_id) and texts[r.doc_id].encode()[r.start : r.start + r.size] in texts[r.first_id].encode()
     assert {(r.doc_id, r.first_id) for r in chunks.repeated_passages(df).collect()} == {(2, 2), (4, 2), (5, 2), (3, 3), (5, 3)}
+
+
+def test_texts_without_common_words_fail(spark):
+    pick = random.Random(13)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    rare = lambda: "".join(pick.choice("abcdefghij") for _ in range(9))
+    prose = lambda n: " ".join(pick.choice(common[: pick.randint(1, 24)]) if pick.random() < 0.5 else rare() for _ in range(n))
+    junk = [" | ".join(rare() for _ in range(150)) for _ in range(8)]
+    df = table(spark, [prose(pick.randint(60, 400)) for _ in range(120)]).where("lang IS NOT NULL").union(table(spark, junk).selectExpr("doc_id + 1000", "text", "null", "source", "n_chars", "id", "rep"))
+    upper = df.where("doc_id < 100").selectExpr("doc_id + 2000", "initcap(text) || '!'", "null", "source", "n_chars", "id", "rep")
+    got = quality.judged(df.union(upper), quality.References(df)).where("NOT base_failed")
+    far = got.selectExpr("doc_id", "class_distance <= 0.28 AND word_distance > 0.2 AS far", "kept").collect()
+    assert sum(r.doc_id // 1000 == 1 for r in far) == 8 and all(not r.kept and r.far for r in far if r.doc_id // 1000 == 1)
+    assert sum(r.kept for r in far if r.doc_id < 1000) >= 0.95 * sum(r.doc_id < 1000 for r in far)
+    assert not any(r.far and not r.kept for r in far if r.doc_id >= 2000)
