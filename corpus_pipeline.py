@@ -16,6 +16,10 @@ from corpusframe.llm.common import DOCUMENT_COLUMNS
 from corpusframe.llm.queries import tokenizer_path
 
 
+#: Shared shingles of five words, in percent of the union, from which two documents are near duplicates.
+NEAR = 80
+
+
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not told by a margin go."""
     docs = docs.select(DOCUMENT_COLUMNS)
@@ -25,7 +29,7 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays."""
     docs = docs.select(DOCUMENT_COLUMNS)
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusframe.llm import bpe, chunks, fingerprint, language, licences, minhash, mixing, privacy, quality, suffixes
 from corpusframe.llm.queries import tokenizer_path
 
@@ -165,3 +166,16 @@ def test_texts_without_common_words_fail(spark):
     assert sum(r.doc_id // 1000 == 1 for r in far) == 8 and all(not r.kept and r.far for r in far if r.doc_id // 1000 == 1)
     assert sum(r.kept for r in far if r.doc_id < 1000) >= 0.95 * sum(r.doc_id < 1000 for r in far)
     assert not any(r.far and not r.kept for r in far if r.doc_id >= 2000)
+
+
+def test_pipeline_drops_pairs_from_80_percent(spark):
+    texts = []
+    for i in range(12):  # a word replaced in the middle takes five shingles on either side
+        n = 50 + i if i < 6 else 44 - i
+        words = [f"w{i}x{k}" for k in range(n)]
+        texts += [" ".join(words), " ".join([*words[: n // 2], f"new{i}", *words[n // 2 + 1 :]])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert all(0.8 < x < 0.85 for x in share[:6]) and all(x < 0.8 for x in share[6:])
+    left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table(spark, texts), "").collect()}
+    assert left == {2 * i for i in range(12)} | {2 * i + 1 for i in range(6, 12)}
