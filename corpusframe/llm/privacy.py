@@ -29,6 +29,14 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9])",
 }
+#: The usual groupings of card numbers, with one separator throughout, at every place where one may start.
+#: Those with a right check digit are taken before any other grouping, so that no number beside them is taken in.
+CARDS = [
+    r"(?<![0-9])(?=([0-9]{13,19})(?![0-9]))",
+    r"(?<![0-9])(?=([0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}\2[0-9]{3})(?![0-9]))",
+    r"(?<![0-9])(?=([0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4})(?![0-9]))",
+    r"(?<![0-9])(?=([0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9]))",
+]
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -89,6 +97,18 @@ def _private(key: str) -> str:
     return out
 
 
+def _patterns(text: str) -> str:
+    """SQL for the pattern of a text: all kinds, and before them the valid card numbers it holds in a usual grouping."""
+    found = ", ".join(f"regexp_extract_all(`{text}`, {_sql(p)}, 1)" for p in CARDS)
+    digits = "regexp_replace(c, '[^0-9]', '')"
+    valid = f"filter(array_distinct(concat({found})), c -> {_luhn('@').replace('@', digits)} % 10 = 0)"
+    apart = PATTERNS["card"].replace("[ -]?", "(?:[ -](?!(?:@)(?![0-9])))?")
+    head, tail = apart.split("@")
+    rest = "|".join(f"(?:{p})" for n, p in PATTERNS.items() if n != "card")
+    one = f"transform(array(array_join({valid}, '|')), v -> if(v = '', {_sql(_ANY)}, concat('(?<![0-9])(?:', v, ')(?![0-9])|', {_sql(rest + '|(?:' + head)}, v, {_sql(tail + ')')})))[0]"
+    return f"if(`{text}` RLIKE {_sql('[0-9](?:[ -]?[0-9]){12}')}, {one}, {_sql(_ANY)})"
+
+
 def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """The documents with private values in ``text`` replaced; all other columns stay.
 
@@ -96,11 +116,11 @@ def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text", count: st
     without private values stay as they are, rows that repeat stay equal. An empty table gives an empty one.
     """
     may = F.col(text).rlike("[0-9@]|[a-fA-F]{32}")
-    df = docs.withColumn("_found", F.when(may, F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))))
+    df = docs.withColumn("_any", F.expr(_patterns(text))).withColumn("_found", F.when(may, F.regexp_extract_all(text, F.col("_any"), F.lit(0))))
     df = df.withColumn("_new", F.when(F.size("_found") > 0, F.expr(_private(key))))
-    joined = F.expr(f"array_join(zip_with(split(`{text}`, {_sql(_ANY)}, -1), zip_with(_new, _found, (n, o) -> coalesce(n, o)), (g, n) -> concat(g, coalesce(n, ''))), '')")
+    joined = F.expr(f"array_join(zip_with(split(`{text}`, _any, -1), zip_with(_new, _found, (n, o) -> coalesce(n, o)), (g, n) -> concat(g, coalesce(n, ''))), '')")
     replaced = F.coalesce(F.expr("size(filter(_new, n -> n IS NOT NULL))"), F.lit(0))
     if count:
         df = df.withColumn(count, F.when(F.col("_new").isNotNull(), replaced).otherwise(0).cast("long"))
     df = df.withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text)))
-    return df.drop("_found", "_new")
+    return df.drop("_any", "_found", "_new")

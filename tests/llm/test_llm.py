@@ -179,3 +179,19 @@ def test_pipeline_drops_pairs_from_80_percent(spark):
     assert all(0.8 < x < 0.85 for x in share[:6]) and all(x < 0.8 for x in share[6:])
     left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table(spark, texts), "").collect()}
     assert left == {2 * i for i in range(12)} | {2 * i + 1 for i in range(6, 12)}
+
+
+def test_cards_beside_numbers(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "3400 000000 00009"]
+    put = ["{} 12 items", "{} 123", "12 {}", "1234 {} 5678", "{}-7", "{} {}", "{} 4845168114407328 77", "at 12 1234 {}, 2024-02-28"]
+    texts = [p.replace("{}", c) for c in cards for p in put] + ["7536784127813050 4845168114407329"]
+    got = {r.doc_id: r for r in privacy.pseudonymized(table(spark, texts), count="n").collect()}
+    plain = {}
+    for i, t in enumerate(texts[:-1]):
+        c = cards[i // len(put)]
+        assert c not in got[i].text and got[i].n == t.count(c) + t.count("2024"), (t, got[i].text)
+        before, after = t.split(c, 1)[0], t.rsplit(c, 1)[1].replace("2024-02-28", "")
+        assert got[i].text.startswith(before) and (got[i].text[:-10] if "2024" in t else got[i].text).endswith(after)
+        new = got[i].text[len(before) : len(before) + len(c)]
+        assert plain.setdefault(re.sub("[^0-9]", "", c), re.sub("[^0-9]", "", new)) == re.sub("[^0-9]", "", new)
+    assert "7536784127813050" not in got[len(texts) - 1].text
