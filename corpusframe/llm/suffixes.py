@@ -2,8 +2,11 @@
 
 Suffixes are kept at minimiser positions alone: in each window of ``WINDOW`` hashes of ``GRAM`` words the
 smallest, so any two texts that share ``WINDOW + GRAM - 1`` words keep a suffix at the same place of them.
-Only suffixes whose first gram occurs in several documents are sorted, by range over all tasks; each is
-compared with its neighbours of other documents and the match is extended left and right.
+Only suffixes whose first gram occurs in several documents count. Those of grams with a few places are
+sorted, by range over all tasks; each is compared with all others of its gram and the match is extended left
+and right. Where a gram has more places, what precedes it may tell more than what follows, and no sorted
+neighbour need be the one that shares a passage: there the hashes of all windows of ``PASSAGE`` words that
+hold the gram are compared. Every such window of a passage holds a shared minimiser, so none is missed.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ WINDOW = 32
 #: Words that are compared on either side of a position, and the least words of a repeated passage.
 REACH = 50
 PASSAGE = 50
-#: Documents before a suffix that it is compared with until one shares a passage; those further share no more to the right.
+#: Suffixes before a suffix that it is compared with; grams with more places than one and these go by windows.
 NEIGHBOURS = 4
 
 _draw = np.random.RandomState(97)
 _FACTORS = _draw.randint(0, 1 << 62, GRAM, dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+_ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _word_hashes(text: str) -> np.ndarray:
@@ -75,6 +79,30 @@ def _suffixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names=["id", "at", "right", "left"])
 
 
+def _windows(batches):
+    """Hashes and first words of the windows of ``PASSAGE`` words that hold the gram at one of the places."""
+    for batch in batches:
+        ids, hashes, starts = [], [], []
+        for i, t, places in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            h = _word_hashes(t.as_py())
+            m = len(h) - PASSAGE + 1
+            if m < 1:
+                continue
+            g = np.zeros(m, np.uint64)
+            for k in range(PASSAGE):
+                g = g * _ROLL + h[k : k + m]
+            g = (g ^ (g >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+            wanted = np.zeros(m, bool)
+            for p in places.as_py():
+                wanted[max(0, p + GRAM - PASSAGE) : p + 1] = True
+            at = np.flatnonzero(wanted)
+            ids.append(np.full(len(at), i.as_py(), np.int64))
+            hashes.append((g[at] ^ (g[at] >> np.uint64(29))).view(np.int64))
+            starts.append(at)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hashes, starts)], names=["id", "window", "at"])
+
+
 def _shared(a: bytes, b: bytes) -> int:
     """Words that two contexts share from their start."""
     n = min(len(a), len(b))
@@ -85,31 +113,32 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 def _neighbours(edges: bool):
-    """Matches of sorted suffixes with their last neighbour of another document. The first and last rows of
-    a task come out as edges too, for the matches across tasks."""
+    """Matches of sorted suffixes with the last ones before them. The first and last rows of a task come out
+    as edges too, for the matches across tasks."""
 
     def run(batches):
-        recent: list[tuple] = []  # the last row of each of the last few documents, latest last
-        first = True
+        recent: list[tuple] = []  # the last few rows, latest last
+        n = 0
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if first and edges:
+                if n < NEIGHBOURS and edges:
                     out.append((*row, None, None, None))
-                    first = False
+                n += 1
                 for other in reversed(recent):
+                    r = _shared(other[2], row[2])
+                    if r < GRAM:
+                        break
                     if other[0] != row[0]:
-                        r, lft = _shared(other[2], row[2]), _shared(other[3], row[3])
-                        if r < GRAM:
-                            break
+                        lft = _shared(other[3], row[3])
                         if r + lft >= PASSAGE:
                             for x, y in ((other, row), (row, other)):
                                 out.append((x[0], None, None, None, x[1] - lft, r + lft, y[0]))
-                            break
-                recent = [x for x in recent if x[0] != row[0]][-NEIGHBOURS:] + [row]
+                recent = [*recent, row][-NEIGHBOURS:]
             yield _batch(out)
-        if recent and edges:
-            yield _batch([(*x, None, None, None) for x in recent])
+        late = recent[-min(NEIGHBOURS, n - NEIGHBOURS) :] if n > NEIGHBOURS else []  # but those that are out already
+        if late and edges:
+            yield _batch([(*x, None, None, None) for x in late])
 
     return run
 
@@ -127,21 +156,27 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """Passages of ``PASSAGE`` words or more that other documents hold too.
 
     Returns the key, ``first_word``, ``n_words`` (matches that overlap are one passage) and ``other_id``, the
-    smallest key that a neighbour of it has. Documents without one have no row; null and short texts and
+    smallest of the keys that its matches name: the others of a gram with few places; for a window the
+    smallest holder, or the largest where that is the document itself. Documents without one have no row; null and short texts and
     null keys have none. Rows that repeat a key are one document.
     """
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     marks = rows.mapInArrow(_marks, "id long, gram long, at long")
-    held = marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram")
-    chosen = marks.join(held, "gram", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    many = F.count("*") > NEIGHBOURS + 1
+    held = marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), many.alias("many")).where("low < high").select("gram", "many")
+    places = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("at"))))
+    chosen = cut(marks.join(held, "gram").groupBy("id").agg(places(~F.col("many")).alias("places"), places(F.col("many")).alias("common")))
+    windows = rows.join(chosen.where("size(common) > 0"), "id").select("id", "text", "common").mapInArrow(_windows, "id long, window long, at long")
+    twice = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    alike = windows.join(twice, "window").select("id", F.col("at").alias("first"), F.lit(PASSAGE).cast("long").alias("words"), F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     schema = "id long, at long, right binary, left binary"
-    suffixes = cut(rows.join(chosen, "id").select("id", "text", "places").mapInArrow(_suffixes, schema))
+    suffixes = cut(rows.join(chosen.where("size(places) > 0"), "id").select("id", "text", "places").mapInArrow(_suffixes, schema))
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["right", "id", "at"]
     found = cut(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(True), schema + ", first long, words long, other long"))
     # a handful of rows of each task
     edges = found.where("right IS NOT NULL").select("id", "at", "right", "left").coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(False), schema + ", first long, words long, other long")
-    spans = found.where("first IS NOT NULL").union(edges.where("first IS NOT NULL")).select("id", "first", "words", "other")
+    spans = found.where("first IS NOT NULL").union(edges.where("first IS NOT NULL")).select("id", "first", "words", "other").union(alike)
     order = W.partitionBy("id").orderBy("first", "words")
     reached = F.max(F.col("first") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.coalesce((F.col("first") > reached).cast("int"), F.lit(1))

@@ -195,3 +195,15 @@ def test_cards_beside_numbers(spark):
         new = got[i].text[len(before) : len(before) + len(c)]
         assert plain.setdefault(re.sub("[^0-9]", "", c), re.sub("[^0-9]", "", new)) == re.sub("[^0-9]", "", new)
     assert "7536784127813050" not in got[len(texts) - 1].text
+
+
+def test_passages_that_end_in_a_common_footer(spark):
+    pick = random.Random(14)
+    words = lambda n: [f"{pick.choice('abcdefghij')}{pick.randint(0, 10**6)}" for _ in range(n)]
+    footer, texts = words(25), []
+    for _ in range(60):
+        lead = words(26)
+        texts += [" ".join(words(pick.randint(30, 60)) + lead + footer + words(pick.randint(30, 60))) for _ in range(2)]
+    texts += [" ".join(words(40) + footer + words(40)) for _ in range(150)]
+    got = {r.doc_id: r for r in suffixes.repeated_passages(table(spark, texts)).collect()}
+    assert set(got) == set(range(120)) and all(got[i].n_words == 51 and got[i].other_id == i ^ 1 for i in range(120))
