@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,17 +30,24 @@ def forget() -> None:
     """Empty what other operators keep in this worker, so that memories do not add up over stages."""
     for cache in _kept:
         cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where that is unset a temporary one takes its place,
+    but only where driver and executors are one machine: on a cluster they would not see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="ckpt")
 
-    Only where that is unset (tests, a laptop) a temporary folder takes its place.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -46,19 +55,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def sampled(docs: DataFrame, key: str, lang: str, size: int) -> DataFrame:
-    """About ``size`` labelled rows of each label, those with the smallest hash of the key.
+def sampled(docs: DataFrame, key: str, text: str, lang: str, size: int) -> DataFrame:
+    """(lang, hash, text): at most ``size`` labelled documents of each label, those with the smallest MD5 of key
+    and text, so rows that repeat both are one document. Null labels and texts are none.
 
-    Only hashes are compared across tasks; a threshold for each label then filters the scan. One number
-    a label comes to the driver.
+    The number of different hashes, estimated within a few percent, gives a bound that at least ``size`` of them
+    stay under; only rows under it are shuffled, combined by hash before. One number a label comes to the driver.
     """
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
-    hashes = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("hash"))
-    last = hashes.withColumn("n", rank).where(F.col("n") <= size).groupBy("lang").agg(F.max("hash").alias("last")).collect()
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    hashed = rows.select(F.col(lang).alias("lang"), F.md5(F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))).alias("hash"), F.col(text).alias("text"))
     within = F.lit(False)
-    for r in last:
-        within = within | ((F.col(lang) == r.lang) & (F.xxhash64(key) <= r["last"]))
-    return docs.where(within)
+    for r in hashed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect():
+        bound = f"{min((1 << 48) - 1, int((1 << 48) * (2 * size + 50) / max(1, r.n))):012x}"
+        within = within | ((F.col("lang") == r.lang) & (F.substring("hash", 1, 12) <= bound))
+    few = hashed.where(within).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    return few.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("hash"))).where(F.col("_n") <= size).drop("_n")
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like this one that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def ascii_lower(text: Column) -> Column:

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, sampled
+from .common import forget, fresh, sampled
 
 #: Documents per language, those with the smallest hash of the key, and bytes of text kept of them.
 SAMPLE = 96
@@ -19,17 +19,30 @@ MARGIN = 0.002
 
 
 def fit(docs: DataFrame, train: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A raw-content dictionary for each label: lower-cased texts of the sample, each an equal part of it.
+    """A raw-content dictionary for each label: the starts of the lower-cased texts of the sample, as much of each
+    as lets all of them share ``size`` bytes; what short ones leave goes to the longer ones, eight times an
+    equal share at most.
 
     ``sample`` and ``size`` bound what is read to the driver for each label. Null labels and texts
-    teach nothing; an empty table gives no dictionary.
+    teach nothing, rows that repeat key and text teach once; an empty table gives no dictionary.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if train is None else train))
-    rows = sampled(rows, key, lang, sample).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("n"), F.substring(text, 1, size).alias("text"))
-    texts: dict[str, list[str]] = {}
+    rows = docs if train is None else docs.where(train)
+    rows = sampled(rows, key, text, lang, sample).select("lang", "hash", F.substring("text", 1, 8 * size // sample).alias("text"))
+    texts: dict[str, list[bytes]] = {}
     for r in sorted(rows.collect()):
-        texts.setdefault(r.lang, []).append(r.text.lower())
-    return {x: b"\n".join(t.encode()[: max(200, 4 * size // len(ts))] for t in ts)[-size:] for x, ts in sorted(texts.items())}
+        texts.setdefault(r.lang, []).append(r.text.lower().encode())
+    return {x: b"\n".join(_shared_out(ts, size)) for x, ts in sorted(texts.items())}
+
+
+def _shared_out(texts: list[bytes], size: int) -> list[bytes]:
+    """Starts of the texts, of one length but for shorter ones, that take ``size`` bytes at most with a byte between."""
+    left, length = size - len(texts), 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        length = max(0, left) // (len(texts) - i)
+        if n > length:
+            break
+        left, length = left - n, n
+    return [t[:length] for t in texts]
 
 
 class Classifier:
@@ -54,10 +67,13 @@ class Classifier:
 
 
 def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns and the predicted language and score of every whole text.
+    """All columns and the predicted language and score of every whole text, in place of columns of these names.
 
-    A null text or one without a letter gets ``und`` and 0. Labels are no input.
+    A null text or one without a letter gets ``und`` and 0, as does every text without a dictionary. Labels are
+    no input. Of languages that tie the first by name is chosen, with score 0. Rows that repeat get the same;
+    an empty table gives an empty one.
     """
+    docs = docs.drop(*({lang, score} - {text}))
     names = docs.columns
     at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded: DICTIONARY_BYTES for each label
@@ -74,5 +90,12 @@ def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "tex
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text: str = "text") -> DataFrame:
-    """The documents whose language is told by a margin; all columns as they were."""
-    return identified(docs, dictionaries, text, "_lang", "_score").where((F.col("_lang") != "und") & (F.col("_score") >= margin)).select(docs.columns)
+    """The documents whose language is told by a margin; all columns as they were. Null texts, those without a
+    letter and ties go, and all go where there is no dictionary."""
+    lang, score = fresh("_lang", docs), fresh("_score", docs)
+    return identified(docs, dictionaries, text, lang, score).where(told(lang, score, margin)).select(docs.columns)
+
+
+def told(lang: str, score: str, margin: float = MARGIN) -> Column:
+    """Whether a language is known by a margin."""
+    return (F.col(lang) != "und") & (F.col(score) >= margin)
