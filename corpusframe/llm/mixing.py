@@ -2,11 +2,13 @@
 
 1. Each source's words are laid end to end and cut into blocks of a fixed length. Offsets are sums
    within about sqrt(rows) hashed groups plus sums over the groups' totals, so no task sees a source.
-2. Source counts per output shard are drawn multinomially given the quotas: all slots of all sources,
-   laid end to end, are permuted pseudorandomly and cut into shards. Counts in a shard are random, their
-   sum over the shards is a source's quota exactly, so the words taken come near the target.
-3. A source's slots walk through pseudorandom permutations of its block indices, one for each epoch, so
-   no block is taken more often than the epochs begun.
+2. Source counts per output shard are drawn multinomially given the quotas: the places of all sources'
+   quotas, laid end to end, are permuted pseudorandomly, and those that fall into a shard are counted by
+   source. Counts in a shard are random, their sum over the shards is a source's quota exactly, so the
+   words taken come near the target.
+3. Sums of these counts over the shards before give each shard its slots of each source. A source's slots
+   walk through pseudorandom permutations of its block indices, one for each epoch, so no block is taken
+   more often than the epochs begun.
 4. Blocks are joined with the slots by (source, index).
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut
+from .common import SPACE, WORD, cut
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -67,24 +69,45 @@ def quotas(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return q.withColumn("slots", epochs * F.col("blocks") + rest).withColumn("base", F.sum("slots").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, 0)) - F.col("slots")).withColumn("all_slots", F.sum("slots").over(W.partitionBy()))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A few tiny rows that grow when they are exploded: over all tasks, and not to be taken for small below."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def shard_counts(q: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
+    """(shard, s, n): the slots of each source in each output shard of ``shard_blocks`` slots (the last one may
+    be smaller), drawn without replacement from all quotas."""
+    chunks = q.where("slots > 0").select("base", "slots", "all_slots", "s", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
+    places = _spread(chunks, "s", "chunk").select("s", "all_slots", F.explode(F.expr(f"sequence(base + chunk * {CHUNK}, base + least(slots, (chunk + 1) * {CHUNK}) - 1)")).alias("place"))
+    drawn = permuted(places, "place", "all_slots", seed=seed + 1)
+    return drawn.groupBy(F.expr(f"place div {shard_blocks}").alias("shard"), "s").agg(F.count("*").alias("n"))
+
+
 def slots(q: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """(s, slot, shard, epoch, block): every slot of the mix with its output shard and its source block."""
-    chunks = q.where("slots > 0").select("s", "blocks", "slots", "base", "all_slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {CHUNK})")).alias("chunk"))
-    # a few tiny rows that grow by CHUNK: spread over all tasks, and not to be taken for small below
-    chunks = chunks.repartition(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "chunk")
-    one = chunks.select("s", "blocks", "base", "all_slots", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(slots, (chunk + 1) * {CHUNK}) - 1)")).alias("slot"))
-    one = one.withColumn("epoch", F.expr("slot div blocks")).withColumn("block", F.expr("slot % blocks")).withColumn("place", F.col("base") + F.col("slot"))
-    one = permuted(one, "block", "blocks", "s", "epoch", seed=seed)
-    return permuted(one, "place", "all_slots", seed=seed + 1).select("s", "slot", F.expr(f"place div {shard_blocks}").alias("shard"), "epoch", "block")
+    counts = cut(shard_counts(q, shard_blocks, seed)).withColumn("g", F.expr(f"shard div {CHUNK}"))
+    before = W.partitionBy("s").orderBy("g").rowsBetween(W.unboundedPreceding, 0)
+    groups = counts.groupBy("s", "g").agg(F.sum("n").alias("held")).select("s", "g", (F.sum("held").over(before) - F.col("held")).alias("start"))
+    within = W.partitionBy("s", "g").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
+    laid = counts.withColumn("end", F.sum("n").over(within)).join(groups, ["s", "g"])
+    laid = laid.select("s", "shard", "n", (F.col("start") + F.col("end") - F.col("n")).alias("first")).join(q.select("s", "blocks"), "s")
+    parts = laid.select("s", "shard", "blocks", "n", "first", F.explode(F.expr(f"sequence(0L, (n - 1) div {CHUNK})")).alias("chunk"))
+    one = _spread(parts, "s", "shard", "chunk").select("s", "shard", "blocks", F.explode(F.expr(f"sequence(first + chunk * {CHUNK}, first + least(n, (chunk + 1) * {CHUNK}) - 1)")).alias("slot"))
+    one = one.withColumn("epoch", F.expr("slot div blocks")).withColumn("block", F.expr("slot % blocks"))
+    return permuted(one, "block", "blocks", "s", "epoch", seed=seed).select("s", "slot", "shard", "epoch", "block")
 
 
 class Mix:
     """The tables of a mix. ``documents``: row, key, size, source size, target; ``pieces``: (s, block, row,
-    lo, hi), the words [lo, hi) of a row that lie in a block; ``slots``: see ``slots()``."""
+    lo, hi), the words [lo, hi) of a row that lie in a block; ``slots``: see ``slots()``; ``rows``, where
+    ``whole`` asks for it: row, size and ``doc``, all columns of the document."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED, whole: bool = False):
         size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-        sized = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("hash"), size.alias("size")))
+        kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")] if whole else []
+        table = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("hash"), size.alias("size"), *kept))
+        sized = table.drop("doc")
+        self.rows = table.select("row", "size", "doc") if whole else None
         sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("total")), weights, cap))
         known = sources.withColumnRenamed("source", "source2")
         self.documents = sized.join(known, sized.source.eqNullSafe(known.source2)).drop("source2")
@@ -98,42 +121,47 @@ class Mix:
         cuts = laid.select("s", "row", "at", "size", block.alias("block"))
         lo, hi = F.greatest(F.lit(0), F.col("block") * block_words - F.col("at")), F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("at"))
         self.pieces = cuts.select("s", "block", "row", lo.alias("lo"), hi.alias("hi"))
-        self.slots = slots(quotas(sources, block_words), shard_blocks, seed)
+        self.slots = slots(cut(quotas(sources, block_words)), shard_blocks, seed)
 
     def taken(self) -> DataFrame:
-        """(row, lo, hi, times): the words of a row that the mix takes and how often."""
-        times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"))
-        return self.pieces.join(times.hint("merge"), ["s", "block"]).select("row", "lo", "hi", "times")
+        """(row, lo, hi, times, first_shard, last_shard): the words of a row that the mix takes, how often, and
+        the least and largest output shard that they go to."""
+        times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+        return self.pieces.join(times.hint("merge"), ["s", "block"]).select("row", "lo", "hi", "times", "first_shard", "last_shard")
 
 
 def mixed_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """What a mix takes of each document: key, size, source_size, target, taken.
+    """What a mix takes of each document: key, size, source_size, target, taken, and the least and largest
+    output shard that hold some of its words (null where nothing is taken).
 
     Null, empty and blank texts have size 0 and none taken; null sources are one source, the last. Rows
-    that repeat are documents of their own. Where all sizes are 0 all targets are 0; an empty table gives
-    an empty one.
+    that repeat are documents of their own, also under null keys. Where all sizes are 0 all targets are 0;
+    an empty table gives an empty one. Very long texts are cut into blocks like any other.
     """
     mix = Mix(docs, key, text, source, **options)
-    words = mix.taken().groupBy("row").agg(F.sum(F.expr("(hi - lo) * times")).alias("taken"))
-    return mix.documents.join(words.hint("merge"), "row", "left").select(F.col("key").alias(key), "size", F.col("total").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    words = mix.taken().groupBy("row").agg(F.sum(F.expr("(hi - lo) * times")).alias("taken"), F.min("first_shard").alias("first_shard"), F.max("last_shard").alias("last_shard"))
+    return mix.documents.join(words.hint("merge"), "row", "left").select(F.col("key").alias(key), "size", F.col("total").alias("source_size"), "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard", "last_shard")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix as documents: a row for each time that words of a document are taken, with those words in
-    their order (white space behind them kept) as its text; a document wholly taken keeps its text.
+    their order (white space around them kept) as its text; a document wholly taken keeps its text. All
+    columns stay, whatever their names.
 
-    Documents of which nothing is taken have no row. Rows that repeat a key and a text share one place.
+    Documents of which nothing is taken have no row, so null, empty and blank texts have none. Rows that
+    repeat are documents of their own; null keys and sources are values like others. An empty table gives
+    an empty one. Very long texts are split into words once, however often they are taken.
     """
-    mix = Mix(docs, key, text, source, **options)
-    parts = F.sort_array(F.collect_list(F.struct("lo", "hi", "times")))
-    taken = mix.taken().groupBy("row").agg(parts.alias("_parts")).hint("merge").join(mix.documents.select("row", "key", "hash", "size"), "row")
-    taken = taken.dropDuplicates(["key", "hash"]).select("key", F.col("hash").alias("_hash"), F.col("size").alias("_size"), "_parts")
-    named = docs.withColumn("_hash0", F.xxhash64(text))
-    both = named.join(taken.hint("merge"), named[key].eqNullSafe(taken["key"]) & (F.col("_hash0") == F.col("_hash"))).drop("key", "_hash", "_hash0")
-    both = both.withColumn("_copy", F.explode(F.expr("sequence(1L, array_max(transform(_parts, p -> p.times)))")))
-    both = both.withColumn("_part", F.expr("filter(_parts, p -> p.times >= _copy)"))
-    whole = F.expr("aggregate(_part, 0L, (n, p) -> n + p.hi - p.lo) = _size")
-    pieces = F.expr(r"regexp_extract_all(%s, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*', 0)" % f"`{text}`")
-    chosen = F.expr("array_join(flatten(transform(_part, p -> slice(_pieces, cast(p.lo + 1 AS int), cast(p.hi - p.lo AS int)))), '')")
-    both = both.withColumn("_pieces", F.when(~whole, pieces))
-    return both.withColumn(text, F.when(whole, F.col(text)).otherwise(chosen)).select(docs.columns)
+    mix = Mix(docs, key, text, source, whole=True, **options)
+    parts = mix.taken().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
+    both = mix.rows.hint("merge").join(parts, "row")
+    body = F.col("doc")[text]
+    often = both.withColumn("most", F.expr("array_max(transform(parts, p -> p.times))"))
+    # the least that every part is taken is how often the whole text is, if the parts are the whole
+    least = F.expr("if(aggregate(parts, 0L, (n, p) -> n + p.hi - p.lo) = size, array_min(transform(parts, p -> p.times)), 0L)")
+    split = F.regexp_extract_all(body, F.lit(rf"{SPACE}*{WORD}{SPACE}*"), F.lit(0))
+    often = often.withColumn("whole", least).withColumn("pieces", F.when(F.col("most") > F.col("whole"), split))
+    each = often.select("doc", "parts", "whole", "pieces", F.explode(F.expr("sequence(1L, most)")).alias("copy"))
+    cut_out = F.expr("array_join(flatten(transform(filter(parts, p -> p.times >= copy), p -> slice(pieces, cast(p.lo + 1 AS int), cast(p.hi - p.lo AS int)))), '')")
+    new = F.when(F.col("copy") <= F.col("whole"), body).otherwise(cut_out)
+    return each.select(*(new.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))
