@@ -15,8 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = "corpusframe"
 ROUNDS = 8
+#: The session setting that holds the key of a deployment.
+KEY_SETTING = "spark.corpusframe.privacy.key"
+#: The country codes of telephone numbers, of one, two or three digits.
+COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: What may be private, by kind; every pattern takes a whole token, and none can backtrack over a long run.
@@ -59,7 +62,7 @@ def _private(key: str) -> str:
         # the digits that are permuted; a date's day number; null where a check fails
         f"""transform(@, x -> struct(x.m AS m, x.kind AS kind, CASE x.kind
             WHEN 'card' THEN if({_luhn('x.d')} % 10 = 0, left(x.d, length(x.d) - 1), NULL)
-            WHEN 'phone' THEN if(length(x.d) BETWEEN 8 AND 15, if(x.m LIKE '+%', substring(x.d, 2), x.d), NULL)
+            WHEN 'phone' THEN if(length(x.d) BETWEEN 8 AND 15, if(x.m LIKE '+%', regexp_replace(x.d, {_sql(COUNTRY)}, ''), x.d), NULL)
             WHEN 'ssn' THEN x.d END AS d,
             CASE WHEN x.kind = 'date' THEN datediff(CASE WHEN x.m LIKE '____-%' THEN try_to_date(x.m, 'yyyy-MM-dd')
                 ELSE coalesce(try_to_date(translate(x.m, '.', '/'), 'dd/MM/yyyy'), try_to_date(translate(x.m, '.', '/'), 'MM/dd/yyyy')) END, DATE'1800-01-01') END AS day,
@@ -80,7 +83,7 @@ def _private(key: str) -> str:
     new = "concat(lpad(cast(x.l AS string), cast(x.n div 2 AS int), '0'), lpad(cast(x.r AS string), cast(x.n - x.n div 2 AS int), '0'))"
     digest = lambda what, n: f"left(sha2(concat_ws('|', {k}, {what}), 256), {n})"
     steps += [
-        f"transform(@, x -> struct(x.m AS m, x.kind AS kind, x.l AS l, x.r AS r, CASE WHEN x.kind = 'card' THEN {new} WHEN x.kind = 'phone' THEN concat(if(x.m LIKE '+%', regexp_extract(x.m, '[0-9]', 0), ''), {new}) WHEN x.kind = 'ssn' THEN {new} END AS d))",
+        f"transform(@, x -> struct(x.m AS m, x.kind AS kind, x.l AS l, x.r AS r, CASE WHEN x.kind = 'card' THEN {new} WHEN x.kind = 'phone' THEN concat(if(x.m LIKE '+%', regexp_extract(regexp_replace(x.m, '[^0-9]', ''), {_sql(COUNTRY)}, 0), ''), {new}) WHEN x.kind = 'ssn' THEN {new} END AS d))",
         # the last digit that makes a card number valid
         f"transform(@, x -> struct(x.m AS m, x.kind AS kind, x.l AS l, x.r AS r, if(x.kind = 'card', concat(x.d, cast((10 - {_luhn('concat(x.d, 0)')} % 10) % 10 AS string)), x.d) AS d))",
         f"""transform(@, x -> CASE
@@ -88,7 +91,7 @@ def _private(key: str) -> str:
             WHEN x.kind = 'secret' THEN if(x.m = lower(x.m), left(concat({digest("'a', lower(x.m)", 64)}, {digest("'b', lower(x.m)", 64)}), length(x.m)), upper(left(concat({digest("'a', lower(x.m)", 64)}, {digest("'b', lower(x.m)", 64)}), length(x.m))))
             WHEN x.l IS NULL THEN NULL
             WHEN x.kind = 'address' THEN concat_ws('.', x.l div 256, x.l % 256, x.r div 256, x.r % 256)
-            WHEN x.kind = 'date' THEN date_format(date_add(DATE'1800-01-01', cast(x.l * 773 + x.r AS int)), CASE WHEN x.m LIKE '____-%' THEN 'yyyy-MM-dd' WHEN x.m LIKE '%/%' THEN 'dd/MM/yyyy' ELSE 'dd.MM.yyyy' END)
+            WHEN x.kind = 'date' THEN date_format(date_add(DATE'1800-01-01', cast(x.l * 773 + x.r AS int)), CASE WHEN x.m LIKE '____-%' THEN 'yyyy-MM-dd' ELSE replace(if(try_to_date(translate(x.m, '.', '/'), 'dd/MM/yyyy') IS NULL, 'MM/dd/yyyy', 'dd/MM/yyyy'), '/', substring(x.m, 3, 1)) END)
             ELSE array_join(transform(sequence(1, length(x.m)), i -> if(substring(x.m, i, 1) RLIKE '[0-9]', substring(x.d, length(regexp_replace(left(x.m, i), '[^0-9]', '')), 1), substring(x.m, i, 1))), '') END)""",
     ]
     out = steps[0]
@@ -109,18 +112,23 @@ def _patterns(text: str) -> str:
     return f"if(`{text}` RLIKE {_sql('[0-9](?:[ -]?[0-9]){12}')}, {one}, {_sql(_ANY)})"
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
-    """The documents with private values in ``text`` replaced; all other columns stay.
+def pseudonymized(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
+    """The documents with private values in ``text`` replaced; all other columns stay, whatever their names.
 
-    ``count`` names a column for the number of values replaced. A null text stays null with 0, texts
-    without private values stay as they are, rows that repeat stay equal. An empty table gives an empty one.
+    The network can be undone with the ``key``, so a deployment keeps it secret. ``count`` names a column for
+    the number of values replaced (in place of one of that name). A null text stays null with 0, empty texts and
+    those without private values stay as they are, rows that repeat stay equal, texts of any length are read
+    whole. An empty table gives an empty one.
     """
-    may = F.col(text).rlike("[0-9@]|[a-fA-F]{32}")
-    df = docs.withColumn("_any", F.expr(_patterns(text))).withColumn("_found", F.when(may, F.regexp_extract_all(text, F.col("_any"), F.lit(0))))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{text}`").alias("_text"))
+    may = F.col("_text").rlike("[0-9@]|[a-fA-F]{32}")
+    df = df.withColumn("_any", F.expr(_patterns("_text"))).withColumn("_found", F.when(may, F.regexp_extract_all("_text", F.col("_any"), F.lit(0))))
     df = df.withColumn("_new", F.when(F.size("_found") > 0, F.expr(_private(key))))
-    joined = F.expr(f"array_join(zip_with(split(`{text}`, _any, -1), zip_with(_new, _found, (n, o) -> coalesce(n, o)), (g, n) -> concat(g, coalesce(n, ''))), '')")
+    joined = F.expr("array_join(zip_with(split(_text, _any, -1), zip_with(_new, _found, (n, o) -> coalesce(n, o)), (g, n) -> concat(g, coalesce(n, ''))), '')")
     replaced = F.coalesce(F.expr("size(filter(_new, n -> n IS NOT NULL))"), F.lit(0))
+    columns = [F.when(F.col("_new").isNotNull(), joined).otherwise(F.col("_text")).alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns if c != count]
     if count:
-        df = df.withColumn(count, F.when(F.col("_new").isNotNull(), replaced).otherwise(0).cast("long"))
-    df = df.withColumn(text, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text)))
-    return df.drop("_any", "_found", "_new")
+        columns.append(F.when(F.col("_new").isNotNull(), replaced).otherwise(0).cast("long").alias(count))
+    return df.select(columns)
