@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD
+from .common import WORD, cut
 
 GRAM = 3
 WINDOW = 4
 #: Keys in a span; spans up to the second number are sent to every task (64 MB), beyond it they are joined by shuffle.
 SPAN = 512
 BROADCAST_SPANS = 4_000_000
+#: Groups of rows without a key.
+NULL_GROUPS = 4096
 #: A long holds a hash of 32 bits above 31 bits that fall as the position rises, so the least is the rightmost of equals.
 _LAST = (1 << 31) - 1
 
@@ -64,10 +66,14 @@ def likeness(a: str, b: str) -> Column:
 
 def _spans(ids: DataFrame, span: int) -> DataFrame:
     """(top, to): the largest id of each span of ids and the span above, which needs it as its lowest row's
-    next document; the very largest goes to the lowest span. One row a span."""
+    next document; the very largest goes to the lowest span. One row a span. Spans are followed within groups of
+    ``span * 8`` of them, groups among one another, so that no task sees all spans."""
     tops = ids.where("id is not null").groupBy(F.floor(F.col("id") / span).alias("span")).agg(F.max("id").alias("top"))
-    above = F.lag("span").over(W.orderBy(F.col("span").desc()))
-    return tops.select("top", F.coalesce(above, F.min("span").over(W.partitionBy())).alias("to"))
+    tops = cut(tops.withColumn("g", F.floor(F.col("span") / (span * 8))))
+    groups = tops.groupBy("g").agg(F.min("span").alias("low"))
+    above = F.coalesce(F.lag("low").over(W.orderBy(F.col("g").desc())), F.min("low").over(W.partitionBy()))
+    within = F.lag("span").over(W.partitionBy("g").orderBy(F.col("span").desc()))
+    return tops.join(groups.select("g", above.alias("next")), "g").select("top", F.coalesce(within, "next").alias("to"))
 
 
 def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -77,8 +83,12 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     descending order of the key. Texts move once, to the span of their key, where the next document is
     the next row; a span's first row also goes to the span above. Returns the key, ``n_chars``,
     ``edited``, ``fingerprint``, ``edited_fingerprint`` array<long> and ``near_edited``, ``near_next``
-    double. A null text is empty; rows with a null key follow one another, as do rows that repeat a key,
-    in the order of their texts' hashes. An empty table gives an empty one.
+    double.
+
+    A null text is empty. Rows that repeat a key follow one another in the order of their texts' hashes. Rows
+    with a null key are no part of that order: they are dealt into ``NULL_GROUPS`` groups by their texts' hashes
+    and follow one another within a group; the next document of a group's last row is empty. A text of any length
+    is read whole. An empty table gives an empty one. Only the key and the text are read.
     """
     own = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     tops = _spans(own.select("id"), span)
@@ -86,9 +96,10 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     both = own.join(F.broadcast(tops) if few else tops, F.col("id") == F.col("top"), "left")
     places = F.array(F.struct(F.floor(F.col("id") / span).alias("span"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("span"), F.lit(True).alias("guest")))
     both = both.select("id", "_text", F.explode(F.filter(places, lambda p: ~p.guest | p.span.isNotNull())).alias("p")).select("id", "_text", "p.span", "p.guest")
+    both = both.withColumn("part", F.when(F.col("id").isNull(), F.pmod(F.xxhash64("_text"), F.lit(NULL_GROUPS))).otherwise(0))
     # fingerprints are taken behind the shuffle, so that only texts are shuffled
-    both = winnowed(both.repartition("span"), "_text", "fingerprint").withColumn("_a", hashes("fingerprint"))
-    order = W.partitionBy("span").orderBy("guest", F.col("id").desc(), F.xxhash64("_text"))
+    both = winnowed(both.repartition("span", "part"), "_text", "fingerprint").withColumn("_a", hashes("fingerprint"))
+    order = W.partitionBy("span", "part").orderBy("guest", F.col("id").desc(), F.xxhash64("_text"))
     both = both.withColumn("_follows", F.lead(F.struct(F.col("_text").alias("t"), F.col("_a").alias("a"))).over(order)).where("NOT guest")
     third = F.expr("length(_text) div 3").cast("int")
     start = F.substring(F.coalesce("_follows.t", F.lit("")), F.lit(1), third)
