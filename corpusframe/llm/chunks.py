@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Mean and largest bytes of a chunk, and the least bytes of a repeated passage.
-MEAN = 24
+MEAN = 32
 LONGEST = 512
 _SIZE_BITS = 12
 PASSAGE = 72
@@ -183,7 +185,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     chunks = rows.mapInArrow(_rows(mean), "id long, digest long, place long")
     held = lambda df, by: df.groupBy(by).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(by, "low")
-    again = chunks.join(held(chunks, "digest").select("digest"), "digest").select("id", "digest", F.shiftright("place", _SIZE_BITS).alias("at"), F.col("place").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1)).alias("size"))
+    # a written table on one side lets a digest with very many places be split over tasks on the other
+    again = chunks.join(cut(held(chunks, "digest").select("digest")), "digest").select("id", "digest", F.shiftright("place", _SIZE_BITS).alias("at"), F.col("place").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1)).alias("size"))
     spans = again.repartition("id").sortWithinPartitions("id", "at", "size", "digest").mapInArrow(_spans(passage), "id long, span long, start long, size long, nth long, chunks long")
     found = spans.join(held(spans, "span"), "span").select("id", "start", "size", "low", "nth", "chunks")
     pieces = found.repartition("id").sortWithinPartitions("id", "start", "size", "low").mapInArrow(_pieces, "id long, start long, size long, chunks long, first_id long")
@@ -191,10 +194,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without the pieces that a document with a smaller key holds; all columns stay."""
-    drop = repeated_passages(docs, key, text, **options).where("NOT keep").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("_drop"))
+    """The documents without the pieces that a document with a smaller key holds; all columns stay.
+
+    Null texts and keys, empty texts and documents without such a piece stay as they are. Rows that repeat a
+    key are one document where pieces are looked for, so each loses the pieces that any of them is to lose.
+    """
+    drop = repeated_passages(docs, key, text, **options).where("NOT keep").groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("drop"))
     names = docs.columns
     at = names.index(text)
+    whole = docs.select(F.col(key).cast("long").alias("_key"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"))
 
     def run(batches):
         for batch in batches:
@@ -204,12 +212,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
                 if t is not None and d:
                     data, left, end = t.encode(), [], 0
                     for x in d:
-                        left.append(data[end : x["start"]])
-                        end = x["start"] + x["size"]
-                    t = b"".join([*left, data[end:]]).decode()
+                        left.append(data[end : max(end, x["start"])])
+                        end = max(end, x["start"] + x["size"])
+                    t = b"".join([*left, data[end:]]).decode("utf-8", "ignore")
                 new.append(t)
             columns = batch.columns[: len(names)]
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.join(drop, key, "left").select(*names, "_drop").mapInArrow(run, docs.schema)
+    joined = whole.join(drop, F.col("_key") == F.col("_k"), "left").select(*(F.col("doc")[c].alias(f"c{i}") for i, c in enumerate(names)), "drop")
+    return joined.mapInArrow(run, docs.schema)

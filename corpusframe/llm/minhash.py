@@ -153,12 +153,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """Components of documents whose shingle sets have ``100 * shared >= percent * union``.
 
     Returns the key, ``n_shingles`` long, ``component_id`` (the smallest key reachable) and ``kept``
-    boolean. Null, empty and blank texts have no shingles, link with nothing and are kept. Rows that
-    repeat a key are the same document; equal sets are linked. An empty table gives an empty one.
+    boolean. Null, empty and blank texts have no shingles, link with nothing and are kept, and so do rows with
+    a null key, whose component is that of their set. Equal sets are linked. Rows that repeat a key are one
+    document: of different texts the one with the smallest hash stands for it in comparisons, and equal sets of
+    any are linked. Whole texts are compared, however long. An empty table gives an empty one.
     """
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = cut(source.mapInArrow(_signed, "id long, set_id string, n long, keys array<long>"))
-    classes = signed.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("rep"))
+    # written, so that a set with very many documents can be split over tasks where it is joined
+    classes = cut(signed.where("set_id is not null").groupBy("set_id").agg(F.min("id").alias("rep")))
     reps = signed.join(classes, (signed.set_id == classes.set_id) & (signed.id == classes.rep), "left_semi")
     keys = reps.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("held")).where("held > 1")
@@ -166,7 +169,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     stars = cut(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     wanted = cut(stars.select("a").union(stars.select("b")).toDF("id").distinct())
     few = wanted.count() <= BROADCAST_IDS
-    sets = cut(source.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, hashes array<long>"))
+    sets = cut(source.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")).mapInArrow(_sets, "id long, hashes array<long>"))
     links = cut(_confirmed(stars, sets, percent))
     found = components(links)
     split = members.where("held > 2").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

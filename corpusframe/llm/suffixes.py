@@ -163,7 +163,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     marks = rows.mapInArrow(_marks, "id long, gram long, at long")
     many = F.count("*") > NEIGHBOURS + 1
-    held = marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), many.alias("many")).where("low < high").select("gram", "many")
+    # a written table on one side lets a gram with very many places be split over tasks on the other
+    held = cut(marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), many.alias("many")).where("low < high").select("gram", "many"))
     places = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("at"))))
     chosen = cut(marks.join(held, "gram").groupBy("id").agg(places(~F.col("many")).alias("places"), places(F.col("many")).alias("common")))
     windows = rows.join(chosen.where("size(common) > 0"), "id").select("id", "text", "common").mapInArrow(_windows, "id long, window long, at long")
