@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, chunks, fingerprint, language, licences, minhash, mixing, privacy, quality, suffixes
 from .common import documents
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "privacy_key", "tokenizer_path"]
 
 
 def tokenizer_path() -> str:
@@ -17,6 +20,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def privacy_key(spark: SparkSession) -> str:
+    """The key of a deployment; the test tables, which hold no real person's data, are read under a public one."""
+    return spark.conf.get(privacy.KEY_SETTING, None) or "public key of the test tables"
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
@@ -30,7 +38,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return privacy.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"), count="n_private")
+    return privacy.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"), privacy_key(spark), count="n_private")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +61,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     dictionaries = language.fit(docs, ~F.coalesce(held_out, F.lit(False)))
-    return language.identified(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return language.identified(docs.select("doc_id", "text"), dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", language.told("lang_pred", "score").alias("accepted"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +69,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.References(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op2_chunk_dedup, op3_bpe, op4_pii, op5_suffix_dedup, op6_licences, op7_minhash, op8_winnow, op9_language, op10_quality)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: sizes and targets."""
+    return op1_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: the decoded texts are the texts."""
+    return op3_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: which words lie in passages of 50 words that other documents hold too."""
+    return op5_suffix_dedup(spark, sf_dir).select("doc_id", F.col("first_word").cast("long").alias("first_word"), F.col("n_words").cast("long").alias("n_words"))
+
+
+def winnow_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: lengths and edited texts."""
+    return op8_winnow(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: the fold of a document, and whether it has a letter at all."""
+    return op9_language(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
+
 
-#: None of these can be expressed in SQL; tests/llm holds each against a brute-force version, a round trip or held-out accuracy.
-ORACLES: dict[str, str] = {}
+_OPERATORS = (op1_mix, op2_chunk_dedup, op3_bpe, op4_pii, op5_suffix_dedup, op6_licences, op7_minhash, op8_winnow, op9_language, op10_quality)
+_PARTS = (mix_targets, bpe_round_trip, suffix_passages, winnow_edits, language_folds)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_OPERATORS, *_PARTS)}

@@ -28,7 +28,7 @@ def odd(spark):
 def everything(df):
     return {
         "mix": mixing.mixed_sizes(df), "mixed": mixing.mixed_documents(df), "bpe": bpe.digests(bpe.encode_decode(df, tokenizer_path())),
-        "pii": privacy.pseudonymized(df, count="n"), "licences": licences.scanned(df), "minhash": minhash.near_duplicates(df),
+        "pii": privacy.pseudonymized(df, "k", count="n"), "licences": licences.scanned(df), "minhash": minhash.near_duplicates(df),
         "winnow": fingerprint.digests(fingerprint.compared(df)), "language": language.identified(df, language.fit(df)),
         "quality": quality.judged(df, quality.References(df)), "chunks": chunks.repeated_passages(df), "clean": chunks.without_repeats(df), "suffixes": suffixes.repeated_passages(df),
     }
@@ -85,7 +85,7 @@ def test_mix_meets_its_targets(spark):
 
 def test_privacy(spark):
     texts = ["4068516892505468 +1 (830) 555-5433 10.1.2.255 a.b@mail3.example.com 1984-02-29", "pay 4068-5168-9250-5468", "4068516892505467 1984-02-30 version 1.2.3", None]
-    got = {r.doc_id: r for r in privacy.pseudonymized(table(spark, texts), count="n").collect()}
+    got = {r.doc_id: r for r in privacy.pseudonymized(table(spark, texts), "k", count="n").collect()}
     assert [got[i].n for i in range(4)] == [5, 1, 0, 0] and got[2].text == texts[2] and got[3].text is None
     assert re.fullmatch(r"\d{16} \+1 \(\d{3}\) \d{3}-\d{4} (\d{1,3}\.){3}\d{1,3} \S+@\S+ \d{4}-\d{2}-\d{2}", got[0].text)
     card = got[0].text.split()[0]
@@ -185,7 +185,7 @@ def test_cards_beside_numbers(spark):
     cards = ["4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "3400 000000 00009"]
     put = ["{} 12 items", "{} 123", "12 {}", "1234 {} 5678", "{}-7", "{} {}", "{} 4845168114407328 77", "at 12 1234 {}, 2024-02-28"]
     texts = [p.replace("{}", c) for c in cards for p in put] + ["7536784127813050 4845168114407329"]
-    got = {r.doc_id: r for r in privacy.pseudonymized(table(spark, texts), count="n").collect()}
+    got = {r.doc_id: r for r in privacy.pseudonymized(table(spark, texts), "k", count="n").collect()}
     plain = {}
     for i, t in enumerate(texts[:-1]):
         c = cards[i // len(put)]
