@@ -32,16 +32,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import keep
+from .common import forget, fresh, keep
 
 #: The split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose encoding each Python worker keeps; the memory is emptied when it is full.
-KEPT_WORDS = 400_000
+#: Bytes of words and their ids that a Python worker keeps in each of two generations, the bytes beyond which a
+#: word is not kept, and the arcs that a worker keeps.
+KEPT_BYTES = 20_000_000
+LONGEST_KEPT = 64
+KEPT_ARCS = 300_000
+#: What Python itself needs for one kept word: two objects and a place in a table.
+_ENTRY = 180
 #: Tokens in one Arrow batch that leaves a worker.
-BATCH_TOKENS = 1_000_000
-FOREVER = 1 << 60
+BATCH_TOKENS = 500_000
+#: Numbers of merges lie below this one.
+_NEVER = (1 << 31) - 1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,7 +74,7 @@ class Automaton:
         self.arcs: dict[int, bool] = {}
         for b, t in self.ids.items():
             if len(b) == 1:
-                self.lines[t], self.stems[t] = [(t, FOREVER)], [(t, FOREVER)]
+                self.lines[t], self.stems[t] = [(t, _NEVER)], [(t, _NEVER)]
         for number, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(number, self.ids[to_bytes(left)], self.ids[to_bytes(right)], self.ids[to_bytes(left + right)])
@@ -79,19 +86,41 @@ class Automaton:
         self.sizes = {t: len(b) for b, t in self.accepted.items()}
         self.split = regex.compile(SPLIT)
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, bytes] = keep({})
-        self.spaced: dict[str, bytes] = keep({})
+        self._pack()
+        self.memory: dict[str, bytes] = {}  # words met lately
+        self.older: dict[str, bytes] = {}  # those met before; what is not met again goes when the memory is full
+        self.held = 0
+
+    def _pack(self) -> None:
+        """Lists of pairs become runs in flat arrays; tokens of other automata or not in use have empty ones."""
+        top = max(self.lines, default=-1) + 1
+        for name in ("lines", "stems"):
+            lists = getattr(self, name)
+            flat, starts = array("i"), array("i", [0])
+            for t in range(top):
+                for owner, limit in lists.get(t, ()):
+                    flat.extend((owner, min(limit, _NEVER)))
+                starts.append(len(flat))
+            setattr(self, name, flat)
+            setattr(self, f"{name}_at", starts)
+
+    def runs(self, name: str, token: int) -> list[tuple[int, int]]:
+        """The (owner or stem, number) pairs of a token in the compiled table ``lines`` or ``stems``."""
+        flat, starts = getattr(self, name), getattr(self, f"{name}_at")
+        run = flat[starts[token] : starts[token + 1]]
+        return list(zip(run[::2], run[1::2], strict=True))
+
 
     def _gadget(self, number: int, a: int, b: int, c: int) -> None:
-        if a not in self.lines or b not in self.lines or c in self.lines or not self._leads(a, b):
+        if a not in self.lines or b not in self.lines or c in self.lines or not self._leads(self.lines[a], self.stems[b]):
             return
-        self.lines[c] = [(c, FOREVER)] + [(r, min(limit, number)) for r, limit in self.lines[b]]
-        self.stems[c] = [(c, FOREVER)] + [(p, min(limit, number)) for p, limit in self.stems[a]]
+        self.lines[c] = [(c, _NEVER)] + [(r, min(limit, number)) for r, limit in self.lines[b]]
+        self.stems[c] = [(c, _NEVER)] + [(p, min(limit, number)) for p, limit in self.stems[a]]
         self.missing[a, b] = number
 
-    def _leads(self, after: int, token: int) -> bool:
-        for owner, branched in self.lines[after]:
-            for stem, used in self.stems[token]:
+    def _leads(self, lines: list[tuple[int, int]], stems: list[tuple[int, int]]) -> bool:
+        for owner, branched in lines:
+            for stem, used in stems:
                 taken = self.missing.get((owner, stem))
                 # a merge of a token with itself takes the arc away before its own arc is added
                 if taken is not None and taken < branched and taken <= used:
@@ -102,9 +131,9 @@ class Automaton:
         """Whether the state after one token has an arc for another."""
         key = after << 32 | token
         if (known := self.arcs.get(key)) is None:
-            if len(self.arcs) > 1_000_000:
+            if len(self.arcs) >= KEPT_ARCS:
                 self.arcs.clear()
-            known = self.arcs[key] = self._leads(after, token)
+            known = self.arcs[key] = self._leads(self.runs("lines", after), self.runs("stems", token))
         return known
 
     def encode_word(self, word: bytes) -> bytes:
@@ -131,28 +160,42 @@ class Automaton:
         out.reverse()
         return array("i", out).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        size = len(word) + len(ids)
+        if size <= LONGEST_KEPT:
+            if self.held >= KEPT_BYTES:
+                self.memory, self.older, self.held = {}, self.memory, 0
+            self.memory[word] = ids
+            self.held += size + _ENTRY
+        return ids
+
+    def _apart(self, word: str) -> bytes:
+        """The ids of a word of the split pattern. One behind a space is kept without it, any other behind one."""
+        key = word[1:] if word[0] == " " else " " + word
+        got = self.memory.get(key)
         if got is None:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            got = self.words[word] = self.encode_word(word.encode())
+            got = self._keep(key, self.older.get(key) or self.encode_word(word.encode()))
         return got
 
     def _spaced(self, part: str) -> bytes:
-        """A part of the text together with the one space before it."""
-        if len(self.spaced) >= KEPT_WORDS:
-            self.spaced.clear()
-        got = self.spaced[part] = b"".join(map(self._word, self.split.findall(" " + part)))
-        return got
+        """The ids of a part of the text together with the one space before it."""
+        got = self.older.get(part)
+        if got is None:
+            words = [" " + part] if part.isalpha() else self.split.findall(" " + part)
+            got = self.encode_word(words[0].encode()) if len(words) == 1 else b"".join(map(self._apart, words))
+        return self._keep(part, got)
 
     def _plain(self, text: str, lone_space=re.compile(r" \s|\s |^ | $").search) -> bytes:
         """Where every space stands alone between other characters, the pattern always splits before it."""
         if lone_space(text):
-            return b"".join(map(self._word, self.split.findall(text)))
+            return b"".join(map(self._apart, self.split.findall(text)))
         first, *rest = text.split(" ")
-        known, new = self.spaced.get, self._spaced
-        return b"".join(map(self._word, self.split.findall(first))) + b"".join([known(x) or new(x) for x in rest])
+        new, out, i = self._spaced, [b"".join(map(self._apart, self.split.findall(first)))], 0
+        while i < len(rest):  # the memory changes when it is full, so that its method is named anew now and then
+            known = self.memory.get
+            out += [known(part) or new(part) for part in rest[i : i + 1000]]
+            i += 1000
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         out = []
@@ -177,11 +220,16 @@ _compiled: dict[int, Automaton] = {}
 
 
 def _automaton(spec) -> Automaton:
+    """The automaton of this worker; another tokenizer's goes, and other operators' memories with it."""
     if spec.id not in _compiled:
+        forget()
         _compiled[spec.id] = Automaton(json.loads(spec.value))
     return _compiled[spec.id]
 
 
+keep(_compiled)
+
+
 class _Shared:
     """A broadcast value with an identity that workers can keep the compiled automaton under."""
 
@@ -197,20 +245,20 @@ class _Shared:
 def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Token ids of every whole text and the text that they decode to.
 
-    Returns the key, the ``keep`` columns, ``ids`` array<int> and ``decoded`` string. A null text counts
-    as empty and gives no ids. Repeated rows and keys stay as they are; an empty table gives an empty one.
+    Returns the key, the ``keep`` columns, ``ids`` array<int> and ``decoded`` string; of these two names a kept
+    column gives way. A null text counts as empty and gives no ids, a text of any length is encoded whole.
+    Repeated rows and null keys stay as they are; an empty table gives an empty one.
     """
-    kept = [key, *(keep or [])]
-    source = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kept = [key, *(c for c in keep or [] if c not in ("ids", "decoded"))]
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(text), F.lit("")).alias(fresh("_text", docs)))
     shared = _Shared(docs.sparkSession, tokenizer)
-    schema = source.select(*kept, F.lit(None).cast("array<int>").alias("ids"), F.col("_text").alias("decoded")).schema
+    schema = T.StructType([*(docs.schema[c] for c in kept), *T.StructType.fromDDL("ids array<int>, decoded string").fields])
 
     def run(batches):
         automaton = _automaton(shared)
         for batch in batches:
-            texts = batch.column(len(kept))
             ids, decoded, start, size = [], [], 0, 0
-            for row, t in enumerate(texts):
+            for row, t in enumerate(batch.column(len(kept))):
                 got = automaton.encode(t.as_py())
                 decoded.append(automaton.decode(got.tolist()))
                 ids.append(got)
