@@ -11,7 +11,11 @@ ALEF_FORMS = "أإآٱ"
 ALEF, ALEF_MAKSURA, YEH = "ا", "ى", "ي"
 ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
 DIGITS = "[0-9٠-٩]"
-SMALL_WORDS = ["of", "the", "and", "in", "on", "to", "for", "a", "an", "by", "or", "from", "with", "at"]
+SMALL_WORDS = ["of", "the", "and", "in", "on", "to", "for", "a", "an", "by", "or", "from", "with", "at", "as"]
+LIGATURES = {"\ue811": "لمه", "\ue812": "به", "\ue814": "ته", "\ue815": "نه"}
+LAM = "ل"
+ANSWER_IN = {"ar": "أجب باللغة العربية.", "en": "Answer in English."}
+LEVEL_NAMES = {"part": ("Part", "القسم"), "book": ("Book", "الكتاب"), "chapter": ("Chapter", "الباب"), "section": ("Section", "الفصل"), "topic": ("Topic", None)}
 ORDINALS_AR = ["الأول", "الثاني", "الثالث", "الرابع", "الخامس", "السادس", "السابع", "الثامن", "التاسع", "العاشر"]
 
 
@@ -40,18 +44,24 @@ def clean_en(c) -> Column:
 
 
 def clean_ar(c) -> Column:
-    """White space, brackets that the layout mirrored, and Arabic punctuation (STR-05)."""
-    x = F.regexp_replace(_col(c), r"\s+", " ")
-    x = F.regexp_replace(x, r"\(\s*([0-9٠-٩]+)\s*\(", "($1)")
-    x = F.regexp_replace(x, r"(^|\s)([0-9٠-٩]+)\(", "$1$2)")
-    return strip(F.regexp_replace(x, r" ([،؛.:؟])", "$1"))
-
-
-def ligatures(c, glyphs: dict[str, str]) -> Column:
-    """Private-use glyphs to letters, by a table that the caller has from its font (STR-06)."""
-    for glyph, letters in glyphs.items():
-        c = F.regexp_replace(_col(c), glyph, letters)
-    return _col(c)
+    """White space, ligature glyphs, list marks whose brackets the layout mirrored, stray brackets, and no space
+    before punctuation (STR-05)."""
+    x = ligatures(strip(F.regexp_replace(_col(c), r"\s+", " ")))
+    x = F.regexp_replace(x, r"^[()]\s*([٠-٩]+|[ء-ي]ـ?)\s*[()]", "($1)")
+    x = F.regexp_replace(x, r"^([٠-٩]+)\s*[()]\s*", "$1) ")
+    x = F.regexp_replace(x, r"(?:^|\s)[()](?=\s|$)", " ")
+    x = F.regexp_replace(x, r"\s+([،.؛:؟!])", "$1")
+    return strip(F.regexp_replace(x, r"\s+", " "))
+
+
+def ligatures(c, glyphs: dict[str, str] | None = None) -> Column:
+    """Private-use glyphs to letters (STR-06). One that stands behind a letter and before a space belongs to the
+    word after it, as the layout draws it before the space."""
+    table = LIGATURES if glyphs is None else glyphs
+    c = F.regexp_replace(_col(c), rf"(\S)([{''.join(table)}]) (?=\S)", "$1 $2")
+    for glyph, letters in table.items():
+        c = F.replace(c, F.lit(glyph), F.lit(letters))
+    return c
 
 
 def roman_to_int(c) -> Column:
@@ -66,26 +76,41 @@ def roman_to_int(c) -> Column:
 def smart_title(c) -> Column:
     """Title case for text all in capitals; small words stay small unless first (STR-09)."""
     c = _col(c)
-    words = F.split(F.lower(c), " ")
+    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     titled = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))))
     return F.when((c == F.upper(c)) & (c != F.lower(c)), F.array_join(titled, " ")).otherwise(c)
 
 
 def clean_title_en(c) -> Column:
-    return smart_title(F.regexp_replace(strip(c), r"[:. ]+$", ""))
+    return smart_title(strip(F.regexp_replace(strip(c), r"[:. ]+$", "")))
 
 
 def clean_title_ar(c) -> Column:
-    """No outer brackets, no trailing marks, null when nothing is left (STR-10)."""
-    x = F.regexp_replace(F.regexp_replace(strip(c), r"^[(\[]+|[)\]]+$", ""), r"[:. ]+$", "")
+    """No round brackets around it, no trailing marks, null when nothing is left (STR-10)."""
+    x = F.regexp_replace(strip(F.regexp_replace(strip(c), r"^[()]+|[()]+$", "")), r"[:.]+$", "")
     return F.nullif(strip(x), F.lit(""))
 
 
+#: Marker lines of both languages, alone or with text behind them on the same line.
+MARKERS = [r"^A?rticle\s*([0-9]+)$", r"^مادة\s*[()]?\s*([0-9٠-٩]+)\s*[()]?$"]
+GLUED_MARKERS = [r"^A?rticle\s*([0-9]+)\s+(?=[A-Z(])(.+)$", r"^مادة\s*[()]?\s*([0-9٠-٩]+)\s*[()]?\s+(.+)$"]
+
+
+def marker(c) -> Column:
+    """(number, rest) of a line that is a marker of either language, ``rest`` the text that is glued to it or
+    null; null for any other line (STR-13)."""
+    c = _col(c)
+    found = F.lit(None).cast("struct<number: int, rest: string>")
+    for pattern in reversed(GLUED_MARKERS):
+        found = F.when(c.rlike(pattern), F.struct(fold_digits(F.regexp_extract(c, pattern, 1)).try_cast("int").alias("number"), F.regexp_extract(c, pattern, 2).alias("rest"))).otherwise(found)
+    for pattern in reversed(MARKERS):
+        found = F.when(c.rlike(pattern), F.struct(fold_digits(F.regexp_extract(c, pattern, 1)).try_cast("int").alias("number"), F.lit(None).cast("string").alias("rest"))).otherwise(found)
+    return found
+
+
 def marker_number(c) -> Column:
-    """The number of a line that is a marker of either language, else null (STR-13)."""
-    en = F.regexp_extract(_col(c), rf"^\s*A?rticle\s*\(?({DIGITS}+)\)?\s*:?\s*$", 1)
-    ar = F.regexp_extract(_col(c), rf"^\s*مادة\s*\(?({DIGITS}+)\)?\s*:?\s*$", 1)
-    return fold_digits(F.coalesce(F.nullif(en, F.lit("")), F.nullif(ar, F.lit("")))).try_cast("int")
+    """The number of a marker line of either language, else null (STR-13)."""
+    return marker(c)["number"]
 
 
 def repeal_range(c) -> Column:
@@ -95,17 +120,22 @@ def repeal_range(c) -> Column:
     return F.when(a.isNotNull(), F.struct(a.alias("first"), b.alias("last")))
 
 
+#: How questions name articles, and how answers cite them.
+NAMED_EN = r"(?i)\barticles?\s+([0-9]{1,4})\b"
+NAMED_AR = r"(?:المادة|مادة|المواد)\s*(?:رقم\s*)?[(]?\s*([0-9٠-٩]{1,4})"
+CITED = r"(?i)[\[【［]\s*Art(?:icle)?s?\.?\s*([0-9٠-٩]+)\s*[\]】］]"
+
+
 def numbers_in_question(c, first: int, last: int) -> Column:
     """Numbers named in a question, English mentions before Arabic ones, first seen first (STR-15)."""
-    en = F.regexp_extract_all(_col(c), F.lit(rf"(?i)\bart(?:icles?|\.)?\s*\(?({DIGITS}{{1,4}})"), F.lit(1))
-    ar = F.regexp_extract_all(_col(c), F.lit(rf"(?:ال)?ماد[ةه]\s*\(?({DIGITS}{{1,4}})"), F.lit(1))
-    numbers = F.transform(F.concat(en, ar), lambda x: fold_digits(x).try_cast("int"))
+    found = F.concat(*(F.regexp_extract_all(_col(c), F.lit(p), F.lit(1)) for p in (NAMED_EN, NAMED_AR)))
+    numbers = F.transform(found, lambda x: fold_digits(x).try_cast("int"))
     return F.array_distinct(F.filter(numbers, lambda x: x.between(first, last)))
 
 
 def extract_citations(c) -> Column:
     """Distinct cited numbers in the order of the text (STR-16)."""
-    found = F.regexp_extract_all(_col(c), F.lit(rf"(?i)[\[【]\s*(?:articles?|art\.?|مادة)\s*({DIGITS}+)\s*[\]】]"), F.lit(1))
+    found = F.regexp_extract_all(_col(c), F.lit(CITED), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: fold_digits(x).try_cast("int")))
 
 
@@ -126,6 +156,81 @@ def heading_path(levels: list[tuple[str, Column, Column]]) -> Column:
     return F.concat_ws(" > ", *parts)
 
 
+def record_path() -> Column:
+    """The bilingual path of a record (STR-18): ``Section 2 Persons | الفصل الثاني الأشخاص > ...``. Numbers up to ten
+    are spelled in Arabic, topics have no Arabic label; a level without number and English title is left out."""
+    spelled = F.create_map(*(F.lit(x) for i, w in enumerate(ORDINALS_AR, 1) for x in (i, w)))
+    filled = lambda x: F.nullif(_col(x), F.lit(""))
+    parts = []
+    for level, (en, ar) in LEVEL_NAMES.items():
+        n, title_en, title_ar = F.col(f"{level}_number"), filled(f"{level}_title_en"), filled(f"{level}_title_ar")
+        left = F.when(n.isNotNull(), F.concat_ws(" ", F.lit(en), n.cast("string"), title_en)).otherwise(title_en)
+        right = title_ar if ar is None else F.when(n.isNotNull(), F.concat_ws(" ", F.lit(ar), F.coalesce(F.try_element_at(spelled, n.cast("int")), n.cast("string")), title_ar)).otherwise(title_ar)
+        parts.append(F.when(left.isNotNull(), F.concat_ws(" | ", left, right)))
+    sub = filled("subtopic_title_en")
+    parts.append(F.when(sub.isNotNull(), F.concat_ws(" | ", sub, filled("subtopic_title_ar"))))
+    return F.concat_ws(" > ", *parts)
+
+
+def record_header() -> Column:
+    """The path and the label line of a record (STR-19)."""
+    n = F.col("article_number").cast("string")
+    label = F.concat(F.lit("Article "), n, F.lit(" | مادة "), n, F.when(F.col("is_repealed"), " (repealed | ملغاة)").otherwise(""))
+    return lines(record_path(), label)
+
+
+def record_body(lang: str | None = None) -> Column:
+    """The text of a record, or its repeal note, in one language or both (STR-19, STR-27)."""
+    side = {"ar": F.when(F.col("is_repealed"), F.col("repeal_note_ar")).otherwise(F.col("text_ar")), "en": F.when(F.col("is_repealed"), F.col("repeal_note")).otherwise(F.col("text_en"))}
+    return lines(*([side[lang]] if lang else [side["ar"], side["en"]]))
+
+
+def question_message(question, context) -> Column:
+    """What a model is asked: the articles, the question, and the language to answer in (STR-26)."""
+    say = F.when(question_language(question) == "ar", ANSWER_IN["ar"]).otherwise(ANSWER_IN["en"])
+    return F.concat(F.lit("<articles>\n"), _col(context), F.lit("\n</articles>\n\n<question>\n"), _col(question), F.lit("\n</question>\n\n"), say)
+
+
+def run_name(strategy, model, size, overlap) -> Column:
+    """The name of a grid run (STR-22): windows carry their size and overlap."""
+    window = F.concat(F.lit("-"), _col(size).cast("string"), F.lit("o"), F.coalesce(_col(overlap), F.lit(0)).cast("string"))
+    return F.concat(_col(strategy), F.when(_col(strategy) == "window", window).otherwise(""), F.lit("__"), F.element_at(F.split(_col(model), "/"), -1))
+
+
+def stamped_name(ts) -> Column:
+    """``20240131-0859`` in UTC (DAT-01)."""
+    return F.date_format(_col(ts), "yyyyMMdd-HHmm")
+
+
+def topic_group(c) -> Column:
+    """What stands before the colon (MIS-15)."""
+    return strip(F.split_part(_col(c), F.lit(":"), F.lit(1)))
+
+
+def present(entries) -> Column:
+    """A map without its null values (MAP-02)."""
+    return F.map_filter(_col(entries), lambda k, v: v.isNotNull())
+
+
+def overridden(a, b) -> Column:
+    """A map with the entries of another one, which win (MAP-01)."""
+    return F.map_concat(F.map_filter(_col(a), lambda k, v: ~F.map_contains_key(_col(b), k)), _col(b))
+
+
+def under_prefix(entries, prefix: str) -> Column:
+    """The entries whose key begins with a prefix, without it (MAP-03)."""
+    own = F.map_filter(_col(entries), lambda k, v: k.startswith(prefix))
+    return F.transform_keys(own, lambda k, v: F.substring(k, F.lit(len(prefix) + 1), F.length(k)))
+
+
+def megabytes(size) -> Column:
+    return F.round(_col(size) / (1024.0 * 1024.0), 1)
+
+
+def milliseconds(seconds) -> Column:
+    return F.round(_col(seconds) * 1000.0, 1)
+
+
 def lines(*parts) -> Column:
     """Non-empty parts, a line each (STR-19, STR-27)."""
     return F.concat_ws("\n", *(F.nullif(_col(p), F.lit("")) for p in parts))

@@ -40,8 +40,15 @@ def held_out(pool: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
 
 
 def traffic(key: str, weight: int) -> Column:
-    """A fixed share of keys goes to the canary (STF-11)."""
-    return F.when(F.pmod(F.xxhash64(key), F.lit(100)) < weight, "canary").otherwise("stable")
+    """A fixed share of keys, in percent, goes to the canary (STF-11)."""
+    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 4), 16, 10).cast("int") % 100
+    return F.when(bucket < weight, "canary").otherwise("stable")
+
+
+def failed_over(calls: DataFrame, side: str, ts: str, ok: str, fails: int = 2, seconds: int = 10) -> DataFrame:
+    """Calls with ``down``: their side has failed so many times in the seconds before them (STF-11)."""
+    recent = W.partitionBy(side).orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-seconds, -1)
+    return calls.withColumn("down", F.coalesce(F.sum((~F.col(ok)).cast("int")).over(recent), F.lit(0)) >= fails)
 
 
 def latest_version(rows: DataFrame, key: str, version: str) -> DataFrame:

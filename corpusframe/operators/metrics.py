@@ -112,3 +112,97 @@ def warm_latency(calls: DataFrame, series: list[str], order: list[str], by: str,
     """Mean of the calls after each series' first ones (MIS-11)."""
     seq = F.row_number().over(W.partitionBy(*series).orderBy(*order))
     return calls.withColumn("_seq", seq).where(F.col("_seq") > warmup).groupBy(by).agg(F.round(F.avg(value), 4).alias("mean"), F.count("*").alias("n"))
+
+
+def throughput(df: DataFrame, tokens: str, texts: str, seconds: str) -> DataFrame:
+    """Tokens and texts a second over all rows; null where no time was taken (AGG-14)."""
+    rate = lambda c: F.round(F.try_divide(F.sum(c), F.sum(seconds)), 4)
+    return df.agg(rate(tokens).alias("tokens_per_s"), rate(texts).alias("texts_per_s"))
+
+
+def smoke(hits: DataFrame, expected: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """For each query the rank of the document that it should find and its distinct documents among k, and over all
+    queries the share that finds it first (AGG-17). ``hits`` (q, doc, rk), ``expected`` (q, doc)."""
+    near = hits.where(F.col("rk") <= k).join(expected.withColumnRenamed("doc", "want"), "q", "right")
+    rows = near.groupBy("q").agg(F.min(F.when(F.col("doc") == F.col("want"), F.col("rk"))).alias("rank"), F.count_distinct("doc").alias("distinct"))
+    return rows, rows.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce((F.col("rank") == 1).cast("double"), F.lit(0.0))), 4).alias("top1_rate"))
+
+
+def training_summary(rows: DataFrame, positive: str, retrieved: str) -> DataFrame:
+    """Questions, articles and the share of positives that were found (AGG-18); 0 without a question."""
+    return rows.agg(F.count("*").alias("questions"), F.count_distinct(positive).alias("articles"), F.round(F.coalesce(F.avg(F.col(retrieved).cast("double")), F.lit(0.0)), 4).alias("positive_retrieved"))
+
+
+def top_agreement(rows: DataFrame, group: str, item: str, teacher: str, student: str) -> DataFrame:
+    """Share of groups in which student and teacher put the same item first, the first by id of equals (AGG-19)."""
+    best = lambda c: F.min_by(item, F.struct(-F.col(c), F.col(item)))
+    tops = rows.groupBy(group).agg(best(teacher).alias("t"), best(student).alias("s"))
+    return tops.agg(F.count("*").alias("n"), F.round(F.avg((F.col("t") == F.col("s")).cast("double")), 4).alias("agreement"))
+
+
+def compared_answers(answers: DataFrame, group: str, latency: str, ok: str) -> DataFrame:
+    """Answers to one question with whether each is the fastest of those that came, and how its citations stand
+    (AGG-21); ``invalid`` counts its citations of other articles, ``cited`` all of them."""
+    fastest = F.min(F.when(F.col(ok), F.col(latency))).over(W.partitionBy(group))
+    status = F.when(~F.col(ok), "failed").when(F.col("invalid") > 0, "invalid").when(F.col("cited") == 0, "none").otherwise("valid")
+    return answers.withColumn("fastest", F.col(ok) & (F.col(latency) == fastest)).withColumn("citations", status)
+
+
+def grid_latest(grid: DataFrame, runs: DataFrame, order: list[Column]) -> DataFrame:
+    """The latest finished run of each grid row, in the grid's order; rows without a run go (JOI-10). ``grid`` (grid,
+    name, ...), ``runs`` (name, status, ...)."""
+    done = latest(runs.where("status = 'FINISHED'"), "name", order)
+    return grid.join(done.drop("status"), "name").orderBy("grid")
+
+
+def grid_match(grid: DataFrame, production: dict) -> DataFrame:
+    """The grid rows that are the production configuration; size and overlap count for windows alone (MIS-06)."""
+    same = (F.col("strategy") == production["strategy"]) & (F.col("model") == production["model"])
+    window = F.col("size").eqNullSafe(F.lit(production.get("size"))) & F.col("overlap").eqNullSafe(F.lit(production.get("overlap")))
+    return grid.where(same & ((F.col("strategy") != "window") | window))
+
+
+def supported_share(statements: DataFrame, group: str, supported: str) -> DataFrame:
+    """Supported to all statements of each answer (LLM-04); an answer without a statement has no row."""
+    return statements.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(F.col(supported).cast("double")), 4).alias("faithfulness"))
+
+
+def context_precision(ranked: DataFrame, group: str, rank: str, useful: str) -> DataFrame:
+    """Mean precision at the places of the useful contexts, 0 without one (LLM-04)."""
+    by = W.partitionBy(group).orderBy(rank)
+    r = ranked.withColumn("_u", F.col(useful).cast("int"))
+    r = r.withColumn("_p", F.sum("_u").over(by.rowsBetween(W.unboundedPreceding, 0)) / F.row_number().over(by))
+    return r.groupBy(group).agg(F.round(F.coalesce(F.sum(F.col("_p") * F.col("_u")) / F.nullif(F.sum("_u"), F.lit(0)), F.lit(0.0)), 4).alias("precision"))
+
+
+def with_measure(rows: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows with a measure taken later joined in, new values first (FN-11, FN-12)."""
+    kept = F.col(f"_{column}") if column not in rows.columns else F.coalesce(f"_{column}", column)
+    joined = rows.join(new.select(key, F.col(column).alias(f"_{column}")), key, "left")
+    return joined.withColumn(column, kept).drop(f"_{column}")
+
+
+def request_stats(log: DataFrame, by: str, seconds: str, ok: str, ts: str) -> DataFrame:
+    """Requests, failures, percentiles of the good ones, and requests a second of each group (AGG-22)."""
+    good = F.when(F.col(ok), F.col(seconds))
+    p = lambda x: F.round(F.percentile(good, F.lit(x)), 4)
+    span = (F.max(ts).cast("timestamp").cast("double") - F.min(ts).cast("timestamp").cast("double")).alias("span")
+    rows = log.groupBy(by).agg(F.count("*").alias("n"), F.count(F.when(~F.col(ok), 1)).alias("failed"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), span)
+    return rows.withColumn("rate", F.round(F.try_divide("n", "span"), 6)).drop("span")
+
+
+def used_above_idle(samples: DataFrame, ts: str, value: str, start, end, warmup: float) -> DataFrame:
+    """Mean and peak of samples in [start + warm-up, end] and above the mean before the start (AGG-15, FLT-13);
+    times in seconds."""
+    t = F.col(ts)
+    idle, busy = F.when(t < start, F.col(value)), F.when(t.between(start + warmup, end), F.col(value))
+    a = samples.agg(F.count(busy).alias("n"), F.avg(busy).alias("mean"), F.max(busy).alias("peak"), F.avg(idle).alias("idle"))
+    return a.select("n", F.round("mean", 4).alias("mean"), F.round("peak", 4).alias("peak"), F.round("idle", 4).alias("idle"), F.round(F.col("mean") - F.coalesce("idle", F.lit(0.0)), 4).alias("above_idle"))
+
+
+def eval_set(questions: DataFrame) -> DataFrame:
+    """Checks of an evaluation set (AGG-23, MIS-07): questions (id, pair, lang, type, relevant array)."""
+    pairs = questions.groupBy("pair").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.count_distinct(F.array_sort("relevant")).alias("same"))
+    whole = pairs.agg(F.count(F.when((F.col("n") == 2) & (F.col("langs") == 2) & (F.col("same") == 1), 1)).alias("whole_pairs"), F.count("*").alias("pairs"))
+    n = questions.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count(F.when(F.col("lang") == "ar", 1)).alias("ar"), F.count(F.when(F.col("lang") == "en", 1)).alias("en"), F.count(F.when(F.size("relevant") > 1, 1)).alias("multi"), F.count(F.when(F.size("relevant") == 0, 1)).alias("out_of_scope"))
+    return n.join(whole, F.lit(True))

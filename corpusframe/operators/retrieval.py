@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Query vectors up to this number go to every task in one piece (512 MB at 1,024 floats); more go in blocks.
-QUERY_BLOCK = 100_000
+from ..functions import text as tx
+
+#: Query vectors that go to every task in one piece (128 MB at 1,024 floats), and those that a task scores at once
+#: against one batch of the index; more queries go in further pieces.
+QUERY_BLOCK = 16_384
+SCORED_AT_ONCE = 512
 
 
 def cosine(a, b) -> Column:
@@ -41,14 +45,16 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, skip_self: bool = False)
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
-                s = np.round(_unit(pdf.vector) @ matrix.T, 4)
-                if skip_self:
-                    s[pdf.id.to_numpy()[:, None] == ids[None, :]] = -np.inf
-                keep = min(k, len(pdf))
-                # all that tie with the k-th stay until the shuffle
-                bound = -np.sort(-s, axis=0)[keep - 1]
-                r, c = np.nonzero((s >= bound) & np.isfinite(s))
-                best.append(pd.DataFrame({"q": ids[c], "id": pdf.id.to_numpy()[r], "score": s[r, c]}))
+                own, vectors, keep = pdf.id.to_numpy(), _unit(pdf.vector), min(k, len(pdf))
+                for at in range(0, len(ids), SCORED_AT_ONCE):
+                    asked = ids[at : at + SCORED_AT_ONCE]
+                    s = np.round(vectors @ matrix[at : at + SCORED_AT_ONCE].T, 4)
+                    if skip_self:
+                        s[own[:, None] == asked[None, :]] = -np.inf
+                    # all that tie with the k-th stay until the shuffle
+                    bound = np.partition(s, len(pdf) - keep, axis=0)[len(pdf) - keep]
+                    r, c = np.nonzero((s >= bound) & np.isfinite(s))
+                    best.append(pd.DataFrame({"q": asked[c], "id": own[r], "score": s[r, c]}))
                 if sum(map(len, best)) > 4 * k * len(ids):
                     best = [_cut(best, k)]
             if best:
@@ -81,7 +87,8 @@ def best_per_document(hits: DataFrame, document: str = "doc") -> DataFrame:
 def merge_named(named: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
     """Documents that a question names come first, then the found ones that it does not name, as many as k
     or as it names (JOI-04, LIM-01). ``named`` (q, doc, pos), ``semantic`` (q, doc, rk)."""
-    extra = semantic.join(named.select("q", "doc"), ["q", "doc"], "left_anti").select("q", "doc", F.lit(False).alias("by_number"), F.col("rk").alias("pos"))
+    once = semantic.groupBy("q", "doc").agg(F.min("rk").alias("pos"))
+    extra = once.join(named.select("q", "doc"), ["q", "doc"], "left_anti").select("q", "doc", F.lit(False).alias("by_number"), "pos")
     both = named.select("q", "doc", F.lit(True).alias("by_number"), "pos").unionByName(extra)
     by_q = W.partitionBy("q")
     ranked = both.withColumn("rk", F.row_number().over(by_q.orderBy(F.desc("by_number"), "pos"))).withColumn("_n", F.sum(F.col("by_number").cast("int")).over(by_q))
@@ -93,6 +100,30 @@ def rerank(hits: DataFrame, score: str, k: int) -> DataFrame:
     return hits.withColumn("rk", F.row_number().over(W.partitionBy("q").orderBy(F.desc(score), "rk"))).where(F.col("rk") <= k)
 
 
+def retrieved(asked: DataFrame, index: DataFrame, corpus: DataFrame, k: int, first: int, last: int, fanout: int = 1, second: Column | None = None, candidates: int | None = None) -> DataFrame:
+    """The composed search of a question (API-06, LIM-02, MIS-16): (q, doc, score, by_number, in_corpus, rk).
+
+    ``asked`` (q, question, vector), ``index`` (id, doc, vector), ``corpus`` (doc). Documents that a question names by
+    number come first, then the nearest of the index: so many chunks are fetched, ``fanout`` for each document
+    wanted and each named one, that k different ones stay. Without a ``second`` score all hits come back, with a
+    flag for those that the corpus has (API-05). With one, the ``candidates`` that the corpus has are ordered by
+    that column over (q, doc) and cut to k."""
+    wanted = candidates if second is not None and candidates else k
+    numbers = asked.select("q", F.posexplode(tx.numbers_in_question("question", first, last)).alias("pos", "doc")).select("q", F.col("doc").cast("long").alias("doc"), (F.col("pos") + 1).alias("pos"))
+    n_named = numbers.groupBy("q").agg(F.count("*").alias("n_named"))
+    most = n_named.agg(F.max("n_named")).collect()[0][0] or 0  # one number: the most that a question names
+    near = top_k(asked.select("q", "vector"), index.select("id", "vector"), (wanted + most) * fanout).join(n_named, "q", "left")
+    near = near.where(F.col("rk") <= (F.lit(wanted) + F.coalesce("n_named", F.lit(0))) * fanout).join(index.select("id", F.col("doc").cast("long").alias("doc")), "id")
+    best = near.groupBy("q", "doc").agg(F.min("rk").alias("rk"), F.max("score").alias("score"))
+    merged = merge_named(numbers, best.select("q", "doc", "rk"), wanted).join(best.select("q", "doc", "score"), ["q", "doc"], "left")
+    merged = merged.withColumn("score", F.when(~F.col("by_number"), F.col("score")))
+    known = corpus.select(F.col("doc").cast("long").alias("doc")).distinct().withColumn("in_corpus", F.lit(True))
+    hits = merged.join(known, "doc", "left").withColumn("in_corpus", F.coalesce("in_corpus", F.lit(False)))
+    if second is not None:
+        hits = rerank(hits.where("in_corpus").withColumn("_second", second), "_second", k).drop("_second")
+    return hits.select("q", "doc", "score", "by_number", "in_corpus", "rk")
+
+
 def in_corpus(hits: DataFrame, corpus: DataFrame, on: str = "doc") -> DataFrame:
     """Hits of known documents alone (FLT-03, JOI-03)."""
     return hits.join(corpus.select(on).distinct(), on, "left_semi")

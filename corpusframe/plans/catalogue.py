@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,28 +12,9 @@ from ..operators import incremental as inc
 from ..operators import metrics as me
 from ..operators import records as rec
 from ..operators import retrieval as ret
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return sources.table(spark, d, name)
-
-
-def _long(*cs: str) -> list[Column]:
-    return [F.col(c).cast("long").alias(c) for c in cs]
-
+from .registry import longs as _long
+from .registry import query
+from .registry import table as _t
 
 # --- retrieval: vectors are the index, every one whose id 50 divides asks, an equal label is relevant --------------
 
@@ -294,16 +273,20 @@ def doc_normalize(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(tx.clean_en("text")).alias("digest"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, round(length(regexp_replace(text, '[^\\p{Lu}]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^\\p{L}]', '', 'g'))), 4) AS upper_share, 'en' AS lang FROM documents")
+_MIXED = "text || repeat('ش', (length(text) * (doc_id % 5) // 4)::INT)"
+
+
+@query(f"WITH t AS (SELECT doc_id, length(regexp_replace({_MIXED}, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace({_MIXED}, '[^\\p{{Lu}}]', '', 'g')) AS upper, (length(text) * (doc_id % 5) // 4)::INT AS arabic FROM documents) SELECT doc_id, letters, round(upper / greatest(1, letters), 4) AS upper_share, CASE WHEN letters > 0 AND 2 * arabic >= letters THEN 'ar' ELSE 'en' END AS lang FROM t")
 def doc_language_share(spark, d):
+    docs = _t(spark, d, "documents").withColumn("text", F.expr("text || repeat('ش', cast(length(text) * (doc_id % 5) div 4 AS int))"))
     n = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
-    return _t(spark, d, "documents").select("doc_id", n.cast("long").alias("letters"), F.round(F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), n), 4).alias("upper_share"), tx.question_language("text").alias("lang"))
+    return docs.select("doc_id", n.cast("long").alias("letters"), F.round(F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), n), 4).alias("upper_share"), tx.question_language("text").alias("lang"))
 
 
-_CITED = "text || ' [Article ' || (conv_id % 7) || '] [Art. ' || (turn % 5) || '] [article ' || (conv_id % 3) || ']'"
+_CITED = "text || ' [Article ' || (conv_id % 7) || '] ［Art. ' || (turn % 5) || '］ 【articles ' || (conv_id % 3) || '】 [Arts. ٤] [مادة 5] Article 6'"
 
 
-@query("WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(" + _CITED + ", '(?i)\\[(?:articles?|art\\.?) *([0-9]+)\\]', 1), lambda x: x::INT) AS n FROM conversations), s AS (SELECT conv_id, turn, list_sort(list_distinct(n)) AS n FROM c) SELECT conv_id, turn, array_to_string(n, ',') AS cited, array_to_string(list_filter(n, lambda x: x IN (1, 2, 3)), ',') AS valid, array_to_string(list_filter(n, lambda x: x NOT IN (1, 2, 3)), ',') AS invalid FROM s")
+@query("WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(" + _CITED + ", '(?i)[\\[【［]\\s*Art(?:icle)?s?\\.?\\s*([0-9٠-٩]+)\\s*[\\]】］]', 1), lambda x: translate(x, '٠١٢٣٤٥٦٧٨٩', '0123456789')::INT) AS n FROM conversations), s AS (SELECT conv_id, turn, list_sort(list_distinct(n)) AS n FROM c) SELECT conv_id, turn, array_to_string(n, ',') AS cited, array_to_string(list_filter(n, lambda x: x IN (1, 2, 3)), ',') AS valid, array_to_string(list_filter(n, lambda x: x NOT IN (1, 2, 3)), ',') AS invalid FROM s")
 def citation_check(spark, d):
     c = _t(spark, d, "conversations").withColumn("n", tx.extract_citations(F.expr(_CITED))).withColumn("ctx", F.array(F.lit(1), F.lit(2), F.lit(3)))
     joined = lambda x: F.array_join(F.array_sort(x).cast("array<string>"), ",")
@@ -311,9 +294,12 @@ def citation_check(spark, d):
     return checked.select("conv_id", "turn", joined(F.col("n")).alias("cited"), joined(F.col("r.valid")).alias("valid"), joined(F.col("r.invalid")).alias("invalid"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all('Article ' || (doc_id % 50) || ' and art. ' || n_chars || ' ' || text, '(?i)\\bart(?:icles?|\\.)?\\s*\\(?([0-9]{1,4})', 1), lambda x: x::INT), lambda x: x BETWEEN 10 AND 2000))), ',') AS numbers FROM documents")
+_ASKED = "'What do Article ' || (doc_id % 50) || ' and articles  ' || n_chars || ' and المادة رقم ' || translate((doc_id % 90)::VARCHAR, '0123456789', '٠١٢٣٤٥٦٧٨٩') || ' say of art. 77? ' || text"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all({_ASKED}, '(?i)\\barticles?\\s+([0-9]{{1,4}})\\b', 1), regexp_extract_all({_ASKED}, '(?:المادة|مادة|المواد)\\s*(?:رقم\\s*)?[(]?\\s*([0-9٠-٩]{{1,4}})', 1)), lambda x: translate(x, '٠١٢٣٤٥٦٧٨٩', '0123456789')::INT), lambda x: x BETWEEN 10 AND 2000))), ',') AS numbers FROM documents")
 def numbers_in_text(spark, d):
-    q = F.concat(F.lit("Article "), F.expr("doc_id % 50").cast("string"), F.lit(" and art. "), F.col("n_chars").cast("string"), F.lit(" "), F.col("text"))
+    q = F.expr(_ASKED.replace("::VARCHAR", "::STRING"))
     return _t(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(tx.numbers_in_question(q, 10, 2000)).cast("array<string>"), ",").alias("numbers"))
 
 
@@ -427,11 +413,12 @@ def dq_list_sequence(spark, d):
     return rows.select("id", tx.in_sequence("s").alias("ok"))
 
 
-@query("SELECT p_partkey, 'p_name' AS \"column\" FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'p_size' FROM part WHERE p_partkey % 15 = 0")
+@query("SELECT p_partkey, 'p_name' AS \"column\", CASE WHEN p_partkey % 10 = 0 THEN 'GOLDEN_MISMATCH' ELSE 'GOLDEN_PARAGRAPHS' END AS code FROM part WHERE p_partkey % 10 IN (0, 1) UNION ALL SELECT p_partkey, 'p_size', 'GOLDEN_MISMATCH' FROM part WHERE p_partkey % 15 = 0 UNION ALL SELECT p_partkey, 'p_type', 'GOLDEN_MISMATCH' FROM part WHERE p_partkey % 9 = 0")
 def golden_diff(spark, d):
     p = _t(spark, d, "part")
-    moved = p.withColumn("p_name", F.when(F.expr("p_partkey % 10 = 0"), F.concat("p_name", F.lit("x"))).otherwise(F.concat(F.lit(" "), "p_name"))).withColumn("p_size", F.expr("p_size + if(p_partkey % 15 = 0, 1, 0)"))
-    return rec.golden_diff(p, moved, "p_partkey", ["p_name", "p_brand", "p_size"])
+    name = F.expr("CASE p_partkey % 10 WHEN 0 THEN p_name || 'x' WHEN 1 THEN p_name || '\n' WHEN 2 THEN null ELSE ' ' || p_name END")
+    moved = p.withColumn("p_name", name).withColumn("p_size", F.expr("p_size + if(p_partkey % 15 = 0, 1, 0)")).withColumn("p_type", F.expr("if(p_partkey % 9 = 0, p_type || ' ', p_type)"))
+    return rec.golden_diff(p, moved, "p_partkey", ["p_name", "p_brand", "p_size", "p_type"], ["p_name"])
 
 
 @query("WITH e AS (SELECT o_orderkey AS n FROM orders WHERE o_orderkey % 3 <> 0), a AS (SELECT DISTINCT l_orderkey AS n FROM lineitem WHERE l_orderkey % 4 <> 0), t AS (SELECT c_custkey AS n FROM customer) SELECT n, CASE WHEN e.n IS NOT NULL THEN 'en' WHEN a.n IS NOT NULL THEN 'ar' ELSE 'note' END AS source, t.n IS NOT NULL AS is_repealed FROM e FULL JOIN a USING (n) FULL JOIN t USING (n)")
@@ -464,9 +451,9 @@ def first_claim(spark, d):
 
 # --- chunks and maintenance ------------------------------------------------------------------------------
 
-_SQL_WINDOWS = """WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS t FROM documents), n AS (SELECT *, len(t) AS n FROM t),
+_SQL_WINDOWS = """WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+\\s*') AS t FROM documents), n AS (SELECT *, len(t) AS n FROM t),
  s AS (SELECT doc_id, text, t, n, unnest(CASE WHEN n <= 40 THEN [0] ELSE list_filter(range(0, n + 1, 35), lambda s: s = 0 OR s + 5 < n) END) AS s FROM n)
- SELECT doc_id, s // 35 AS w, least(40, n - s) AS n_tokens, md5(CASE WHEN n <= 40 THEN text ELSE array_to_string(t[s + 1:s + 40], ' ') END) AS digest FROM s"""
+ SELECT doc_id, s // 35 AS w, least(40, n - s) AS n_tokens, md5(CASE WHEN n <= 40 THEN text ELSE regexp_replace(array_to_string(t[s + 1:s + 40], ''), '\\s+$', '') END) AS digest FROM s"""
 
 
 @query(_SQL_WINDOWS)
@@ -476,17 +463,54 @@ def chunk_windows(spark, d):
 
 
 def _articles(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("article_number"), F.col("source").alias("header"), F.col("text").alias("text_en"), F.col("lang").alias("text_ar"), F.expr("doc_id % 50 = 0").alias("is_repealed"))
+    """Whole bilingual records from documents."""
+    levels = {f"{x}_{p}": F.lit(None).cast("int" if p == "number" else "string") for x in rec.NUMBERED_LEVELS for p in ("number", "title_en", "title_ar")}
+    levels |= {"part_number": F.expr("cast(nullif(doc_id % 12, 0) AS int)"), "part_title_en": F.col("source"), "part_title_ar": F.expr("if(doc_id % 4 <> 0, 'عنوان', null)"), "topic_title_en": F.expr("if(doc_id % 3 = 0, lang, null)"), "subtopic_title_en": F.expr("if(doc_id % 5 = 0, 'Sub', null)"), "subtopic_title_ar": F.expr("if(doc_id % 10 = 0, 'فرع', null)")}
+    return _t(spark, d, "documents").select(
+        F.col("doc_id").alias("article_number"),
+        *(c.alias(n) for n, c in levels.items()),
+        F.col("text").alias("text_en"),
+        F.concat(F.lit("أَحكام "), F.col("lang")).alias("text_ar"),
+        F.expr("doc_id % 50 = 0").alias("is_repealed"),
+        F.concat(F.lit("note "), F.col("doc_id")).alias("repeal_note"),
+        F.lit(None).cast("string").alias("repeal_note_ar"),
+        F.concat(F.lit("Art. "), F.col("doc_id")).alias("citation"),
+        F.expr("array(doc_id % 7, doc_id % 7 + 1)").alias("source_pages"),
+    )
+
+
+_SPELLED = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(tx.ORDINALS_AR, 1)) + " ELSE (doc_id % 12)::VARCHAR END"
+_SQL_ARTICLES = f"""WITH h AS (SELECT *, concat_ws(' > ', CASE WHEN doc_id % 12 <> 0 THEN concat_ws(' | ', 'Part ' || doc_id % 12 || ' ' || source, concat_ws(' ', 'القسم', {_SPELLED}, CASE WHEN doc_id % 4 <> 0 THEN 'عنوان' END)) ELSE concat_ws(' | ', source, CASE WHEN doc_id % 4 <> 0 THEN 'عنوان' END) END,
+   CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN doc_id % 10 = 0 THEN 'Sub | فرع' WHEN doc_id % 5 = 0 THEN 'Sub' END) || chr(10) || 'Article ' || doc_id || ' | مادة ' || doc_id || CASE WHEN doc_id % 50 = 0 THEN ' (repealed | ملغاة)' ELSE '' END AS header,
+  printf('art-%04d', doc_id) AS id, doc_id % 50 = 0 AS rep, 'أَحكام ' || lang AS ar, nullif(text, '') AS en FROM documents)"""
+_SQL_PLAIN = "translate(replace(t, 'َ', ''), 'أ', 'ا')"
 
 
-@query("SELECT printf('art-%04d', doc_id) AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents")
+@query(_SQL_ARTICLES + f", c AS (SELECT id, concat_ws(chr(10), header, CASE WHEN rep THEN 'note ' || doc_id ELSE concat_ws(chr(10), ar, en) END) AS t, 10 + 2 * (doc_id % 12 <> 0)::INT FROM h) SELECT id, md5(t) AS digest, md5({_SQL_PLAIN}) AS embedded FROM c")
 def chunk_whole(spark, d):
-    return rec.chunked(_articles(spark, d), "article").select("id", F.md5("text").alias("digest"))
+    return rec.chunked(_articles(spark, d), "article", normalize=True).select("id", F.md5("text").alias("digest"), F.md5("embed_text").alias("embedded"))
 
 
-@query("SELECT printf('art-%04d', doc_id) AS id, md5(source || chr(10) || lang || chr(10) || text) AS digest FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT printf('art-%04d', doc_id) || s, md5(source || chr(10) || CASE WHEN s = '-ar' THEN lang ELSE text END) FROM documents, (VALUES ('-ar'), ('-en')) v(s) WHERE doc_id % 50 <> 0")
+@query(_SQL_ARTICLES + " SELECT id, md5(header || chr(10) || 'note ' || doc_id) AS digest, NULL AS lang FROM h WHERE rep UNION ALL SELECT id || '-ar', md5(header || chr(10) || ar), 'ar' FROM h WHERE NOT rep UNION ALL SELECT id || '-en', md5(concat_ws(chr(10), header, en)), 'en' FROM h WHERE NOT rep")
 def chunk_per_lang(spark, d):
-    return rec.chunked(_articles(spark, d), "per_language").select("id", F.md5("text").alias("digest"))
+    return rec.chunked(_articles(spark, d), "per_language").select("id", F.md5("text").alias("digest"), F.try_element_at("metadata", F.lit("lang")).alias("lang"))
+
+
+@query(
+    _SQL_ARTICLES
+    + r""", b AS (SELECT *, CASE WHEN rep THEN 'note ' || doc_id ELSE concat_ws(chr(10), ar, en) END AS body FROM h), t AS (SELECT *, regexp_extract_all(body, '\S+\s*') AS t, greatest(60 - (len(regexp_extract_all(header, '\S+')) + 1), 21) AS room FROM b),
+ s AS (SELECT *, unnest(starts) AS s, len(starts) AS k FROM (SELECT *, CASE WHEN len(t) <= room THEN [0] ELSE list_filter(range(0, len(t) + 1, room - 5), lambda s: s = 0 OR s + 5 < len(t)) END AS starts FROM t))
+ SELECT id || CASE WHEN k > 1 THEN printf('-w%02d', (s // (room - 5))::INT) ELSE '' END AS id, md5(header || chr(10) || CASE WHEN k = 1 THEN body ELSE regexp_replace(array_to_string(t[s + 1:s + room], ''), '\s+$', '') END) AS digest FROM s"""
+)
+def chunk_record_windows(spark, d):
+    return rec.chunked(_articles(spark, d), "window", 60, 5).select("id", F.md5("text").alias("digest"))
+
+
+@query("SELECT printf('art-%04d', doc_id) AS id, doc_id::VARCHAR AS number, CASE WHEN doc_id % 50 = 0 THEN 'true' ELSE 'false' END AS repealed, (doc_id % 7) || ',' || (doc_id % 7 + 1) AS pages, CASE WHEN doc_id % 12 <> 0 THEN (doc_id % 12)::VARCHAR END AS part, 4 + (doc_id % 12 <> 0)::INT + (source IS NOT NULL)::INT + (doc_id % 4 <> 0)::INT + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT + (doc_id % 10 = 0)::INT AS n FROM documents")
+def chunk_metadata(spark, d):
+    m = rec.chunked(_articles(spark, d), "article")
+    at = lambda k: F.try_element_at("metadata", F.lit(k))
+    return m.select("id", at("article_number").alias("number"), at("is_repealed").alias("repealed"), at("source_pages").alias("pages"), at("part_number").alias("part"), F.size("metadata").alias("n"))
 
 
 @query("SELECT sum(n)::BIGINT AS total, median(n) AS middle, max(n) AS most, count(CASE WHEN n > 1000 THEN 1 END) AS too_long FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS n FROM documents)")
