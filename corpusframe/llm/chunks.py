@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the UTF-8 bytes; a chunk ends where it falls under a threshold, so chunks depend on
-the last 16 bytes alone and find each other again behind insertions. Chunks with equal digests in
-different documents are candidates; spans of neighbouring candidates that are just long enough to be no
-chance are compared as wholes, so that a passage is one that some other document holds in one piece.
+the last 16 bytes alone and find each other again behind insertions. A piece that stays long is cut where the
+hash is the least around. Chunks with equal digests in different documents are candidates; spans of
+neighbouring candidates that are just long enough to be no chance are compared as wholes, so that a passage is
+one that some other document holds in one piece.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from .common import cut
 MEAN = 32
 LONGEST = 512
 _SIZE_BITS = 12
-PASSAGE = 72
+PASSAGE = 128
+#: Means of a chunk beyond which a piece without a cut gets some, and the bytes that these look at on either side.
+GAP = 3
+REACH = 40
 
 _draw = np.random.RandomState(41)
 _GEAR = _draw.randint(0, 1 << 16, 256).astype(np.uint16)
@@ -63,6 +67,9 @@ def chunk(data: bytes, mean: int = MEAN) -> tuple[np.ndarray, np.ndarray, np.nda
     if not len(ends) or ends[-1] != n:
         ends = np.append(ends, n)
     starts = np.concatenate(([0], ends[:-1]))
+    if n > 2 * REACH and (ends - starts).max() > GAP * mean:
+        ends = np.union1d(ends, np.array(_least(h, whole, ends, ends - starts, mean), np.int64))
+        starts = np.concatenate(([0], ends[:-1]))
     if (ends - starts).max() > LONGEST:
         parts = []
         for s, e in zip(starts, ends, strict=True):
@@ -81,6 +88,22 @@ def chunk(data: bytes, mean: int = MEAN) -> tuple[np.ndarray, np.ndarray, np.nda
     return (d ^ (d >> np.uint64(29))).view(np.int64), starts.astype(np.int64), (ends - starts).astype(np.int64)
 
 
+def _least(h: np.ndarray, whole: np.ndarray, ends: np.ndarray, sizes: np.ndarray, mean: int) -> list[int]:
+    """Cuts of pieces without any: behind hashes that are the least within ``REACH`` bytes on either side. A word over
+    and over has one in every period, wherever it begins and ends; of these those half a mean apart are taken."""
+    low, have = h, 1
+    while have < 2 * REACH + 1:
+        step = min(have, 2 * REACH + 1 - have)
+        low, have = np.minimum(low[:-step], low[step:]), have + step
+    places = np.flatnonzero((h[REACH : len(h) - REACH] == low) & whole[REACH : len(h) - REACH]) + REACH
+    cuts, last = [], 0
+    for p in places[sizes[np.searchsorted(ends, places, "right")] > GAP * mean].tolist():
+        if p + 1 - last >= mean // 2:
+            cuts.append(p + 1)
+            last = p + 1
+    return cuts
+
+
 def _rows(mean: int):
     def run(batches):
         for batch in batches:
