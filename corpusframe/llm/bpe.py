@@ -170,8 +170,9 @@ class Automaton:
         return ids
 
     def _apart(self, word: str) -> bytes:
-        """The ids of a word of the split pattern. One behind a space is kept without it, any other behind one."""
-        key = word[1:] if word[0] == " " else " " + word
+        """The ids of a word of the split pattern. One behind a space is kept without it, any other, and white
+        space, behind one more."""
+        key = word[1:] if word[0] == " " and not word[1:2].isspace() and len(word) > 1 else " " + word
         got = self.memory.get(key)
         if got is None:
             got = self._keep(key, self.older.get(key) or self.encode_word(word.encode()))

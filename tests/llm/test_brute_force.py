@@ -399,3 +399,11 @@ def test_pipeline_stages(spark, tmp_path):
     empty = str(tmp_path / "empty")
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_white_space_words_stay_apart_in_the_memory():
+    from tokenizers import Tokenizer
+
+    a, t = bpe.Automaton(json.loads(bpe.load_spec(tokenizer_path()))), Tokenizer.from_file(tokenizer_path())
+    for text in ("a  \n b", "a\n b", "a \n\n b", "a   b", " \n", "\n", "  ", " ", "a b\nc", "x \tb", "\t"):
+        assert a.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
