@@ -14,7 +14,6 @@ from corpusframe.llm import bpe, language, minhash, mixing, privacy
 from corpusframe.llm.common import DOCUMENT_COLUMNS, shared_folder
 from corpusframe.llm.queries import privacy_key, tokenizer_path
 
-
 #: Shared shingles of five words, in percent of the union, from which two documents are near duplicates.
 NEAR = 80
 
@@ -53,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", tell_language), ("near_duplicates", drop_near_duplicates), ("privacy", hide_private), ("mix", mix_sources), ("encode", encode)]
 
-#: SQL can express none of the stages; tests/llm/test_pipeline.py checks each against plain Python.
+#: SQL cannot express the stages; tests/llm/test_brute_force.py checks each against plain Python.
 ORACLE_SQL = None
 
 
