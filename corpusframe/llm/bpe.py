@@ -38,6 +38,20 @@ from .common import forget, fresh, keep
 
 #: The split pattern of byte-level BPE.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The letters and numbers that the pattern library knows and Unicode 16, the version of the
+#: tokenizers library, does not; there they are neither.
+LATER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: The same pattern for texts with such characters.
+SPLIT_LATER = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?(?:(?![{LATER}])\p{{L}})+| ?(?:(?![{LATER}])\p{{N}})+| ?(?:[{LATER}]|[^\s\p{{L}}\p{{N}}])+|\s+(?!\S)|\s+"""
 #: Bytes of words and their ids that a Python worker keeps in each of two generations, the bytes beyond which a
 #: word is not kept, and the arcs that a worker keeps.
 KEPT_BYTES = 20_000_000
@@ -84,7 +98,7 @@ class Automaton:
             self.finder.add_word(b.decode("latin-1"), t)
         self.finder.make_automaton()
         self.sizes = {t: len(b) for b, t in self.accepted.items()}
-        self.split = regex.compile(SPLIT)
+        self.split, self.split_later, self.later = regex.compile(SPLIT).findall, regex.compile(SPLIT_LATER).findall, re.compile(f"[{LATER}]").search
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._pack()
         self.memory: dict[str, bytes] = {}  # words met lately
@@ -169,6 +183,10 @@ class Automaton:
             self.held += size + _ENTRY
         return ids
 
+    def words(self, text: str) -> list[str]:
+        """The words of the split pattern, as the tokenizers library finds them."""
+        return self.split(text) if text.isascii() or not self.later(text) else self.split_later(text)
+
     def _apart(self, word: str) -> bytes:
         """The ids of a word of the split pattern. One behind a space is kept without it, any other, and white
         space, behind one more."""
@@ -182,16 +200,16 @@ class Automaton:
         """The ids of a part of the text together with the one space before it."""
         got = self.older.get(part)
         if got is None:
-            words = [" " + part] if part.isalpha() else self.split.findall(" " + part)
+            words = [" " + part] if part.isalpha() else self.words(" " + part)
             got = self.encode_word(words[0].encode()) if len(words) == 1 else b"".join(map(self._apart, words))
         return self._keep(part, got)
 
     def _plain(self, text: str, lone_space=re.compile(r" \s|\s |^ | $").search) -> bytes:
         """Where every space stands alone between other characters, the pattern always splits before it."""
         if lone_space(text):
-            return b"".join(map(self._apart, self.split.findall(text)))
+            return b"".join(map(self._apart, self.words(text)))
         first, *rest = text.split(" ")
-        new, out, i = self._spaced, [b"".join(map(self._apart, self.split.findall(first)))], 0
+        new, out, i = self._spaced, [b"".join(map(self._apart, self.words(first)))], 0
         while i < len(rest):  # the memory changes when it is full, so that its method is named anew now and then
             known = self.memory.get
             out += [known(part) or new(part) for part in rest[i : i + 1000]]

@@ -407,3 +407,23 @@ def test_white_space_words_stay_apart_in_the_memory():
     a, t = bpe.Automaton(json.loads(bpe.load_spec(tokenizer_path()))), Tokenizer.from_file(tokenizer_path())
     for text in ("a  \n b", "a\n b", "a \n\n b", "a   b", " \n", "\n", "  ", " ", "a b\nc", "x \tb", "\t"):
         assert a.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_bpe_splits_as_the_library_at_every_code_point():
+    from tokenizers import pre_tokenizers
+
+    ours, theirs = bpe.Automaton({"model": {"vocab": {}, "merges": []}}), pre_tokenizers.ByteLevel(add_prefix_space=False)
+    for c in (*range(0xD800), *range(0xE000, 0x110000)):
+        text = "a{0}1{0}!{0} {0}".format(chr(c))
+        assert list(itertools.accumulate(map(len, ours.words(text)))) == [end for _, (_, end) in theirs.pre_tokenize_str(text)], hex(c)
+
+
+def test_bpe_of_letters_newer_than_the_library():
+    from tokenizers import Tokenizer
+
+    a, t = bpe.Automaton(json.loads(bpe.load_spec(tokenizer_path()))), Tokenizer.from_file(tokenizer_path())
+    rng, newer = random.Random(11), [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and a.later(chr(c))]
+    for _ in range(3000):
+        text = "".join(rng.choice([rng.choice(newer), chr(rng.randrange(32, 127)), " ", "\n", chr(rng.randrange(0xD800))]) for _ in range(rng.randrange(40)))
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert a.encode(text).tolist() == ids and a.decode(ids) == t.decode(ids, skip_special_tokens=False), text
