@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..checkpoints import cut, shared_folder
+from ..checkpoints import cut, remove, shared_folder, table_path
 
-__all__ = ["cut", "shared_folder"]
+__all__ = ["cut", "remove", "shared_folder", "table_path"]
 
 #: ASCII white space; words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"

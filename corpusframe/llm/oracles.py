@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries, or the parts of them, that SQL can express.
 
-op6, op7 and op10 are expressed whole. Of op1, op3, op5, op8 and op9 only the columns of ``mix_targets``,
+op6, op7 and op10 to op13 are expressed whole. Of op1, op3, op5, op8 and op9 only the columns of ``mix_targets``,
 ``bpe_round_trip``, ``suffix_passages``, ``winnow_edits`` and ``language_folds`` are; permutations, token ids,
 other holders of a passage, fingerprints and compressed sizes are not, nor are op2 and op4. ``tests/llm`` holds
 those against plain Python.
@@ -8,7 +8,7 @@ those against plain Python.
 
 from __future__ import annotations
 
-from . import licences, minhash, quality
+from . import archives, licences, minhash, quality, vectors
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]"
@@ -34,6 +34,14 @@ _ORACLES["winnow_edits"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
  x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first(t) OVER (ORDER BY doc_id DESC)) AS follows FROM d)
  SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 3) || left(follows, n // 3)) AS edited_sha256 FROM x"""
 
+
+
+def _crc(number: str) -> str:
+    """CRC-32 of a decimal number, a bit at a time: each byte is followed by seven zeros, and every step shifts once."""
+    bits = f"list_concat([4294967295], flatten(list_transform(string_split({number}::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [0, 0, 0, 0, 0, 0, 0]))))"
+    return f"xor(list_reduce({bits}, lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295)"
+
+
 # CRC-32, a bit at a time: each byte is followed by seven zeros, and every step shifts once
 _ORACLES["language_folds"] = r"""WITH s AS (SELECT doc_id, text, list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [0, 0, 0, 0, 0, 0, 0])))) AS bits FROM documents)
  SELECT doc_id, xor(list_reduce(bits, lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295) % 4 = 2 AS held_out, NOT regexp_matches(coalesce(text, ''), '\p{L}') AS undetermined FROM s"""
@@ -111,4 +119,39 @@ def _quality() -> str:
 
 _ORACLES["op10_quality"] = _quality()
 
+# the first turns of the hundred's first conversation and one's own behind them, as lists of which prefixes are nodes
+_ORACLES["op11_trie"] = f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ l AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY pos) AS own, ({_crc("c")} % 6)::INT AS h FROM t GROUP BY c),
+ r AS (SELECT l.c, list_concat(coalesce(b.own, [])[1:l.h], l.own[l.h + 1:]) AS seq FROM l LEFT JOIN l b ON b.c = l.c - l.c % 100),
+ p AS (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS depth FROM r), k AS (SELECT c, depth, len(seq) = depth AS ended, md5(seq[1:depth]::VARCHAR || depth) AS key, md5(seq[1:depth - 1]::VARCHAR || (depth - 1)) AS above, CASE WHEN depth > 0 THEN length(seq[depth].text) ELSE 0 END AS chars FROM p),
+ n AS (SELECT key, depth, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256 FROM k GROUP BY key, depth),
+ ch AS (SELECT above AS key, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+ f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * chars AS own FROM n LEFT JOIN ch USING (key, depth)),
+ s AS (SELECT k.key, k.depth, sum(f.own)::BIGINT AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves FROM f JOIN k ON k.c = f.conv_id AND k.depth <= f.depth GROUP BY ALL)
+ SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256 FROM f JOIN s USING (key, depth) LEFT JOIN n u ON u.key = f.above AND u.depth = f.depth - 1 AND f.depth > 0"""
+
+
+def _vectors() -> str:
+    """Lloyd's rounds by full scans: squares of whole numbers, which are exact as doubles."""
+    finite = "list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))"
+    steps = [f"""k AS (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor({vectors.SCALE} * x::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len({finite}) = 0),
+ v AS MATERIALIZED (SELECT rid, vec_id, part, x[part * (len(x) // {vectors.PARTS}) + 1:(part + 1) * (len(x) // {vectors.PARTS})] AS x FROM k, range({vectors.PARTS}) r(part)),
+ b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS y FROM v WHERE vec_id IN (SELECT DISTINCT vec_id FROM k WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT {vectors.ENTRIES}))"""]
+    for i in range(vectors.ROUNDS + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT rid, part, m[2]::INT AS e, m[1] AS d FROM (SELECT rid, v.part, min([list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y), e]) AS m FROM v JOIN b{i} USING (part) GROUP BY ALL))""")
+        if i < vectors.ROUNDS:
+            steps.append(f"""m{i} AS (SELECT part, e, i, floor(sum(x) / count(*)) AS y FROM (SELECT part, e, unnest(x) AS x, unnest(range(len(x))) AS i FROM a{i} JOIN v USING (rid, part)) GROUP BY ALL),
+ b{i + 1} AS MATERIALIZED (SELECT part, e, coalesce(n.y, b.y) AS y FROM b{i} b LEFT JOIN (SELECT part, e, list(y ORDER BY i) AS y FROM m{i} GROUP BY ALL) n USING (part, e))""")
+    last = vectors.ROUNDS
+    return f"""WITH {", ".join(steps)},
+ c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY rid),
+ g AS (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda z: z::BIGINT::VARCHAR), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{last})
+ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN k USING (rid) CROSS JOIN g"""
+
+
+_ORACLES["op12_vectors"] = _vectors()
+
+_ORACLES["op13_archives"] = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {archives.LEAST_BYTES} AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= {archives.LEAST_BYTES} AND page_id IS DISTINCT FROM last THEN last END AS refers_to FROM q"""
+
 ORACLES = _ORACLES

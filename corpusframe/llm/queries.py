@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, fingerprint, language, licences, minhash, mixing, privacy, quality, suffixes
+from . import archives, bpe, chunks, fingerprint, language, licences, minhash, mixing, privacy, quality, suffixes, tries, vectors
 from .common import documents
 from .oracles import ORACLES
 
@@ -69,6 +69,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.References(docs))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: sizes and targets."""
     return op1_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
@@ -94,6 +106,6 @@ def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_language(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
 
 
-_OPERATORS = (op1_mix, op2_chunk_dedup, op3_bpe, op4_pii, op5_suffix_dedup, op6_licences, op7_minhash, op8_winnow, op9_language, op10_quality)
+_OPERATORS = (op1_mix, op2_chunk_dedup, op3_bpe, op4_pii, op5_suffix_dedup, op6_licences, op7_minhash, op8_winnow, op9_language, op10_quality, op11_trie, op12_vectors, op13_archives)
 _PARTS = (mix_targets, bpe_round_trip, suffix_passages, winnow_edits, language_folds)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_OPERATORS, *_PARTS)}
