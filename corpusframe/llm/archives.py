@@ -33,6 +33,8 @@ BROADCAST_DIGESTS = 400_000
 KEY_HEADER = "X-Page-Id"
 #: The header of a revisit that names the key of what it revisits, beside its identifier.
 REFERS_TO_KEY = "X-Refers-To-Page-Id"
+#: The header of a revisit with the bytes of the payload that it leaves out, which HTTP headers need not tell.
+LENGTH_HEADER = "X-Payload-Length"
 
 # Names of the header fields of both ARC versions, in their order.
 FIELDS = {
@@ -245,8 +247,7 @@ def _sha1(digest: Column) -> Column:
 def warc_lines(found: DataFrame) -> DataFrame:
     """(value): each record as it stands in a WARC file, less the line feed that the text writer puts behind it.
 
-    A revisit has the HTTP headers of what it revisits, whose ``Content-Length`` is that of the full payload, and
-    no payload.
+    A revisit has its own HTTP headers, the length and digest of its payload, and no payload.
     """
     revisit = F.col("of").isNotNull()
     block = F.when(revisit, F.col("headers")).otherwise(F.concat("headers", "payload"))
@@ -255,7 +256,7 @@ def warc_lines(found: DataFrame) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.0\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.col("type"))), line("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))), line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.when(F.col("type") != "warcinfo", F.col("uri"))), line("WARC-Filename", F.when(F.col("type") == "warcinfo", F.regexp_replace("uri", "^filedesc:/*", ""))), line("WARC-IP-Address", F.when(F.col("type") != "warcinfo", F.col("ip"))),
-        line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))), line("WARC-Refers-To", F.concat(F.lit("<"), "of.record_id", F.lit(">"))), line("WARC-Refers-To-Target-URI", F.col("of.uri")), line("WARC-Refers-To-Date", F.col("of.date")), line(REFERS_TO_KEY, F.col("of.key").cast("string")),
+        line("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"))), line("WARC-Refers-To", F.concat(F.lit("<"), "of.record_id", F.lit(">"))), line("WARC-Refers-To-Target-URI", F.col("of.uri")), line("WARC-Refers-To-Date", F.col("of.date")), line(REFERS_TO_KEY, F.col("of.key").cast("string")), line(LENGTH_HEADER, F.when(revisit, F.col("payload_bytes").cast("string"))),
         line("WARC-Payload-Digest", F.when(F.col("type") != "warcinfo", _sha1(F.col("payload_digest")))), line("WARC-Block-Digest", _sha1(digest)),
         line("Content-Type", F.when(F.col("type") == "response", F.lit("application/http; msgtype=response")).when(F.col("type") == "warcinfo", F.lit("application/warc-fields")).otherwise(F.col("mime"))), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
@@ -293,7 +294,7 @@ def _facts(headers: bytes, block: bytes) -> tuple:
     kind, (http, payload) = header(headers, "WARC-Type"), http_parts(block)
     of = header(headers, REFERS_TO_KEY)
     if kind == "revisit":
-        size, digest = int(header(http, "Content-Length") or 0), (header(headers, "WARC-Payload-Digest") or "").removeprefix("sha1:")
+        size, digest = int(header(headers, LENGTH_HEADER) or header(http, "Content-Length") or 0), (header(headers, "WARC-Payload-Digest") or "").removeprefix("sha1:")
     else:
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     key = header(http, KEY_HEADER)
