@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, remove, table_path
+from .common import cut, fresh, remove, table_path
 
 #: Records with payloads of fewer bytes never revisit another.
 LEAST_BYTES = 1000
@@ -230,11 +230,13 @@ def with_revisits(found: DataFrame, digests: DataFrame, least: int = LEAST_BYTES
 
     Records that share the largest key are all responses. A null key is below all others; where all are null, all
     are responses. ``digests`` are the same records without blocks: keys and digests alone are grouped, combined
-    before the shuffle. Repeated digests are sent to every task up to ``BROADCAST_DIGESTS`` after a count.
+    before the shuffle, and what is found is written once. Repeated digests are sent to every task up to
+    ``BROADCAST_DIGESTS`` after a count.
     """
     many = digests.where((F.col("type") == "response") & (F.col("payload_bytes") >= least)).groupBy("payload_digest", "payload_bytes")
     many = many.agg(F.max(F.struct(F.col("key").cast("long").alias("key"), "record_id", "uri", "date")).alias("_largest"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _largest.key IS NOT NULL").drop("_n")
-    few = many.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    many = cut(many)
+    few = many.count() <= BROADCAST_DIGESTS
     joined = found.join(F.broadcast(many) if few else many, ["payload_digest", "payload_bytes"], "left")
     itself = (F.col("type") != "response") | F.col("key").cast("long").eqNullSafe(F.col("_largest.key"))
     return joined.withColumn("of", F.when(~itself, F.col("_largest"))).drop("_largest")
