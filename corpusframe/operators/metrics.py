@@ -206,3 +206,48 @@ def eval_set(questions: DataFrame) -> DataFrame:
     whole = pairs.agg(F.count(F.when((F.col("n") == 2) & (F.col("langs") == 2) & (F.col("same") == 1), 1)).alias("whole_pairs"), F.count("*").alias("pairs"))
     n = questions.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count(F.when(F.col("lang") == "ar", 1)).alias("ar"), F.count(F.when(F.col("lang") == "en", 1)).alias("en"), F.count(F.when(F.size("relevant") > 1, 1)).alias("multi"), F.count(F.when(F.size("relevant") == 0, 1)).alias("out_of_scope"))
     return n.join(whole, F.lit(True))
+
+
+#: Size of a quantile sketch: ranks are within about 2.3 / k^0.9 of the rows (0.1 % here); up to k values are held exactly.
+SKETCH_K = 4096
+
+
+def quantile_sketches(df: DataFrame, by: list[str | Column], value: str, k: int = SKETCH_K) -> DataFrame:
+    """A KLL sketch of each group's values, to be stored, streamed and merged (AGG-22, NUM-03): ``n``, ``sketch``. Its
+    size is bounded whatever the group holds; nulls and NaN are no values."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    return df.where(v.isNotNull()).groupBy(*by).agg(F.count(v).alias("n"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str | Column], k: int = SKETCH_K) -> DataFrame:
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+
+
+def sketched(sketch: str, ranks: dict[str, float]) -> list[Column]:
+    """The values at ranks of a sketch, under their names: the least one that as large a share is not above."""
+    return [F.kll_sketch_get_quantile_double(sketch, F.lit(r)).alias(name) for name, r in ranks.items()]
+
+
+def sliding_sketches(log: DataFrame, ts: str, by: list[str], value: str, slice_: str, slices: int) -> DataFrame:
+    """Sketches of windows of ``slices`` slices, one opening at each slice: every value is read once for its slice,
+    and the slices' sketches are merged, however many windows share one. ``start`` is the window's."""
+    cut = F.window(F.col(ts).cast("timestamp"), slice_)
+    parts = quantile_sketches(log.withColumn("_w", cut), [*by, F.col("_w.start").alias("start")], value)
+    each = F.expr(f"INTERVAL {slice_}")
+    places = F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: F.col("start") - each * i))
+    return merged_sketches(parts.select(*by, places.alias("start"), "n", "sketch"), [*by, "start"])
+
+
+def answer_relevancy(generated: DataFrame, key: str, similarity: Column, evasive: str) -> DataFrame:
+    """For each answer the mean similarity of the questions that a model makes of it to the one asked, 0 where the answer
+    commits itself to nothing (LLM-04). A null similarity is no question; an answer without one has null."""
+    asked = F.when(F.col(evasive), F.lit(0.0)).otherwise(similarity)
+    return generated.groupBy(key).agg(F.count(similarity).alias("n"), F.round(F.avg(asked), 4).alias("relevancy"))
+
+
+def context_recall(statements: DataFrame, key: str, attributed: str) -> DataFrame:
+    """The share of a reference answer's statements that its contexts bear out (LLM-04): a statement is, if any context
+    does. ``statements`` has a row for each statement and context; null is unjudged, and a statement judged nowhere does
+    not count; an answer without a judged one has null."""
+    each = statements.groupBy(key, "statement").agg(F.max(F.col(attributed)).alias("_a"))
+    return each.groupBy(key).agg(F.count("_a").alias("n"), F.round(F.avg(F.col("_a").cast("double")), 4).alias("recall"))

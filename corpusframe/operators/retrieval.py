@@ -6,17 +6,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
 
-#: Query vectors that go to every task in one piece (128 MB at 1,024 floats), and those that a task scores at once
-#: against one batch of the index; more queries go in further pieces.
-QUERY_BLOCK = 16_384
+#: Bytes of vectors in a block, and the most bytes of query vectors that are sent to every task; more queries meet the
+#: index block by block, without the driver.
+BLOCK_BYTES = 4 << 20
+BROADCAST_BYTES = 64 << 20
+#: Queries that a task scores at once against one block of the index.
 SCORED_AT_ONCE = 512
+#: Scores that a task holds before it cuts them to k a query.
+CUT_ROWS = 2_000_000
 
 
 def cosine(a, b) -> Column:
@@ -26,51 +32,91 @@ def cosine(a, b) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
-    """The k nearest of the index for each query: (q, id, score, rk), best first, ties by id (WIN-01, JOI-15).
+def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, vector) of the rows whose vector is neither null nor empty and holds no null and no NaN."""
+    v = F.col(vector)
+    return df.where(v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))).select(F.col(key).alias("id"), v.cast("array<double>").alias("vector"))
 
-    ``queries`` (q, vector) are a stated set and are held against all rows of ``index`` (id, vector) in
-    blocks: each task scores its rows by a matrix product, keeps k a query, and only those are shuffled.
-    """
-    out = []
-    total = queries.count()
-    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-total // QUERY_BLOCK)))))
-    for block in range(max(1, -(-total // QUERY_BLOCK))):
-        rows = numbered.where(F.col("_b") == block).select("q", "vector").toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((rows.q.to_numpy(), _unit(rows.vector)))
-
-        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            best: list[pd.DataFrame] = []
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
+
+def _list(values: pa.Array, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
+
+
+def blocks(rows: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Rows of (id, vector), one Arrow batch after another, as blocks of vectors of one length: ``{name}_ids``,
+    ``{name}_width``, ``{name}_matrix``, and ``by``, whose values are not mixed within a block."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f"{name}_ids", f"{name}_width", f"{name}_matrix", *([by] if by else [])]
+        for b in batches:
+            vectors, group = b.column("vector"), b.column(by).to_numpy(zero_copy_only=False) if by else np.zeros(b.num_rows, dtype=np.int64)
+            widths, starts, flat = np.diff(vectors.offsets.to_numpy()), vectors.offsets.to_numpy()[:-1], vectors.values.to_numpy()
+            for g, width in sorted(set(zip(group.tolist(), widths.tolist(), strict=True))):
+                at = np.flatnonzero((group == g) & (widths == width))
+                for i in range(0, len(at), step := max(1, BLOCK_BYTES // (8 * width))):
+                    part = at[i : i + step]
+                    matrix = flat[starts[part][:, None] + np.arange(width)].ravel()
+                    columns = [_list(b.column("id").take(pa.array(part)), len(part)), pa.array([width], pa.int32()), _list(pa.array(matrix), len(matrix))]
+                    yield pa.RecordBatch.from_arrays([*columns, *([pa.array([g], b.column(by).type)] if by else [])], names)
+
+    schema = f"{name}_ids array<{kind}>, {name}_width int, {name}_matrix array<double>" + (f", {by} {rows.schema[by].dataType.simpleString()}" if by else "")
+    return rows.select("id", "vector", *([by] if by else [])).mapInArrow(pack, schema)
+
+
+def nearest(pairs: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """(q, id, score, rk) from pairs of index blocks (``i_``) and query blocks (``q_``): a matrix product for each pair
+    of vectors of one length; k a query leave a task, with all that tie with the last of them."""
+    q_type, i_type = (pairs.schema[c].dataType.elementType for c in ("q_ids", "i_ids"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame] = []
+        held = 0
+        for b in batches:
+            for i_ids, width, i_matrix, q_ids, other, q_matrix in zip(*(b.column(c) for c in ("i_ids", "i_width", "i_matrix", "q_ids", "q_width", "q_matrix")), strict=True):
+                if width.as_py() != other.as_py():
                     continue
-                own, vectors, keep = pdf.id.to_numpy(), _unit(pdf.vector), min(k, len(pdf))
-                for at in range(0, len(ids), SCORED_AT_ONCE):
-                    asked = ids[at : at + SCORED_AT_ONCE]
+                shape = (-1, width.as_py())
+                own, asked = i_ids.values.to_numpy(zero_copy_only=False), q_ids.values.to_numpy(zero_copy_only=False)
+                vectors, matrix = _unit(i_matrix.values.to_numpy().reshape(shape)), _unit(q_matrix.values.to_numpy().reshape(shape))
+                keep = min(k, len(own))
+                for at in range(0, len(asked), SCORED_AT_ONCE):
+                    some = asked[at : at + SCORED_AT_ONCE]
                     s = np.round(vectors @ matrix[at : at + SCORED_AT_ONCE].T, 4)
                     if skip_self:
-                        s[own[:, None] == asked[None, :]] = -np.inf
-                    # all that tie with the k-th stay until the shuffle
-                    bound = np.partition(s, len(pdf) - keep, axis=0)[len(pdf) - keep]
+                        s[own[:, None] == some[None, :]] = -np.inf
+                    bound = np.partition(s, len(own) - keep, axis=0)[len(own) - keep]
                     r, c = np.nonzero((s >= bound) & np.isfinite(s))
-                    best.append(pd.DataFrame({"q": asked[c], "id": own[r], "score": s[r, c]}))
-                if sum(map(len, best)) > 4 * k * len(ids):
+                    best.append(pd.DataFrame({"q": some[c], "id": own[r], "score": s[r, c]}))
+                    held += len(r)
+                if held > CUT_ROWS:
                     best = [_cut(best, k)]
-            if best:
-                yield _cut(best, k)
+                    held = len(best[0]) // 2
+        if best:
+            yield from (pa.RecordBatch.from_pandas(x, schema=schema, preserve_index=False) for x in [_cut(best, k)])
 
-        out.append(index.select("id", "vector").mapInPandas(score, T.StructType([T.StructField("q", queries.schema["q"].dataType), T.StructField("id", index.schema["id"].dataType), T.StructField("score", T.DoubleType())])))
-    scored = out[0]
-    for x in out[1:]:
-        scored = scored.unionByName(x)
+    out = T.StructType([T.StructField("q", q_type), T.StructField("id", i_type), T.StructField("score", T.DoubleType())])
+    schema = to_arrow_schema(out)
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rk", rank).where(F.col("rk") <= k)
+    return pairs.mapInArrow(score, out).withColumn("rk", rank).where(F.col("rk") <= k)
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+    """The k nearest of the index for each query: (q, id, score, rk), best first, ties by id (WIN-01, JOI-15).
+
+    ``queries`` (q, vector) are a stated set and are held against all rows of ``index`` (id, vector) in blocks: each
+    task scores its pairs of blocks by matrix products, keeps k a query, and only those are shuffled. Queries up
+    to ``BROADCAST_BYTES`` after a count go to every task; beyond it Spark deals the pairs of blocks out. Null
+    and empty vectors and those with a null or NaN are no part of it; a vector meets those of its length alone.
+    """
+    asked = usable(queries, "q", "vector")
+    size = asked.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()["n"] * 8
+    packed = blocks(asked.coalesce(max(1, -(-size // BROADCAST_BYTES))), "q")
+    return nearest(blocks(usable(index, "id", "vector"), "i").crossJoin(F.broadcast(packed) if size <= BROADCAST_BYTES else packed), k, skip_self)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
 def _cut(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
@@ -134,7 +180,7 @@ def embedded(df: DataFrame, text: str, out: str, encode: Callable[[list[str]], n
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_unit(pd.Series(list(encode(list(texts.fillna("")))))).astype(np.float32)))
+        return pd.Series(list(_unit(np.asarray(encode(list(texts.fillna(""))), dtype=np.float64).reshape(len(texts), -1)).astype(np.float32)))
 
     return df.withColumn(out, vectors(text))
 
