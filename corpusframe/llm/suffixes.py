@@ -1,12 +1,12 @@
 """Passage deduplication by a sparse suffix array.
 
-Suffixes are kept at minimiser positions alone: in each window of ``WINDOW`` hashes of ``GRAM`` words the
-smallest, so any two texts that share ``WINDOW + GRAM - 1`` words keep a suffix at the same place of them.
-Only suffixes whose first gram occurs in several documents count. Those of grams with a few places are
-sorted, by range over all tasks; each is compared with all others of its gram and the match is extended left
-and right. Where a gram has more places, what precedes it may tell more than what follows, and no sorted
-neighbour need be the one that shares a passage: there the hashes of all windows of ``PASSAGE`` words that
-hold the gram are compared. Every such window of a passage holds a shared minimiser, so none is missed.
+Minimisers say where to look: in each window of ``WINDOW`` hashes of ``GRAM`` words the smallest, so any two texts that
+share ``WINDOW + GRAM - 1`` words have one at the same place of them. Only those whose gram occurs in several documents
+count, and each stands for the suffixes that reach it within ``PASSAGE`` words: a common gram tells nothing of what precedes
+it, and a passage may lie on either side. These suffixes are sorted by their first ``PASSAGE`` words, as a fingerprint, over
+all tasks by ranges of fingerprint, key and place, so that a passage in very many documents is no task of its own.
+Neighbours of one fingerprint and different documents match; matches that touch or overlap are extended left and right
+into one passage. Grams with two places and with a million go the same way.
 """
 
 from __future__ import annotations
@@ -18,15 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, remove, table_path
 
 GRAM = 8
 WINDOW = 32
-#: Words that are compared on either side of a position, and the least words of a repeated passage.
-REACH = 50
+#: The least words of a repeated passage, by which suffixes are sorted.
 PASSAGE = 50
-#: Suffixes before a suffix that it is compared with; grams with more places than one and these go by windows.
-NEIGHBOURS = 4
 
 _draw = np.random.RandomState(97)
 _FACTORS = _draw.randint(0, 1 << 62, GRAM, dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)
@@ -66,21 +63,8 @@ def _marks(batches):
 
 
 def _suffixes(batches):
-    """The words to the right, as sortable bytes, and those to the left, nearest first."""
-    for batch in batches:
-        ids, places, right, left = [], [], [], []
-        for i, t, at in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            h = (_word_hashes(t.as_py()) >> np.uint64(48)).astype(">u2")
-            for p in at.as_py():
-                ids.append(i.as_py())
-                places.append(p)
-                right.append(h[p : p + REACH].tobytes())
-                left.append(h[max(0, p - REACH) : p][::-1].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names=["id", "at", "right", "left"])
-
-
-def _windows(batches):
-    """Hashes and first words of the windows of ``PASSAGE`` words that hold the gram at one of the places."""
+    """Fingerprints of the first ``PASSAGE`` words, and first words, of the suffixes that reach a gram at one of the places
+    within them."""
     for batch in batches:
         ids, hashes, starts = [], [], []
         for i, t, places in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -100,87 +84,81 @@ def _windows(batches):
             hashes.append((g[at] ^ (g[at] >> np.uint64(29))).view(np.int64))
             starts.append(at)
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hashes, starts)], names=["id", "window", "at"])
-
-
-def _shared(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their start."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 2
-    x, y = np.frombuffer(a, np.uint16, n // 2), np.frombuffer(b, np.uint16, n // 2)
-    return int(np.argmax(x != y))
-
-
-def _neighbours(edges: bool):
-    """Matches of sorted suffixes with the last ones before them. The first and last rows of a task come out
-    as edges too, for the matches across tasks."""
-
-    def run(batches):
-        recent: list[tuple] = []  # the last few rows, latest last
-        n = 0
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                if n < NEIGHBOURS and edges:
-                    out.append((*row, None, None, None))
-                n += 1
-                for other in reversed(recent):
-                    r = _shared(other[2], row[2])
-                    if r < GRAM:
-                        break
-                    if other[0] != row[0]:
-                        lft = _shared(other[3], row[3])
-                        if r + lft >= PASSAGE:
-                            for x, y in ((other, row), (row, other)):
-                                out.append((x[0], None, None, None, x[1] - lft, r + lft, y[0]))
-                recent = [*recent, row][-NEIGHBOURS:]
-            yield _batch(out)
-        late = recent[-min(NEIGHBOURS, n - NEIGHBOURS) :] if n > NEIGHBOURS else []  # but those that are out already
-        if late and edges:
-            yield _batch([(*x, None, None, None) for x in late])
-
-    return run
-
-
-_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-_NAMES = ["id", "at", "right", "left", "first", "words", "other"]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hashes, starts)], names=["id", "print", "at"])
+
+
+def _neighbours(batches):
+    """(id, at, print, other) of sorted suffixes: of those of one fingerprint and several documents each with the
+    smallest of the others'. A task's first and last fingerprints may go on in other tasks: their rows come out without an
+    ``other``."""
+    held, first = None, True
+    for batch in batches:
+        rows = [batch.column(i).to_numpy() for i in range(3)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        ends = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1  # where a fingerprint ends and another begins
+        done = int(ends[-1]) if len(ends) else 0
+        held = [x[done:] for x in rows]
+        if not done:
+            continue
+        begin = 0
+        if first:
+            begin, first = int(ends[0]), False
+            yield _open([x[:begin] for x in rows])
+        if begin < done:
+            yield _matched(*(x[begin:done] for x in rows))
+    if held is not None and len(held[0]):
+        yield _open(held)
+
+
+def _open(rows: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[0]), pa.nulls(len(rows[0]), pa.int64())], names=["id", "at", "print", "other"])
+
+
+def _matched(prints: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    n = len(prints)
+    starts = np.concatenate([[0], np.flatnonzero(prints[1:] != prints[:-1]) + 1])
+    ends = np.append(starts[1:], n)
+    changes = np.append(np.flatnonzero((ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])) + 1, n)
+    second = changes[np.searchsorted(changes, starts, side="right")]  # the run's first row of another document, or its end
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    low, next_ = ids[starts], ids[np.minimum(second, n - 1)]
+    keep = np.repeat(second < ends, ends - starts)
+    other = np.where(ids == low[run], next_[run], low[run])
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(at[keep]), pa.array(prints[keep]), pa.array(other[keep])], names=["id", "at", "print", "other"])
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages of ``PASSAGE`` words or more that other documents hold too.
 
-    Returns the key, ``first_word``, ``n_words`` (matches that overlap are one passage) and ``other_id``, the
-    smallest of the keys that its matches name: the others of a gram with few places; for a window the
-    smallest holder, or the largest where that is the document itself. Documents without one have no row; null and short texts and
-    null keys have none. Rows that repeat a key are one document.
+    Returns the key, ``first_word``, ``n_words`` (matches that touch or overlap are one passage) and ``other_id``, the
+    smallest key of another document that holds ``PASSAGE`` consecutive words of the passage. Documents without one have no
+    row; null and short texts and null keys have none. Rows that repeat a key are one document: a passage that only they share
+    is none. An empty table gives an empty one.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     marks = rows.mapInArrow(_marks, "id long, gram long, at long")
-    many = F.count("*") > NEIGHBOURS + 1
     # a written table on one side lets a gram with very many places be split over tasks on the other
-    held = cut(marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), many.alias("many")).where("low < high").select("gram", "many"))
-    places = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("at"))))
-    chosen = cut(marks.join(held, "gram").groupBy("id").agg(places(~F.col("many")).alias("places"), places(F.col("many")).alias("common")))
-    windows = rows.join(chosen.where("size(common) > 0"), "id").select("id", "text", "common").mapInArrow(_windows, "id long, window long, at long")
-    twice = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    alike = windows.join(twice, "window").select("id", F.col("at").alias("first"), F.lit(PASSAGE).cast("long").alias("words"), F.when(F.col("id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
-    schema = "id long, at long, right binary, left binary"
-    suffixes = cut(rows.join(chosen.where("size(places) > 0"), "id").select("id", "text", "places").mapInArrow(_suffixes, schema))
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["right", "id", "at"]
-    found = cut(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(True), schema + ", first long, words long, other long"))
-    # a handful of rows of each task
-    edges = found.where("right IS NOT NULL").select("id", "at", "right", "left").coalesce(1).sortWithinPartitions(*order).mapInArrow(_neighbours(False), schema + ", first long, words long, other long")
-    spans = found.where("first IS NOT NULL").union(edges.where("first IS NOT NULL")).select("id", "first", "words", "other").union(alike)
-    order = W.partitionBy("id").orderBy("first", "words")
-    reached = F.max(F.col("first") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    new = F.coalesce((F.col("first") > reached).cast("int"), F.lit(1))
-    merged = spans.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = merged.groupBy("id", "run").agg(F.min("first").alias("first_word"), F.max(F.col("first") + F.col("words")).alias("end"), F.min("other").alias("other_id"))
-    return merged.select(F.col("id").alias(key), "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "other_id")
+    held = cut(marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram"))
+    chosen = cut(marks.join(held, "gram").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("places")))
+    path = table_path(spark, "suffixes")
+    rows.join(chosen, "id").select("id", "text", "places").mapInArrow(_suffixes, "id long, print long, at long").write.parquet(path)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = ["print", "id", "at"]
+    ranged = spark.read.parquet(path).select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = cut(ranged.mapInArrow(_neighbours, "id long, at long, print long, other long"))
+    remove(spark, path)
+    # two fingerprints a task at most: their two smallest keys
+    open_ = found.where("other IS NULL").select("id", "at", "print")
+    lows = open_.groupBy("print").agg(F.min("id").alias("low"))
+    seconds = open_.join(F.broadcast(lows), "print").where("id <> low").groupBy("print", "low").agg(F.min("id").alias("second"))
+    met = open_.join(F.broadcast(seconds), "print").select("id", "at", F.when(F.col("id") == F.col("low"), F.col("second")).otherwise(F.col("low")).alias("other"))
+    spans = found.where("other IS NOT NULL").select("id", "at", "other").union(met)
+    before = F.lag("at").over(W.partitionBy("id").orderBy("at"))
+    new = F.coalesce((F.col("at") > before + PASSAGE).cast("int"), F.lit(1))
+    merged = spans.withColumn("new", new).withColumn("run", F.sum("new").over(W.partitionBy("id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    merged = merged.groupBy("id", "run").agg(F.min("at").alias("first_word"), F.max("at").alias("last"), F.min("other").alias("other_id"))
+    return merged.select(F.col("id").alias(key), "first_word", (F.col("last") + PASSAGE - F.col("first_word")).alias("n_words"), "other_id")

@@ -145,8 +145,26 @@ def test_suffix_passages_equal_brute_force(spark):
     for i, w in enumerate(split):
         own = [k for k in range(len(w) - 49) if len(holders[tuple(w[k : k + 50])]) > 1]
         want |= {(i, x) for k in own for x in range(k, k + 50)}
-    got = {(r.doc_id, x) for r in suffixes.repeated_passages(table(spark, texts)).collect() for x in range(r.first_word, r.first_word + r.n_words)}
+    found = suffixes.repeated_passages(table(spark, texts)).collect()
+    got = {(r.doc_id, x) for r in found for x in range(r.first_word, r.first_word + r.n_words)}
     assert got == want
+    for r in found:  # the smallest other holder of 50 words of the passage
+        w = split[r.doc_id]
+        assert r.other_id == min(i for k in range(r.first_word, r.first_word + r.n_words - 49) for i in holders[tuple(w[k : k + 50])] if i != r.doc_id)
+
+
+@pytest.mark.parametrize(("copies", "parts"), [(2, 4), (3, 4), (40, 4), (40, 40)])
+def test_other_id_means_the_same_for_few_and_many_copies(spark, copies, parts):
+    """Passages in few and in many documents, in one task and cut over many."""
+    pick = random.Random(copies)
+    shared = words(pick, 60)
+    texts = [f"{words(pick, 20)} {shared} {words(pick, 15)}" for _ in range(copies)] + [words(pick, 90) for _ in range(5)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {(r.doc_id, r.first_word, r.n_words, r.other_id) for r in suffixes.repeated_passages(table(spark, texts)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == {(i, 20, 60, 0 if i else 1) for i in range(copies)}
 
 
 # --- tokens -----------------------------------------------------------------------------------------------
