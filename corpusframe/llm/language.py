@@ -55,7 +55,8 @@ class Classifier:
             self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and the margin in [0, 1]; the first of equals; ``und`` without a letter."""
+        """The language and the margin in [0, 1]; the first of equals; ``und`` without a letter. A single language has its
+        margin over the plain bytes, 0 where it makes them no shorter."""
         if not text or not self.coders or not any(map(str.isalpha, text)):
             return "und", 0.0
         data = text.lower().encode()
@@ -63,7 +64,7 @@ class Classifier:
         sizes = [len(x) for x in sizes]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min((s for i, s in enumerate(sizes) if i != best), default=len(data) + 8)
-        return self.langs[best], (second - sizes[best]) / max(second, 1)
+        return self.langs[best], max(0.0, (second - sizes[best]) / max(second, 1))
 
 
 def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
