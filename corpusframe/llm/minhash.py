@@ -128,9 +128,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough. The sets of ``b`` come first, so that the set of an ``a`` with very
+    many partners is sent once and not with each of them; Spark splits such an ``a`` over tasks."""
     side = lambda name: sets.select(F.col("id").alias(name), F.col("hashes").alias(f"h{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("shared"))
     return shared.where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
