@@ -29,6 +29,7 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,8 +254,9 @@ class _Shared:
     """A broadcast value with an identity that workers can keep the compiled automaton under."""
 
     def __init__(self, spark, path: str):
-        self.broadcast = spark.sparkContext.broadcast(load_spec(path))
-        self.id = hash(path)
+        spec = load_spec(path)
+        self.broadcast = spark.sparkContext.broadcast(spec)
+        self.id = xxhash.xxh3_128_hexdigest(spec)  # of the content: a file may be written anew under its path
 
     @property
     def value(self) -> str:
