@@ -3,7 +3,8 @@
 Hashes of ``GRAM`` consecutive words roll over the text; in each window of ``WINDOW`` of them the
 smallest is kept, the rightmost one of equals, with its position. Any run of ``GRAM + WINDOW - 1`` words
 that two texts share therefore leaves a common hash. A text of fewer words than a gram is one gram, one
-of fewer grams than a window is one window.
+of fewer grams than a window is one window. In scripts that are written without blanks each character is a
+word; other runs without one are cut after every ``LONGEST`` characters.
 """
 
 from __future__ import annotations
@@ -12,13 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, cut
+from .common import cut
 
 GRAM = 3
 WINDOW = 4
+LONGEST = 32
+#: Thai, Lao, Tibetan, Burmese, Khmer, and the letters of Chinese and Japanese.
+WITHOUT_BLANKS = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FFF}\x{3005}-\x{3007}\x{3040}-\x{312F}\x{3190}-\x{A4CF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+WORD = rf"[{WITHOUT_BLANKS}]|[^\x20\x09-\x0D{WITHOUT_BLANKS}]{{1,{LONGEST}}}"
 #: Keys in a span; spans up to the second number are sent to every task (64 MB), beyond it they are joined by shuffle.
 SPAN = 512
 BROADCAST_SPANS = 4_000_000
+#: Spans that one task follows.
+RANGE = 100_000
 #: Groups of rows without a key.
 NULL_GROUPS = 4096
 #: A long holds a hash of 32 bits above 31 bits that fall as the position rises, so the least is the rightmost of equals.
@@ -66,14 +73,15 @@ def likeness(a: str, b: str) -> Column:
 
 def _spans(ids: DataFrame, span: int) -> DataFrame:
     """(top, to): the largest id of each span of ids and the span above, which needs it as its lowest row's
-    next document; the very largest goes to the lowest span. One row a span. Spans are followed within groups of
-    ``span * 8`` of them, groups among one another, so that no task sees all spans."""
-    tops = ids.where("id is not null").groupBy(F.floor(F.col("id") / span).alias("span")).agg(F.max("id").alias("top"))
-    tops = cut(tops.withColumn("g", F.floor(F.col("span") / (span * 8))))
+    next document; the very largest goes to the lowest span. One row a span. Spans are dealt out by ranges, however
+    far apart their ids are, and followed within a range; only one number a range is followed among ranges."""
+    tops = cut(ids.where("id is not null").groupBy(F.floor(F.col("id") / span).alias("span")).agg(F.max("id").alias("top")))
+    parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tops.count() // RANGE))
+    tops = cut(tops.repartitionByRange(parts, "span").withColumn("g", F.spark_partition_id()))
     groups = tops.groupBy("g").agg(F.min("span").alias("low"))
     above = F.coalesce(F.lag("low").over(W.orderBy(F.col("g").desc())), F.min("low").over(W.partitionBy()))
     within = F.lag("span").over(W.partitionBy("g").orderBy(F.col("span").desc()))
-    return tops.join(groups.select("g", above.alias("next")), "g").select("top", F.coalesce(within, "next").alias("to"))
+    return tops.join(F.broadcast(groups.select("g", above.alias("next"))), "g").select("top", F.coalesce(within, "next").alias("to"))
 
 
 def compared(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
