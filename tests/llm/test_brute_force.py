@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import hashlib
 import itertools
 import json
 import random
@@ -252,6 +253,74 @@ def test_pseudonyms_are_one_to_one_and_linked(spark):
         privacy.pseudonymized(table(spark, texts), "")
 
 
+def feistel(key, kind, n, left, right, ml, mr):
+    """The network as it is defined: eight rounds, each adding a keyed digest of one half to the other."""
+    halves, sizes = [left, right], [ml, mr]
+    for i in range(8):
+        told = hashlib.sha256("|".join(map(str, [key, kind, *([] if n is None else [n]), i, halves[1 - i % 2]])).encode()).hexdigest()[:15]
+        halves[i % 2] = (halves[i % 2] + int(told, 16)) % sizes[i % 2]
+    return halves
+
+
+def moved_digits(key, kind, d):
+    n = len(d)
+    a, b = feistel(key, kind, n, int(d[: n // 2] or 0), int(d[n // 2 :]), 10 ** (n // 2), 10 ** (n - n // 2))
+    return (f"{a:0{n // 2}d}" if n // 2 else "") + f"{b:0{n - n // 2}d}"
+
+
+def filled(form, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in form)
+
+
+def moved_date(key, day):
+    n = (day - datetime.date(1800, 1, 1)).days
+    a, b = feistel(key, "date", None, n // 773, n % 773, 189, 773)
+    return datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 773 + b)
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else 2 * x - 9 if x > 4 else 2 * x for i, x in enumerate(map(int, reversed(d)))) % 10
+
+
+def mod97(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    """Every kind of value by the network as it is written down, in every notation."""
+    key = "a key"
+    day = lambda y, m, d: moved_date(key, datetime.date(y, m, d))
+    want = {}
+    for c in ("4068516892505468", "4068-5168-9250-5468", "378282246310005"):
+        new = moved_digits(key, "card", re.sub("[^0-9]", "", c)[:-1])
+        want[c] = filled(c, new + str((10 - luhn(new + "0")) % 10))
+    for p, front in (("+49 30 1234567", "49"), ("0049 30 1234567", "0049"), ("030 1234567", "0"), ("(030) 1234567", "0"), ("089/123 45678", "0"), ("+1 (830) 555-5433", "1"), ("830-555-5433", ""), ("(830) 555-5433", "")):
+        digits = re.sub("[^0-9]", "", p)
+        want[p] = filled(p, front + moved_digits(key, "phone", digits[len(front) :]))
+    want["078-05-1120"] = filled("078-05-1120", moved_digits(key, "ssn", "078051120"))
+    a, b = feistel(key, "address", None, 10 * 256 + 1, 2 * 256 + 255, 65536, 65536)
+    want["10.1.2.255"] = f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    for x in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606"):
+        plain = x.replace(" ", "")
+        body = filled(plain[4:], moved_digits(key, "iban", re.sub("[^0-9]", "", plain[4:])))
+        new = plain[:2] + f"{98 - mod97(plain[:2] + '00' + body):02d}" + body
+        assert mod97(plain) == 1 and mod97(new) == 1
+        it = iter(new)
+        want[x] = "".join(" " if c == " " else next(it) for c in x)
+    x, y = day(1999, 4, 3), day(1980, 3, 1)
+    want |= {"1999-04-03": str(x), "03/04/1999": f"{x:%d/%m/%Y}", "3/4/1999": f"{x.day}/{x.month}/{x.year}", "03.04.1999": f"{x:%d.%m.%Y}", "3.4.1999": f"{x.day}.{x.month}.{x.year}"}
+    want |= {"1 March 1980": f"{y.day} {y:%B} {y.year}", "March 1, 1980": f"{y:%B} {y.day}, {y.year}", "1 Mar 1980": f"{y.day} {y:%b} {y.year}", "Mar 1, 1980": f"{y:%b} {y.day}, {y.year}"}
+    z = day(2020, 12, 25)
+    want |= {"12/25/2020": f"{z:%m/%d/%Y}", "25 December 2020": f"{z.day} {z:%B} {z.year}"}
+    six = hashlib.sha256(f"{key}|address6|2001:0db8:0000:0000:0000:0000:0000:0001".encode()).hexdigest()[:32]
+    want |= {x: ":".join(six[i : i + 4] for i in range(0, 32, 4)) for x in ("2001:db8::1", "2001:0DB8:0:0::1", "2001:db8:0:0:0:0:0:1")}
+    same = ["DE88 3704 0044 0532 0130 00", "31/02/2001", "30 February 2001", "12:30:45", "std::move a::b beef::cafe", "version 1.2.3", "no 0123 4", "4068516892505467", "1234 5678", "0.123456789", "2001:db8:1", "€ 0,12 345678", "§ 0815"]
+    texts = [f"see {v}, and {v}." for v in want] + same
+    got = [r.text for r in privacy.pseudonymized(table(spark, texts), key).orderBy("doc_id").collect()]
+    assert got == [f"see {n}, and {n}." for n in want.values()] + same
+
+
 # --- fingerprints, licences, quality, language --------------------------------------------------------------
 
 
@@ -346,6 +415,54 @@ def test_language_margins(spark):
     assert s < 0.1 < language.Classifier(d).predict(rows[0][1])[1] and language.accepted(table(spark, [both]), d, margin=s + 0.01).count() == 0
 
 
+def test_one_language_and_sizes_of_zstandard(spark):
+    """Scores stay in [0, 1] with one language; with more, size by size what zstandard makes of a text."""
+    import zstandard
+
+    one = language.Classifier({"en": b"the quick brown fox " * 30})
+    assert one.predict("x") == ("en", 0.0) and one.predict("qzxw jk vb") == ("en", 0.0) and one.predict("7 !") == ("und", 0.0)
+    assert 0 < one.predict("the quick brown fox the quick brown fox")[1] <= 1
+    pick = random.Random(52)
+    known = {x: " ".join(words(pick, 1) for _ in range(300)).encode() for x in ("a", "b", "c")}
+    texts = [" ".join(pick.choices(known[x].decode().split(), k=n)) for x in known for n in (1, 3, 30, 400)] + ["Zzz", None, "42"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(table(spark, texts), known).collect()}
+    for i, t in enumerate(texts):
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i] == ("und", 0.0)
+            continue
+        sizes = {}
+        for x, d in known.items():
+            held = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=language.LEVEL)
+            sizes[x] = len(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t.lower().encode()))
+        best = min(sorted(sizes), key=sizes.get)
+        second = min(s for x, s in sizes.items() if x != best)
+        assert got[i] == (best, (second - sizes[best]) / second) and 0 <= got[i][1] <= 1
+
+
+def test_prints_of_texts_without_blanks(spark):
+    """Scripts without blanks have characters as words, long runs are cut; ids may lie far apart."""
+    zh = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋"
+    run = "".join(random.Random(9).choices("abcdefgh", k=4000))
+    df = table(spark, [(1 << 40, zh + "收冬", "a"), (77, zh + "余成", "a"), (5, run, "a"), (-(1 << 50), run[:3000] + "x" * 1000, "a")])
+    got = {r.doc_id: r for r in fingerprint.compared(df).collect()}
+    assert 0.5 < got[1 << 40].near_next < 1 and got[77].near_edited > 0.3 and 0.4 < got[5].near_next < 1 and got[77].near_next == 0
+
+
+def test_spans_of_ids_far_apart(spark, monkeypatch):
+    """Ranges of spans hold several of them, and the next document is right across them."""
+    monkeypatch.setattr(fingerprint, "RANGE", 40)
+    pick = random.Random(12)
+    ids = sorted(pick.sample(range(-(10**12), 10**12), 300), reverse=True)
+    texts = {i: " ".join(pick.choices("abcdefgh", k=12)) for i in ids}
+    got = {r.doc_id: r.edited for r in fingerprint.compared(table(spark, [(i, t, "a") for i, t in texts.items()])).collect()}
+    for i, nxt in zip(ids, [*ids[1:], ids[0]], strict=True):
+        third = len(texts[i]) // 3
+        assert got[i] == texts[i][: len(texts[i]) - third] + texts[nxt][:third]
+    spans = fingerprint._spans(spark.createDataFrame([(i,) for i in ids], "id long"), 8)
+    assert spans.count() == 300
+
+
 # --- odd rows ---------------------------------------------------------------------------------------------
 
 
