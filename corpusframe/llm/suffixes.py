@@ -88,9 +88,9 @@ def _suffixes(batches):
 
 
 def _neighbours(batches):
-    """(id, at, print, other) of sorted suffixes: of those of one fingerprint and several documents each with the
+    """(id, at, print, other, mark) of sorted suffixes: of those of one fingerprint and several documents each with the
     smallest of the others'. A task's first and last fingerprints may go on in other tasks: their rows come out without an
-    ``other``."""
+    ``other``, those of the two smallest keys marked."""
     held, first = None, True
     for batch in batches:
         rows = [batch.column(i).to_numpy() for i in range(3)]
@@ -113,8 +113,38 @@ def _neighbours(batches):
         yield _open(held)
 
 
+_FOUND = ["id", "at", "print", "other", "mark"]
+
+
 def _open(rows: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[0]), pa.nulls(len(rows[0]), pa.int64())], names=["id", "at", "print", "other"])
+    prints, ids, at = rows
+    second = int(np.argmax(ids != ids[0])) if len(ids) and (ids != ids[0]).any() else 0
+    mark = np.zeros(len(ids), bool)
+    mark[[0, second]] = True
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at), pa.array(prints), pa.nulls(len(ids), pa.int64()), pa.array(mark)], names=_FOUND)
+
+
+def _closed(lows: dict[int, tuple[int, int | None]]):
+    """Give the rows of fingerprints that several tasks hold their ``other``; those of one document alone go."""
+    prints = np.array(sorted(lows), dtype=np.int64)
+    low = np.array([lows[p][0] for p in sorted(lows)], dtype=np.int64)
+    some = np.array([lows[p][1] is not None for p in sorted(lows)], dtype=bool)
+    second = np.array([lows[p][1] or 0 for p in sorted(lows)], dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            ids, at, own, other = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy(), b.column(3)
+            if other.null_count:
+                null = other.is_null().to_numpy(zero_copy_only=False)
+                place = np.minimum(np.searchsorted(prints, own), max(0, len(prints) - 1))
+                told = np.where(ids == low[place], second[place], low[place])
+                other = pa.array(np.where(null, told, other.fill_null(0).to_numpy()))
+                keep = pa.array(~null | some[place])
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), at.filter(keep), other.filter(keep)], names=["id", "at", "other"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), at, other], names=["id", "at", "other"])
+
+    return run
 
 
 def _matched(prints: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -127,7 +157,7 @@ def _matched(prints: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBa
     low, next_ = ids[starts], ids[np.minimum(second, n - 1)]
     keep = np.repeat(second < ends, ends - starts)
     other = np.where(ids == low[run], next_[run], low[run])
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(at[keep]), pa.array(prints[keep]), pa.array(other[keep])], names=["id", "at", "print", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(at[keep]), pa.array(prints[keep]), pa.array(other[keep]), pa.array(np.zeros(int(keep.sum()), bool))], names=_FOUND)
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,14 +179,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["print", "id", "at"]
     ranged = spark.read.parquet(path).select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = cut(ranged.mapInArrow(_neighbours, "id long, at long, print long, other long"))
+    found = cut(ranged.mapInArrow(_neighbours, "id long, at long, print long, other long, mark boolean"))
     remove(spark, path)
-    # two fingerprints a task at most: their two smallest keys
-    open_ = found.where("other IS NULL").select("id", "at", "print")
-    lows = open_.groupBy("print").agg(F.min("id").alias("low"))
-    seconds = open_.join(F.broadcast(lows), "print").where("id <> low").groupBy("print", "low").agg(F.min("id").alias("second"))
-    met = open_.join(F.broadcast(seconds), "print").select("id", "at", F.when(F.col("id") == F.col("low"), F.col("second")).otherwise(F.col("low")).alias("other"))
-    spans = found.where("other IS NOT NULL").select("id", "at", "other").union(met)
+    # two keys at most of each task's first and last fingerprint come to the driver
+    lows: dict[int, tuple[int, int | None]] = {}
+    for r in found.where("mark").select("print", "id").distinct().orderBy("print", "id").collect():
+        at = lows.setdefault(r["print"], (r["id"], None))
+        if at[1] is None and r["id"] != at[0]:
+            lows[r["print"]] = (at[0], r["id"])
+    spans = found.select("id", "at", "print", "other").mapInArrow(_closed(lows), "id long, at long, other long") if lows else found.select("id", "at", "other").where("other IS NOT NULL")
     before = F.lag("at").over(W.partitionBy("id").orderBy("at"))
     new = F.coalesce((F.col("at") > before + PASSAGE).cast("int"), F.lit(1))
     merged = spans.withColumn("new", new).withColumn("run", F.sum("new").over(W.partitionBy("id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
