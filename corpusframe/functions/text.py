@@ -43,15 +43,23 @@ def clean_en(c) -> Column:
     return F.regexp_replace(strip(F.regexp_replace(_col(c), r"\s+", " ")), r" ([,.;:!?])", "$1")
 
 
+#: A list mark at the start of an Arabic line whose brackets the layout has mirrored, brackets that stand
+#: alone, and blanks before marks that none comes before.
+LIST_MARK_AR = r"^(?:([٠-٩]+)\s*[()]\s*|[()]\s*([٠-٩]+|[ء-ي]ـ?)\s*[()])"
+LONE_AR = r"(?:(?<=\s)|^)[()](?=\s|$)"
+NO_BLANK_AR = r"\s+(?=[،.؛:؟!])"
+
+
 def clean_ar(c) -> Column:
     """White space, ligature glyphs, list marks whose brackets the layout mirrored, stray brackets, and no space
     before punctuation (STR-05)."""
     x = ligatures(strip(F.regexp_replace(_col(c), r"\s+", " ")))
-    x = F.regexp_replace(x, r"^[()]\s*([٠-٩]+|[ء-ي]ـ?)\s*[()]", "($1)")
-    x = F.regexp_replace(x, r"^([٠-٩]+)\s*[()]\s*", "$1) ")
-    x = F.regexp_replace(x, r"(?:^|\s)[()](?=\s|$)", " ")
-    x = F.regexp_replace(x, r"\s+([،.؛:؟!])", "$1")
-    return strip(F.regexp_replace(x, r"\s+", " "))
+    # a mark at the start of the line: with a bracket on both sides it is (mark), with one behind it is mark)
+    bare, closed = F.regexp_extract(x, LIST_MARK_AR, 1), F.regexp_extract(x, LIST_MARK_AR, 2)
+    mark = F.when(closed != "", F.concat(F.lit("("), closed, F.lit(")"))).when(bare != "", F.concat(bare, F.lit(") "))).otherwise("")
+    rest = F.when(mark != "", F.regexp_replace(x, LIST_MARK_AR, "")).otherwise(x)
+    lone = F.regexp_replace(F.concat(mark, rest), LONE_AR, " ")
+    return strip(F.regexp_replace(F.regexp_replace(lone, NO_BLANK_AR, ""), r"\s+", " "))
 
 
 def ligatures(c, glyphs: dict[str, str] | None = None) -> Column:
@@ -198,8 +206,9 @@ def run_name(strategy, model, size, overlap) -> Column:
 
 
 def stamped_name(ts) -> Column:
-    """``20240131-0859`` in UTC (DAT-01)."""
-    return F.date_format(_col(ts), "yyyyMMdd-HHmm")
+    """``20240131-0859`` in UTC of a timestamp, whatever the session's time zone (DAT-01)."""
+    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(_col(ts).cast("timestamp")).cast("decimal(18,6)"))
+    return F.regexp_replace(at.cast("string"), r"^(\d+)-(\d+)-(\d+) (\d+):(\d+).*$", "$1$2$3-$4$5")
 
 
 def topic_group(c) -> Column:
@@ -244,7 +253,7 @@ def slug(c, longest: int = 120) -> Column:
 
 def chunk_id(number, suffix=None) -> Column:
     """``art-0044`` with a suffix (STR-21)."""
-    return F.concat_ws("-", F.lit("art"), F.lpad(_col(number).cast("string"), 4, "0"), *([] if suffix is None else [suffix]))
+    return F.concat_ws("-", F.format_string("art-%04d", _col(number)), *([] if suffix is None else [suffix]))
 
 
 def display_topic(section, detail, fallback) -> Column:

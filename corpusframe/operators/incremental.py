@@ -14,9 +14,26 @@ def classified(index: DataFrame, new: DataFrame, key: str, content: str) -> Data
     return new.join(old, key, "left").withColumn("status", status).drop("_old", "_known")
 
 
-def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New rows win by key (SNK-03, SNK-04, JOI-06)."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+def merged(old: DataFrame, new: DataFrame, key: str, last: str | None = None) -> DataFrame:
+    """New rows win by key (SNK-03, SNK-04, JOI-06). Of new rows that repeat a key the last one counts: by the column
+    ``last``, which then goes, else in the order in which they are read. Null is a key like any other."""
+    order = F.col(last) if last else F.monotonically_increasing_id()
+    n = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_at")))
+    one = new.withColumn("_at", order).withColumn("_n", n).where("_n = 1").drop("_n", "_at", *([last] if last else []))
+    known = one.select(F.col(key).alias("_key"))
+    return one.unionByName(old.join(known, old[key].eqNullSafe(known["_key"]), "left_anti"))
+
+
+def merged_corpus(old: DataFrame, new: DataFrame, key: str, last: str | None = None) -> DataFrame:
+    """A corpus with new records in it, in the order of the key (SNK-04)."""
+    return merged(old, new, key, last).orderBy(key)
+
+
+def ensured(index_rows: int | None, corpus_rows: int, fetched: int | None) -> str:
+    """What a missing or short index needs (VEC-07): ``ready`` as it is, ``pull`` a stored one that is whole, else ``build``."""
+    if index_rows is not None and index_rows >= corpus_rows > 0:
+        return "ready"
+    return "pull" if fetched is not None and fetched >= corpus_rows > 0 else "build"
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -28,6 +45,16 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(key, seed), key).limit(n)
 
 
+def sample_sorted(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows drawn without replacement, in the order of their keys (RND-02)."""
+    return sample(df, key, n, seed).orderBy(key)
+
+
+def split_summary(rows: DataFrame, positive: str) -> DataFrame:
+    """Rows, and different positives, of each split: what is written beside the training files (SNK-05)."""
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(positive).alias("positives"))
+
+
 def split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """A fixed share of the keys goes to ``val`` (SNK-05): by the first eight hex digits of their hash."""
     bucket = F.conv(F.substring(hash_order(key, seed), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))

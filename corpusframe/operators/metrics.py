@@ -103,6 +103,31 @@ def yes_no_score(tokens: DataFrame, group: str, floor: float = -20.0) -> DataFra
     return tokens.groupBy(group).agg((best("yes") - best("no")).alias("score"))
 
 
+def answer_score(answer, yes: float = 4.0) -> Column:
+    """The score where no token was captured: by how the answer begins, white space and case aside (NUM-08)."""
+    said = F.lower(F.trim(F.coalesce(answer, F.lit(""))))
+    return F.when(said.startswith("yes"), yes).otherwise(-yes)
+
+
+def judged_score(tokens: DataFrame, answers: DataFrame, group: str, floor: float = -20.0) -> DataFrame:
+    """(group, score): log-odds from captured tokens, else by the ``answer`` (NUM-08)."""
+    odds = yes_no_score(tokens, group, floor)
+    return answers.join(odds, group, "left").select(group, F.coalesce("score", answer_score(F.col("answer"))).alias("score"))
+
+
+def faithfulness_delta(runs: DataFrame, base: str, name: str = "name", value: str = "faithfulness") -> DataFrame:
+    """Each run's faithfulness against the baseline's, null where either has none (AGG-11)."""
+    of_base = runs.where(F.col(name) == base).select(F.col(value).alias("_base"))
+    return runs.join(F.broadcast(of_base.limit(1)), how="left").select(name, value, F.round(F.col(value) - F.col("_base"), 4).alias("delta"))
+
+
+def feedback_totals(log: DataFrame, backend: str, right: Column, invalid: Column) -> DataFrame:
+    """Ratings of each backend and of all (``backend`` null): number, share of right ones in percent, and those whose
+    answer cites what it was not given (AGG-16)."""
+    totals = log.select(F.col(backend).alias("backend"), right.cast("double").alias("_r"), invalid.alias("_i"))
+    return totals.rollup("backend").agg(F.grouping("backend").alias("whole"), F.count("*").alias("n"), F.round(100 * F.avg("_r"), 2).alias("right"), F.count(F.when(F.col("_i"), 1)).alias("invalid"))
+
+
 def worked_example(ranks: DataFrame, key: str, rank: str, k: int = 5) -> DataFrame:
     """The question to show in a report: found second, else third, and so on to the k-th (MIS-08)."""
     return ranks.where(F.col(rank).between(2, k)).orderBy(rank, key).limit(1)

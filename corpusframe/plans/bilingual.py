@@ -134,26 +134,25 @@ def paragraphs_arabic(spark, d):
     return rec.paragraphs(_layout(spark, d, True), "ar").select("doc", F.md5("text").alias("digest"))
 
 
-@query("WITH l AS (SELECT l_suppkey AS page, l_orderkey AS row, l_linenumber AS pos, max(l_tax) > 0.04 AS bold FROM lineitem GROUP BY ALL) SELECT page, row, pos, coalesce(bool_and(bold) OVER (PARTITION BY page, row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS row_start FROM l")
+@query("WITH l AS (SELECT l_suppkey AS page, CASE WHEN l_orderkey % 4 > 0 THEN l_orderkey END AS row, l_orderkey * 10 + l_linenumber AS pos, max(l_tax) > 0.04 AS bold FROM lineitem GROUP BY ALL) SELECT page, row, pos, row IS NULL OR coalesce(bool_and(bold) OVER (PARTITION BY page, row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS row_start FROM l")
 def table_row_starts(spark, d):
-    lines = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("pos")).agg((F.max("l_tax") > 0.04).alias("bold"))
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("page"), F.expr("if(l_orderkey % 4 > 0, l_orderkey, null)").alias("row"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos")).agg((F.max("l_tax") > 0.04).alias("bold"))
     return rec.row_starts(lines).select("page", "row", "pos", "row_start")
 
 
-_SQL_GLYPHS = "WITH g AS (SELECT doc_id AS page, i AS k, substr(t, i, 1) AS c, ((i - 1) % 40) + 0.5 AS x, ((i - 1) // 40) + 0.5 AS y FROM (SELECT doc_id, left(text, 400) AS t, unnest(range(1, length(left(text, 400)) + 1)) AS i FROM documents))"
+_SQL_GLYPHS = "WITH g AS (SELECT doc_id AS page, i AS k, substr(t, i, 1) AS c, ((i - 1) % 40) + 0.5 AS x, ((i - 1) // 40) + 0.5 AS y FROM (SELECT doc_id, text AS t, unnest(range(1, length(text) + 1)) AS i FROM documents))"
 
 
-@query(_SQL_GLYPHS + " SELECT page, regexp_replace(regexp_replace(string_agg(c, '' ORDER BY y, x, k), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM g WHERE NOT (x >= 10 AND x < 30 AND y >= 1 AND y < 3) GROUP BY page")
+@query(_SQL_GLYPHS + " SELECT page, regexp_replace(regexp_replace(string_agg(c, '' ORDER BY y, x, k), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM g WHERE NOT (x BETWEEN 10 AND 30 AND y BETWEEN 1 AND 3) GROUP BY page")
 def outside_tables(spark, d):
-    text = F.left("text", F.lit(400))
-    g = _t(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))).alias("k", "c"))
+    g = _t(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)."), F.lit(0))).alias("k", "c"))
     g = g.select("page", "k", "c", (F.expr("k % 40") + 0.5).alias("x"), (F.expr("k div 40") + 0.5).alias("y"))
     cells = g.select("page").distinct().selectExpr("page", "1 AS cell", "10D AS x0", "30D AS x1", "1D AS y0", "3D AS y1")
     return rec.outside_text(g, cells)
 
 
 @query("""WITH RECURSIVE g AS (SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS n, l_extendedprice AS y FROM lineitem WHERE l_suppkey <= 20),
- f AS (SELECT page, n, y, y AS anchor, 0 AS line FROM g WHERE n = 1 UNION ALL SELECT g.page, g.n, g.y, CASE WHEN g.y - anchor > 500 THEN g.y ELSE anchor END, line + (g.y - anchor > 500)::INT FROM f JOIN g ON g.page = f.page AND g.n = f.n + 1)
+ f AS (SELECT page, n, y, y AS anchor, 0 AS line FROM g WHERE n = 1 UNION ALL SELECT g.page, g.n, g.y, CASE WHEN g.y - anchor >= 500 THEN g.y ELSE anchor END, line + (g.y - anchor >= 500)::INT FROM f JOIN g ON g.page = f.page AND g.n = f.n + 1)
  SELECT page, line, count(*) AS n, min(y) AS top FROM f GROUP BY page, line""")
 def lines_of_glyphs(spark, d):
     """The first twenty suppliers, as the SQL goes on by one row at a time."""

@@ -373,7 +373,6 @@ def _sql_issues() -> str:
         "LENGTH_RATIO": "en <> '' AND ar <> '' AND (length(ar) / length(en) < 0.35 OR length(ar) / length(en) > 1.6)",
         "PARAGRAPH_SEQUENCE": unordered("paras"), "LIST_SEQUENCE_AR": unordered("la"), "LIST_SEQUENCE_EN": unordered("le"),
         "LIST_COUNT_MISMATCH": "na > 0 AND ne > 0 AND na <> ne", "LIST_FORMAT_DIFFERS": "(na = 0 OR ne = 0) AND na <> ne",
-        "NUMBER_REVERSED": "len(list_filter(numbers_ar, lambda x: len(x) > 1 AND NOT list_contains(numbers_en, x) AND ltrim(reverse(x), '0') <> x AND list_contains(numbers_en, ltrim(reverse(x), '0')))) > 0",
         "ARTIFACT_PRESENTATION_FORMS": f"regexp_matches(ar, '{rec.PRESENTATION_FORMS}')", "ARTIFACT_PRIVATE_GLYPH": f"regexp_matches(ar || en, '{rec.PRIVATE_USE}')",
         "ARTIFACT_LIGATURE": f"regexp_matches(ar, '{rec.LIGATURE_BUG}')", "ARTIFACT_BRACKETS": f"regexp_matches(ar, '{rec.STRAY_BRACKETS}')",
         "LATIN_IN_ARABIC": "regexp_matches(ar, '[A-Za-z]')", "ARABIC_IN_ENGLISH": "regexp_matches(en, '[ء-ي]')",
@@ -383,6 +382,8 @@ def _sql_issues() -> str:
     parts = [f"SELECT k, '{'info' if code in infos else 'warning'}' AS level, '{code}' AS code FROM p WHERE NOT rep AND {test}" for code, test in rules.items()]
     parts += [f"SELECT k, 'warning', 'HEADING_NO_TITLE' FROM p WHERE NOT rep AND k % {i + 2} <> 0 AND (k % {i + 11} = 0 OR source IS NULL OR source = '')" for i in range(5)]
     parts += ["SELECT k, 'warning', 'REPEALED_HAS_TEXT' FROM p WHERE rep AND (en <> '' OR ar <> '')", "SELECT k, 'warning', 'REPEALED_NO_NOTE' FROM p WHERE rep AND k % 100 <> 0"]
+    turned = "list_filter(numbers_ar, lambda x: len(x) > 1 AND NOT list_contains(numbers_en, x) AND ltrim(reverse(x), '0') <> x AND list_contains(numbers_en, ltrim(reverse(x), '0')))"
+    parts.append(f"SELECT k, 'warning', 'NUMBER_REVERSED' FROM (SELECT k, unnest(list_distinct(list_transform({turned}, lambda x: ltrim(reverse(x), '0')))) FROM p WHERE NOT rep)")
     letters = f"list_transform({mark('ar', rec.AR_LETTER)}, lambda x: instr('{rec.ABJAD}', x)::VARCHAR)"
     return f"""WITH t AS (SELECT doc_id AS k, source, coalesce(text, '') AS text FROM documents),
  r AS (SELECT k, source, CASE WHEN k % 9 <> 0 THEN text ELSE '' END AS en, CASE WHEN k % 8 <> 0 THEN translate(lower(CASE WHEN k % 7 = 3 THEN reverse(text) ELSE text END), '{_LATIN}', '{_OTHER}') ELSE '' END AS ar,
@@ -441,7 +442,7 @@ def band_join_y(spark, d):
     return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).where("c_acctbal BETWEEN s_acctbal - 40 AND s_acctbal + 40").select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
 
 
-@query("WITH l AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS page, l_linenumber AS k, l_quantity AS x, l_discount * 100 AS y FROM l), c AS (SELECT l_orderkey AS page, l_linenumber AS cell, l_quantity - 5 AS x0, l_quantity + 5 AS x1, 0.0 AS y0, 6.0 AS y1 FROM l) SELECT g.page, g.k, min(cell) AS cell FROM g LEFT JOIN c ON g.page = c.page AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY g.page, g.k")
+@query("WITH l AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS page, l_linenumber AS k, l_quantity AS x, l_discount * 100 AS y FROM l), c AS (SELECT l_orderkey AS page, l_linenumber AS cell, l_quantity - 5 AS x0, l_quantity + 5 AS x1, 0.0 AS y0, 6.0 AS y1 FROM l) SELECT g.page, g.k, min(cell) AS cell FROM g LEFT JOIN c ON g.page = c.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY g.page, g.k")
 def first_claim(spark, d):
     li = _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"), F.min("l_discount").alias("l_discount"))
     glyphs = li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
@@ -529,10 +530,13 @@ def change_classify(spark, d):
     return inc.classified(_old(spark, d), new, "doc_id", "text").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, md5(CASE WHEN doc_id % 7 <> 0 THEN text WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS digest FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 <> 0")
+@query("SELECT doc_id, md5(CASE WHEN doc_id % 7 <> 0 THEN text || '2' WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS digest FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 3 <> 0 UNION ALL SELECT NULL, md5('new')")
 def merge_upsert(spark, d):
-    new = _t(spark, d, "documents").where("doc_id % 7 <> 0").select("doc_id", "text")
-    return inc.merged(_old(spark, d), new, "doc_id").select("doc_id", F.md5("text").alias("digest"))
+    """Every new row twice, the later one counts; both sides have a row without a key."""
+    docs = _t(spark, d, "documents").where("doc_id % 7 <> 0")
+    new = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("at"), "text").select("doc_id", F.concat("text", F.col("at").cast("string")).alias("text"), "at")
+    one = lambda text, *more: spark.range(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"), *more)
+    return inc.merged(_old(spark, d).union(one("old")), new.union(one("new", F.lit(1))), "doc_id", "at").select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
@@ -616,10 +620,10 @@ def marker_crosscheck(spark, d):
     return rec.row_mismatches(at("l_suppkey"), at("l_partkey"))
 
 
-@query("WITH f AS (SELECT l_suppkey, min(CASE WHEN l_returnflag = 'R' THEN l_orderkey * 10 + l_linenumber END) AS first FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey AS doc, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem JOIN f USING (l_suppkey) WHERE l_orderkey * 10 + l_linenumber >= f.first GROUP BY 1")
+@query("WITH f AS (SELECT l_suppkey, l_linestatus, min(CASE WHEN l_returnflag = 'R' THEN l_orderkey * 10 + l_linenumber END) AS first FROM lineitem GROUP BY ALL) SELECT l_suppkey AS doc, l_linestatus AS lang, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem JOIN f USING (l_suppkey, l_linestatus) WHERE l_orderkey * 10 + l_linenumber >= f.first GROUP BY ALL")
 def preamble_skipped(spark, d):
-    rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "R", 1).alias("row"))
-    return rec.without_preamble(rows).groupBy("doc").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    rows = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_linestatus").alias("lang"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "R", 1).alias("row"))
+    return rec.without_preamble(rows).groupBy("doc", "lang").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
 @query(_SQL_RUNS + " SELECT q, first FROM a WHERE first BETWEEN 2 AND 5 ORDER BY first, q LIMIT 1")

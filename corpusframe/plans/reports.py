@@ -97,10 +97,10 @@ def unknown_ids(spark, d):
     return ck.unknown_ids(asked, _t(spark, d, "part").select(F.col("p_partkey").alias("id")), "id")
 
 
-@query("SELECT doc_id AS n FROM documents WHERE doc_id % 4 = 0 AND length('What is ' || left(text, 290)) <= 300 AND NOT contains(left(text, 290), doc_id::VARCHAR) AND length(regexp_replace('What is ' || left(text, 290), '^\\s+|\\s+$', '', 'g')) >= 10")
+@query("SELECT doc_id AS n FROM documents WHERE doc_id % 4 = 0 AND length('What is ' || text) <= 300 AND NOT contains(text, doc_id::VARCHAR) AND length(regexp_replace('What is ' || text, '^\\s+|\\s+$', '', 'g')) >= 10")
 def usable_questions(spark, d):
     ar = F.expr("CASE doc_id % 4 WHEN 0 THEN 'ما هو الحكم هنا؟' WHEN 1 THEN 'قصير' WHEN 2 THEN 'no arabic at all' ELSE 'ما هو الحكم في ' || doc_id END")
-    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("n"), ar.alias("ar"), F.expr("'What is ' || left(text, 290)").alias("en"))
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("n"), ar.alias("ar"), F.expr("'What is ' || text").alias("en"))
     return ck.usable_questions(rows).select("n")
 
 
@@ -259,9 +259,11 @@ def text_scalars(spark, d):
     )
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d-%H%M') AS name FROM orders")
+@query("SELECT event_id, strftime(ts, '%Y%m%d-%H%M') AS name FROM events")
 def stamped_names(spark, d):
-    return _t(spark, d, "orders").select("o_orderkey", tx.stamped_name("o_orderdate").alias("name"))
+    """Times of events, which are in UTC."""
+    utc = F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")
+    return _t(spark, d, "events").select("event_id", tx.stamped_name(utc).alias("name"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'new' ELSE 'old' END AS a, CASE WHEN p_size % 3 > 0 THEN p_brand END AS b, 2 + (p_size % 3 > 0)::INT AS n, p_size::VARCHAR AS hit1, 1 AS m FROM part")
@@ -285,7 +287,7 @@ def json_round_trip(spark, d):
     sources.write_json(b, f"{path}/old")
     sources.write_json(b.where("item_id % 3 = 0").withColumn("text", F.lit("new")), f"{path}/new")
     read = lambda p: sources.json_lines(spark, f"{path}/{p}", "item_id long, text string")
-    return inc.merged(read("old"), read("new"), "item_id")
+    return inc.merged_corpus(read("old"), read("new"), "item_id")
 
 
 @query("SELECT doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'REPORT_MISSING' WHEN doc_id % 3 = 1 THEN 'REPORT_STALE' END AS code FROM documents")
