@@ -175,12 +175,13 @@ def in_corpus(hits: DataFrame, corpus: DataFrame, on: str = "doc") -> DataFrame:
     return hits.join(corpus.select(on).distinct(), on, "left_semi")
 
 
-def embedded(df: DataFrame, text: str, out: str, encode: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """Unit vectors of texts by an injected encoder (VEC-01, UDF-01)."""
+def embedded(df: DataFrame, text: str, out: str, encode: Callable[[list[str]], np.ndarray], prompt: str | None = None) -> DataFrame:
+    """Unit vectors of texts by an injected encoder (VEC-01, UDF-01). A model that has a ``prompt`` for questions gets it
+    before each of them; documents have none. A null text is empty."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_unit(np.asarray(encode(list(texts.fillna(""))), dtype=np.float64).reshape(len(texts), -1)).astype(np.float32)))
+        return pd.Series(list(_unit(np.asarray(encode([(prompt or "") + t for t in texts.fillna("")]), dtype=np.float64).reshape(len(texts), -1)).astype(np.float32)))
 
     return df.withColumn(out, vectors(text))
 

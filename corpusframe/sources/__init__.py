@@ -40,6 +40,29 @@ def report_status(content: DataFrame, report: DataFrame) -> DataFrame:
     return both.select("name", code.alias("code"))
 
 
+def report_warnings(content: DataFrame, report: DataFrame, issues: DataFrame, produced: DataFrame) -> DataFrame:
+    """(name, code): a missing or stale report, or else the warnings of a valid one, ``issues`` (name, level, code),
+    less the codes that this run has ``produced`` (code) itself (SRC-07)."""
+    status = report_status(content, report)
+    valid = status.where("code IS NULL").select("name")
+    old = issues.where("level = 'warning'").join(valid, "name", "left_semi").join(produced.select("code").distinct(), "code", "left_anti")
+    return status.where("code IS NOT NULL").unionByName(old.select("name", "code"))
+
+
+def first_readable(spark: SparkSession, paths: list[str], key: str, schema=None) -> DataFrame:
+    """The records of the first file that is there, the corpus or else a sample, with a ``topic`` by default (SRC-08)."""
+    from pyspark.errors import AnalysisException
+
+    for path in paths:
+        try:
+            rows = json_array(spark, path, key, schema)
+        except AnalysisException:
+            continue
+        topic = F.coalesce(F.col("topic"), F.lit("General")) if "topic" in rows.columns else F.lit("General")
+        return rows.withColumn("topic", topic)
+    raise FileNotFoundError(", ".join(paths))
+
+
 def last_rows(log: DataFrame, seq: str, n: int = 200) -> DataFrame:
     """The end of a log, newest first (SRC-15)."""
     return log.orderBy(F.desc(seq)).limit(n)
