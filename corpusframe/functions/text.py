@@ -23,6 +23,11 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def once(c, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(_col(c)), use), F.lit(0))
+
+
 def strip(c) -> Column:
     """Trim any white space, not spaces alone."""
     return F.regexp_replace(F.regexp_replace(_col(c), r"^\s+", ""), r"\s+$", "")
@@ -83,10 +88,9 @@ def roman_to_int(c) -> Column:
 
 def smart_title(c) -> Column:
     """Title case for text all in capitals; small words stay small unless first (STR-09)."""
-    c = _col(c)
-    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    titled = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))))
-    return F.when((c == F.upper(c)) & (c != F.lower(c)), F.array_join(titled, " ")).otherwise(c)
+    word = lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+    titled = lambda x: F.array_join(F.transform(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), word), " ")
+    return once(c, lambda x: F.when((x == F.upper(x)) & (x != F.lower(x)), titled(x)).otherwise(x))
 
 
 def clean_title_en(c) -> Column:
@@ -317,24 +321,34 @@ ORDINAL_PREFIXES = {"أولا": 1, "ثانيا": 2, "ثالثا": 3, "رابعا
 DIACRITICS = r"[\x{064B}-\x{0652}\x{0670}]"
 
 
+#: What any English heading keyword begins with, so that other lines are looked at once.
+_OPENS = rf"(?i)^(?:{'|'.join(PART_ORDINALS)}|BOOK|CHAPTER|SECTION)\b"
+
+
 def heading_keyword(c) -> Column:
     """(level, number, rest) of a line that opens a part, book, chapter or section, else null (STR-12)."""
-    c = _col(c)
     part = rf"(?i)^({'|'.join(PART_ORDINALS)})\s+PART\b\.?\s*(.*)$"
-    ordinal = F.element_at(F.create_map(*(F.lit(x) for pair in PART_ORDINALS.items() for x in pair)), F.upper(F.regexp_extract(c, part, 1)))
-    found = F.when(c.rlike(part), F.struct(F.lit("part").alias("level"), ordinal.alias("number"), F.regexp_extract(c, part, 2).alias("rest")))
-    for level in ("book", "chapter", "section"):
-        pattern = rf"(?i)^{level}\s+([IVXL]+)\b\.?\s*(.*)$"
-        number = roman_to_int(F.upper(F.regexp_extract(c, pattern, 1))).cast("int")
-        found = found.when(c.rlike(pattern), F.struct(F.lit(level).alias("level"), number.alias("number"), F.regexp_extract(c, pattern, 2).alias("rest")))
-    return found
+
+    def told(c: Column) -> Column:
+        ordinal = F.element_at(F.create_map(*(F.lit(x) for pair in PART_ORDINALS.items() for x in pair)), F.upper(F.regexp_extract(c, part, 1)))
+        found = F.when(c.rlike(part), F.struct(F.lit("part").alias("level"), ordinal.alias("number"), F.regexp_extract(c, part, 2).alias("rest")))
+        for level in ("book", "chapter", "section"):
+            pattern = rf"(?i)^{level}\s+([IVXL]+)\b\.?\s*(.*)$"
+            number = roman_to_int(F.upper(F.regexp_extract(c, pattern, 1))).cast("int")
+            found = found.when(c.rlike(pattern), F.struct(F.lit(level).alias("level"), number.alias("number"), F.regexp_extract(c, pattern, 2).alias("rest")))
+        return F.when(c.rlike(_OPENS), found)
+
+    return once(c, told)
 
 
 def ar_number(c) -> Column:
     """(number, title) of an Arabic heading that a number or an ordinal word opens; number null where neither
     does (STR-11). Diacritics do not count."""
-    plain = F.regexp_replace(_col(c), DIACRITICS, "")
     digits, words = r"^([٠-٩0-9]+)\s*[-–.]\s*(.+)$", rf"^({'|'.join(ORDINAL_PREFIXES)})\s*[:：]?\s*-?\s*(.+)$"
-    ordinal = F.element_at(F.create_map(*(F.lit(x) for pair in ORDINAL_PREFIXES.items() for x in pair)), F.regexp_extract(plain, words, 1))
     made = lambda number, title: F.struct(number.cast("int").alias("number"), title.alias("title"))
-    return F.when(plain.rlike(digits), made(fold_digits(F.regexp_extract(plain, digits, 1)), F.regexp_extract(plain, digits, 2))).when(plain.rlike(words), made(ordinal, F.regexp_extract(plain, words, 2))).otherwise(made(F.lit(None), plain))
+
+    def told(plain: Column) -> Column:
+        ordinal = F.element_at(F.create_map(*(F.lit(x) for pair in ORDINAL_PREFIXES.items() for x in pair)), F.regexp_extract(plain, words, 1))
+        return F.when(plain.rlike(digits), made(fold_digits(F.regexp_extract(plain, digits, 1)), F.regexp_extract(plain, digits, 2))).when(plain.rlike(words), made(ordinal, F.regexp_extract(plain, words, 2))).otherwise(made(F.lit(None), plain))
+
+    return once(F.regexp_replace(_col(c), DIACRITICS, ""), told)

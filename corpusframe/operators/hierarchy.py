@@ -49,6 +49,7 @@ def classified(blocks: DataFrame) -> DataFrame:
     b = F.col("before")
     whole_ar = F.when(b.rest_ar.isNull(), tx.clean_title_ar("ar")).when(b.rest_en.isNull() & (F.col("ar") != ""), tx.clean_title_ar(F.concat(b.rest_ar, F.lit(" "), F.col("ar")))).otherwise(b.rest_ar)
     of = lambda keyword, title, topic, rest: F.when(F.col("kind") == "keyword", keyword).when(F.col("kind") == "title", title).when(F.col("kind") == "topic", topic).otherwise(rest)
+    p = p.withColumn("_raw", of(F.col("rest_en"), F.coalesce(b.rest_en, "en"), F.when(F.col("num_en").isNotNull(), F.regexp_extract("en", NUMBERED_EN, 2)).otherwise(F.col("en")), F.col("en")))
     return p.select(
         "doc",
         "block",
@@ -58,8 +59,8 @@ def classified(blocks: DataFrame) -> DataFrame:
         "kind",
         of(F.col("k.level"), b.level, F.lit("topic"), F.lit("subtopic")).alias("level"),
         of(F.col("k.number"), b.number, F.coalesce("num_en", "num_ar"), F.lit(None)).alias("number"),
-        of(tx.clean_title_en("rest_en"), F.coalesce(tx.clean_title_en(b.rest_en), tx.clean_title_en("en")), tx.clean_title_en(F.when(F.col("num_en").isNotNull(), F.regexp_extract("en", NUMBERED_EN, 2)).otherwise(F.col("en"))), tx.clean_title_en("en")).alias("title_en"),
-        of(F.col("rest_ar"), whole_ar, tx.clean_title_ar("plain_ar"), tx.clean_title_ar("plain_ar")).alias("title_ar"),
+        tx.clean_title_en("_raw").alias("title_en"),
+        F.when(F.col("kind").isin("keyword", "title"), of(F.col("rest_ar"), whole_ar, F.lit(None), F.lit(None))).otherwise(tx.clean_title_ar("plain_ar")).alias("title_ar"),
         "waits",
         (F.col("k").isNotNull() & (_ordinal(F.col("word_ar")) != F.col("k.number"))).alias("number_differs"),
         (topic & F.col("num_en").isNotNull() & (F.col("num_ar") != F.col("num_en"))).alias("topic_differs"),
@@ -94,17 +95,19 @@ def corrected(rows: DataFrame, fixes: list[dict]) -> DataFrame:
 
 
 def _in_force(rows: DataFrame) -> DataFrame:
-    """Level rows with what is in force at each: a struct for each level, null where a higher one has ended it."""
+    """Level rows with what is in force at each: a struct for each level, null where a higher one has ended it. One
+    window over a document numbers the rows and fills all levels."""
     placed = rows.withColumn("pos", F.row_number().over(W.partitionBy("doc").orderBy("block", "at")))
-    wide = placed.select("doc", "pos", *(F.when(F.col("level") == x, F.struct("number", "title_en", "title_ar")).alias(x) for x in LEVELS))
-    return placed.join(filled(wide, "doc", "pos", LEVELS), ["doc", "pos"])
+    wide = placed.select("*", *(F.when(F.col("level") == x, F.struct("number", "title_en", "title_ar")).alias(x) for x in LEVELS))
+    return filled(wide, "doc", "pos", LEVELS, keep=rows.columns)
 
 
 def hierarchy(blocks: DataFrame, fixes: list[dict] | None = None) -> DataFrame:
     """(doc, block, number and titles of each level): what is in force behind each heading block (STF-03, MIS-04)."""
     state = _in_force(corrected(_level_rows(cut(classified(blocks))), fixes or []))
-    last = state.groupBy("doc", "block").agg(*(F.max_by(F.struct(F.col(x).alias("v")), "pos").alias(x) for x in LEVELS))
-    columns = [F.col(f"{x}.v")[c].alias(f"{x}_{c}") for x in LEVELS for c in ("number", "title_en", "title_ar") if (x, c) != ("subtopic", "number")]
+    after = F.lead("block").over(W.partitionBy("doc").orderBy("pos"))
+    last = state.withColumn("_after", after).where("NOT (_after <=> block)")
+    columns = [F.col(x)[c].alias(f"{x}_{c}") for x in LEVELS for c in ("number", "title_en", "title_ar") if (x, c) != ("subtopic", "number")]
     return last.select("doc", "block", *columns)
 
 
