@@ -208,11 +208,11 @@ def arc_bytes(uri: Column, date: Column, mime: Column, key: Column, payload: Col
     """A row as an ARC archive of its own: a version block of version 1 or 2, and one record with HTTP headers.
 
     Blanks and control characters of an address are escaped, as it stands in a line of blank-separated fields; a
-    null one is ``urn:none``. A null payload is empty; a null key has no header.
+    null one is ``urn:none``, and one that looks like a version block's is escaped. A null payload is empty; a null key has no header.
     """
     body = F.coalesce(F.encode(payload, "UTF-8"), F.lit(b""))
     where = F.coalesce(F.regexp_replace(uri, r"[\x00-\x20\x7F]", "%20"), F.lit("urn:none"))
-    where = F.when(where == "", F.lit("urn:none")).otherwise(where)
+    where = F.when(where == "", F.lit("urn:none")).otherwise(F.regexp_replace(where, "^filedesc:", "%66iledesc:"))
     named = F.coalesce(F.concat(F.lit(f"{KEY_HEADER}: "), key.cast("string"), F.lit("\r\n")), F.lit(""))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: "), mime, F.lit("\r\n"), named, F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     length = (F.octet_length(head) + F.octet_length(body)).cast("string")

@@ -252,7 +252,7 @@ def page_rows(rows):
 def test_pages_equal_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(archives, "BROADCAST_DIGESTS", broadcast)
     long, edge = "é" * 500, "x" * 999
-    rows = [(1, "http://a/?q=a b\tc", long), (5, None, long), (3, "", long), (4, "http://d", edge), (9, "http://e", edge), (6, "x" * 5000, None), (7, "http://f", ""), (8, "http://g\n200", "a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n" + long), (5, None, long), (None, None, long), (None, "http://h", "n" * 2000), (-2, "http://i", "\u0000\U0001f600" * 9), (10, "http://j", "y" * 3_000_000), (11, "http://k", "y" * 3_000_000)]
+    rows = [(1, "http://a/?q=a b\tc", long), (5, None, long), (3, "", long), (4, "http://d", edge), (9, "http://e", edge), (6, "x" * 5000, None), (7, "http://f", ""), (8, "http://g\n200", "a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\n" + long), (5, None, long), (None, None, long), (None, "http://h", "n" * 2000), (-2, "http://i", "\u0000\U0001f600" * 9), (10, "http://j", "y" * 3_000_000), (12, "filedesc://x 1 2 3 4", "f"), (13, "dns:x", "d"), (11, "http://k", "y" * 3_000_000)]
     df = spark.createDataFrame([(*r, "c", "t") for r in rows], PAGES)
     got = archives.archived_pages(df)
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=str) == page_rows(rows)
