@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -276,3 +278,15 @@ def context_recall(statements: DataFrame, key: str, attributed: str) -> DataFram
     not count; an answer without a judged one has null."""
     each = statements.groupBy(key, "statement").agg(F.max(F.col(attributed)).alias("_a"))
     return each.groupBy(key).agg(F.count("_a").alias("n"), F.round(F.avg(F.col("_a").cast("double")), 4).alias("recall"))
+
+
+def run_grid(configs: dict[str, dict], run: Callable[..., DataFrame]) -> DataFrame:
+    """(name, ...): what ``run`` measures of every configuration of a grid, under its name (FN-10). A grid is a few runs, each
+    a plan of its own; Spark reads what they share once where it can."""
+    out = None
+    for name, config in configs.items():
+        rows = run(**config).select(F.lit(name).alias("name"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no configuration")
+    return out

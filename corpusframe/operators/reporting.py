@@ -13,7 +13,8 @@ from .records import cardinalities, corpus_counts
 
 def shown(value: str | Column, digits: int = 4) -> Column:
     """A number as reports show it, a dash for none (FN-13)."""
-    return F.coalesce(F.format_string(f"%.{digits}f", (F.col(value) if isinstance(value, str) else value).cast("double")), F.lit("—"))
+    number = (F.col(value) if isinstance(value, str) else value).cast("double")
+    return F.when(number.isNull(), "—").otherwise(F.format_string(f"%.{digits}f", number))
 
 
 def best(column: str) -> Column:

@@ -222,3 +222,16 @@ def prompts(hits: DataFrame) -> DataFrame:
     head = F.concat(F.lit("[Article "), F.col("doc").cast("string"), F.lit("]"), F.when(F.col("is_repealed"), " (REPEALED)").otherwise(""))
     part = F.struct("rk", F.concat_ws("\n", head, F.nullif("text", F.lit(""))).alias("part"))
     return hits.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.part), "\n\n").alias("context"))
+
+
+def answered(asked: DataFrame, texts: DataFrame, generate: Callable[[str], str]) -> DataFrame:
+    """Answers with their citations checked (LLM-02): (q, answer, cited, valid, invalid). ``asked`` (q, question), ``texts``
+    the hits of each question as :func:`prompts` takes them; a question without hits is asked without articles. A
+    citation is valid if the question's hits have the article. ``generate`` is the injected model, a call a question."""
+    from .records import generated
+
+    given = texts.groupBy("q").agg(F.array_sort(F.collect_set(F.col("doc").cast("int"))).alias("_given"))
+    rows = asked.join(prompts(texts), "q", "left").join(given, "q", "left").withColumn("_message", tx.question_message("question", F.coalesce("context", F.lit(""))))
+    told = generated(rows, "_message", "answer", generate).withColumn("cited", tx.extract_citations("answer"))
+    checked = told.withColumn("_r", tx.citation_check("cited", F.coalesce("_given", F.array().cast("array<int>"))))
+    return checked.select("q", "answer", "cited", "_r.valid", "_r.invalid")

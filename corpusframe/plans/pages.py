@@ -16,7 +16,7 @@ from ..operators import metrics as me
 from ..operators import records as rec
 from ..operators import reporting as rp
 from ..operators import retrieval as ret
-from .catalogue import _RULES, _SQL_ISSUES, _SQL_TOP, _hits, _records
+from .catalogue import _RULES, _SQL_ISSUES, _SQL_TOP, _hits, _metrics, _metrics_sql, _ranked, _records
 from .registry import longs as _long
 from .registry import query
 from .registry import table as _t
@@ -107,6 +107,41 @@ def repeals_of_lines(spark, d):
     return lines.select("doc_id", *_long("i"), tx.repeal_range(note).alias("r")).select("doc_id", "i", F.col("r.first").cast("long").alias("first"), F.col("r.last").cast("long").alias("last"))
 
 
+_UPPER = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_SMALL = "[" + ", ".join(f"'{w}'" for w in tx.SMALL_WORDS) + "]"
+
+
+@query(
+    rf"""WITH l AS ({_LINES_OF}), c AS (SELECT doc_id, i, replace(t, 'ß', 'ss') AS t FROM l WHERE trim(t) <> ''), r AS (SELECT doc_id, i, CASE WHEN i % 2 = 0 THEN translate(t, '{_UPPER[0]}', '{_UPPER[1]}') || ':' ELSE t || '. ' END AS c FROM c),
+ x AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(c, '^\s+|\s+$', '', 'g'), '[:. ]+$', ''), '^\s+|\s+$', '', 'g') AS x FROM r)
+ SELECT doc_id, i, md5(CASE WHEN x = upper(x) AND x <> lower(x) THEN array_to_string(list_transform(list_filter(string_split_regex(lower(x), '\s+'), lambda w: w <> ''), lambda w, k: CASE WHEN k > 1 AND list_contains({_SMALL}, w) THEN w ELSE upper(w[1]) || w[2:] END), ' ') ELSE x END) AS title FROM x"""
+)
+def titles_of_lines(spark, d):
+    """Every line of every text as an English title, every other one in capitals."""
+    lines = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).where("trim(t) <> ''").withColumn("t", F.replace("t", F.lit("ß"), F.lit("ss")))
+    c = F.when(F.expr("i % 2 = 0"), F.concat(F.translate("t", *_UPPER), F.lit(":"))).otherwise(F.concat("t", F.lit(". ")))
+    return lines.select("doc_id", *_long("i"), F.md5(tx.clean_title_en(c)).alias("title"))
+
+
+_IN_ARABIC = ("abcdefghijklmnopqrstuvwxyz0123456789", "ابتثجحخدذرزسشصضطظعغفقكلمنه٠١٢٣٤٥٦٧٨٩")
+
+
+@query(
+    rf"""WITH l AS ({_LINES_OF}), a AS (SELECT doc_id, i, 'س' || translate(lower(t), '{_IN_ARABIC[0]}', '{_IN_ARABIC[1]}') AS a FROM l),
+ t AS (SELECT doc_id, i, a, regexp_replace(regexp_replace('((' || a || ') :', '^\s+|\s+$', '', 'g'), '^[()]+|[()]+$', '', 'g') AS x FROM a)
+ SELECT doc_id, i, md5(nullif(regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[:.]+$', ''), '^\s+|\s+$', '', 'g'), '')) AS title, CASE i % 3 WHEN 0 THEN i WHEN 1 THEN i % 6 + 1 END AS number, md5(a) AS heading FROM t"""
+)
+def arabic_lines_of_texts(spark, d):
+    """Every line of every text in Arabic letters, as a title in brackets and as a heading with a number or an ordinal."""
+    lines = _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    lines = lines.withColumn("a", F.concat(F.lit("س"), F.translate(F.lower("t"), *_IN_ARABIC)))
+    word = F.element_at(F.array(*map(F.lit, tx.ORDINAL_PREFIXES)), F.expr("i % 6 + 1"))
+    number = F.translate(F.col("i").cast("string"), "0123456789", tx.ARABIC_DIGITS)
+    heading = F.when(F.expr("i % 3 = 0"), F.concat(number, F.lit(" - "), "a")).when(F.expr("i % 3 = 1"), F.concat(word, F.lit(":- "), "a")).otherwise(F.col("a"))
+    made = lines.select("doc_id", *_long("i"), F.md5(tx.clean_title_ar(F.concat(F.lit("(("), "a", F.lit(") :")))).alias("title"), tx.ar_number(heading).alias("n"))
+    return made.select("doc_id", "i", "title", F.col("n.number").cast("long").alias("number"), F.md5("n.title").alias("heading"))
+
+
 # --- models, injected ------------------------------------------------------------------------------------------------
 
 
@@ -134,6 +169,28 @@ def answers_generated(spark, d):
     return c.select("conv_id", "turn", F.md5("answer").alias("answer"))
 
 
+def _first_cited(message: str) -> str:
+    """A stand-in for a model: it cites the first article that it is given, and one that it is not."""
+    import re
+
+    found = re.search(r"\[Article (\d+)\]", message)
+    return f"As [Article {found[1]}] and [Article 99999] say." if found else "Nothing."
+
+
+@query(_SQL_TOP + " SELECT q, min_by(id, rk) AS valid, 99999 AS invalid, 2 AS n FROM hits WHERE rk <= 3 GROUP BY q")
+def answers_checked(spark, d):
+    ranked, _ = _ranked(spark, d)
+    texts = ranked.where("rk <= 3").select("q", "rk", F.col("id").alias("doc"), F.col("label").cast("string").alias("text"), F.lit(False).alias("is_repealed"))
+    a = ret.answered(texts.select("q").distinct().withColumn("question", F.lit("What holds?")), texts, _first_cited)
+    return a.select("q", F.get("valid", F.lit(0)).cast("long").alias("valid"), F.get("invalid", F.lit(0)).alias("invalid"), F.size("cited").alias("n"))
+
+
+@query(f"SELECT 'whole' AS name, * FROM ({_metrics_sql(10)}) UNION ALL SELECT 'short', * FROM ({_metrics_sql(5)})")
+def grid_metrics(spark, d):
+    """The measures of a grid of two configurations."""
+    return me.run_grid({"whole": {"depth": 10}, "short": {"depth": 5}}, lambda depth: _metrics(spark, d, depth))
+
+
 # --- scores and totals -----------------------------------------------------------------------------------------------
 
 
