@@ -151,12 +151,11 @@ def outside_tables(spark, d):
     return rec.outside_text(g, cells)
 
 
-@query("""WITH RECURSIVE g AS (SELECT l_suppkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS n, l_extendedprice AS y FROM lineitem WHERE l_suppkey <= 20),
- f AS (SELECT page, n, y, y AS anchor, 0 AS line FROM g WHERE n = 1 UNION ALL SELECT g.page, g.n, g.y, CASE WHEN g.y - anchor >= 500 THEN g.y ELSE anchor END, line + (g.y - anchor >= 500)::INT FROM f JOIN g ON g.page = f.page AND g.n = f.n + 1)
- SELECT page, line, count(*) AS n, min(y) AS top FROM f GROUP BY page, line""")
+@query("""WITH RECURSIVE g AS (SELECT l_suppkey AS page, l_extendedprice AS y FROM lineitem),
+ f AS (SELECT page, min(y) AS top, 0 AS line FROM g GROUP BY page UNION ALL SELECT f.page, min(g.y), any_value(f.line) + 1 FROM f JOIN g ON g.page = f.page AND g.y >= f.top + 500 GROUP BY f.page)
+ SELECT g.page, f.line, count(*) AS n, f.top FROM g ASOF JOIN f ON g.page = f.page AND g.y >= f.top GROUP BY g.page, f.line, f.top""")
 def lines_of_glyphs(spark, d):
-    """The first twenty suppliers, as the SQL goes on by one row at a time."""
-    g = _t(spark, d, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").cast("int").alias("page"), F.expr("cast(l_orderkey * 10 + l_linenumber AS int)").alias("k"), F.lit("x").alias("c"), F.lit(0.0).alias("x"), F.col("l_extendedprice").alias("y"))
+    g = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("int").alias("page"), F.expr("cast(l_orderkey * 10 + l_linenumber AS int)").alias("k"), F.lit("x").alias("c"), F.lit(0.0).alias("x"), F.col("l_extendedprice").alias("y"))
     return rec.grouped_lines(g, 500.0).groupBy("page", "line").agg(F.count("*").alias("n"), F.min("y").alias("top"))
 
 
