@@ -145,10 +145,11 @@ _SQL_GLYPHS = "WITH g AS (SELECT doc_id AS page, i AS k, substr(t, i, 1) AS c, (
 
 @query(_SQL_GLYPHS + " SELECT page, regexp_replace(regexp_replace(string_agg(c, '' ORDER BY y, x, k), '\\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM g WHERE NOT (x BETWEEN 10 AND 30 AND y BETWEEN 1 AND 3) GROUP BY page")
 def outside_tables(spark, d):
-    g = _t(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)."), F.lit(0))).alias("k", "c"))
-    g = g.select("page", "k", "c", (F.expr("k % 40") + 0.5).alias("x"), (F.expr("k div 40") + 0.5).alias("y"))
-    cells = g.select("page").distinct().selectExpr("page", "1 AS cell", "10D AS x0", "30D AS x1", "1D AS y0", "3D AS y1")
-    return rec.outside_text(g, cells)
+    pages = _t(spark, d, "documents").where("text IS NOT NULL").groupBy(F.col("doc_id").alias("page")).agg(F.collect_list("text").alias("texts"))
+    place = lambda c, k: F.struct(k.alias("k"), c.alias("c"), (k % 40 + 0.5).alias("x"), (F.floor(k / 40) + 0.5).alias("y"))
+    glyphs = F.flatten(F.transform("texts", lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?s)."), F.lit(0)), place)))
+    cells = pages.select("page").selectExpr("page", "1 AS cell", "10D AS x0", "30D AS x1", "1D AS y0", "3D AS y1")
+    return rec.outside_text(pages, glyphs, cells)
 
 
 @query("""WITH RECURSIVE g AS (SELECT l_suppkey AS page, l_extendedprice AS y FROM lineitem),
