@@ -156,7 +156,7 @@ def outside_tables(spark, d):
  f AS (SELECT page, min(y) AS top, 0 AS line FROM g GROUP BY page UNION ALL SELECT f.page, min(g.y), any_value(f.line) + 1 FROM f JOIN g ON g.page = f.page AND g.y >= f.top + 500 GROUP BY f.page)
  SELECT g.page, f.line, count(*) AS n, f.top FROM g ASOF JOIN f ON g.page = f.page AND g.y >= f.top GROUP BY g.page, f.line, f.top""")
 def lines_of_glyphs(spark, d):
-    g = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("int").alias("page"), F.expr("cast(l_orderkey * 10 + l_linenumber AS int)").alias("k"), F.lit("x").alias("c"), F.lit(0.0).alias("x"), F.col("l_extendedprice").alias("y"))
+    g = _t(spark, d, "lineitem").select(F.col("l_suppkey").cast("int").alias("page"), F.expr("l_orderkey * 10 + l_linenumber").alias("k"), F.lit("x").alias("c"), F.lit(0.0).alias("x"), F.col("l_extendedprice").alias("y"))
     return rec.grouped_lines(g, 500.0).groupBy("page", "line").agg(F.count("*").alias("n"), F.min("y").alias("top"))
 
 
