@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 
 #: Positions that one window follows; ranks within a length carry on from one piece of positions to the next.
 PIECE_BITS = 12
+#: Characters of texts that the tokenizer gets at once, one text at least.
+CHARS_AT_ONCE = 1 << 18
 
 
 def _runs(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -83,11 +85,27 @@ def spans(tokenizer: Callable[[list[str]], list[list[tuple[int, int]]]]) -> Call
     two Arrow lists; none for a null or empty text."""
     kind = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))])
 
+    def some(texts: list[str]) -> Iterator[list[str]]:
+        part, size = [], 0
+        for t in texts:
+            if part and size + len(t) > CHARS_AT_ONCE:
+                yield part
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        if part:
+            yield part
+
     @F.pandas_udf(kind)
     def offsets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            found = tokenizer([x if isinstance(x, str) else "" for x in t])
-            yield pd.DataFrame({"starts": [[a for a, _ in f] for f in found], "ends": [[b for _, b in f] for f in found]})
+            starts, ends = [], []  # a token's offsets are kept as two 32-bit numbers, not as Python's
+            for part in some([x if isinstance(x, str) else "" for x in t]):
+                for f in tokenizer(part):
+                    at = np.array(f, dtype=np.int32).reshape(-1, 2)
+                    starts.append(at[:, 0].copy())
+                    ends.append(at[:, 1].copy())
+            yield pd.DataFrame({"starts": pd.Series(starts, dtype=object), "ends": pd.Series(ends, dtype=object)})
 
     return offsets
 
