@@ -19,10 +19,10 @@ from ..functions import text as tx
 #: index block by block, without the driver.
 BLOCK_BYTES = 4 << 20
 BROADCAST_BYTES = 64 << 20
-#: Queries that a task scores at once against one block of the index.
-SCORED_AT_ONCE = 512
-#: Scores that a task holds before it cuts them to k a query.
-CUT_ROWS = 2_000_000
+#: Scores of queries against one block of the index that a task works out at once.
+SCORED_AT_ONCE = 1 << 20
+#: New scores that a task holds, or as many as it has kept, before it cuts them to k a query.
+CUT_ROWS = 200_000
 
 
 def cosine(a, b) -> Column:
@@ -66,11 +66,13 @@ def blocks(rows: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 def nearest(pairs: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """(q, id, score, rk) from pairs of index blocks (``i_``) and query blocks (``q_``): a matrix product for each pair
-    of vectors of one length; k a query leave a task, with all that tie with the last of them."""
+    of vectors of one length; k a query leave a block and a task, of those that tie the ones with the least ids, however
+    many copies of a vector there are."""
     q_type, i_type = (pairs.schema[c].dataType.elementType for c in ("q_ids", "i_ids"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pd.DataFrame] = []
+        fresh: list[pd.DataFrame] = []
         held = 0
         for b in batches:
             for i_ids, width, i_matrix, q_ids, other, q_matrix in zip(*(b.column(c) for c in ("i_ids", "i_width", "i_matrix", "q_ids", "q_width", "q_matrix")), strict=True):
@@ -78,22 +80,24 @@ def nearest(pairs: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
                     continue
                 shape = (-1, width.as_py())
                 own, asked = i_ids.values.to_numpy(zero_copy_only=False), q_ids.values.to_numpy(zero_copy_only=False)
-                vectors, matrix = _unit(i_matrix.values.to_numpy().reshape(shape)), _unit(q_matrix.values.to_numpy().reshape(shape))
-                keep = min(k, len(own))
-                for at in range(0, len(asked), SCORED_AT_ONCE):
-                    some = asked[at : at + SCORED_AT_ONCE]
-                    s = np.round(vectors @ matrix[at : at + SCORED_AT_ONCE].T, 4)
+                order = np.argsort(own, kind="stable")
+                own, vectors, matrix = own[order], _unit(i_matrix.values.to_numpy().reshape(shape)[order]), q_matrix.values.to_numpy().reshape(shape)
+                keep, step = min(k, len(own)), max(1, SCORED_AT_ONCE // len(own))
+                for at in range(0, len(asked), step):
+                    some = asked[at : at + step]
+                    s = np.round(vectors @ _unit(matrix[at : at + step]).T, 4)
                     if skip_self:
                         s[own[:, None] == some[None, :]] = -np.inf
                     bound = np.partition(s, len(own) - keep, axis=0)[len(own) - keep]
-                    r, c = np.nonzero((s >= bound) & np.isfinite(s))
-                    best.append(pd.DataFrame({"q": some[c], "id": own[r], "score": s[r, c]}))
+                    above, equal = s > bound, s == bound
+                    equal &= np.cumsum(equal, axis=0, dtype=np.int32) <= keep - above.sum(axis=0)
+                    r, c = np.nonzero((above | equal) & np.isfinite(s))
+                    fresh.append(pd.DataFrame({"q": some[c], "id": own[r], "score": s[r, c]}))
                     held += len(r)
-                if held > CUT_ROWS:
-                    best = [_cut(best, k)]
-                    held = len(best[0]) // 2
-        if best:
-            yield from (pa.RecordBatch.from_pandas(x, schema=schema, preserve_index=False) for x in [_cut(best, k)])
+                    if held > max(CUT_ROWS, sum(map(len, kept))):
+                        kept, fresh, held = [_cut(kept + fresh, k)], [], 0
+        if kept or fresh:
+            yield from (pa.RecordBatch.from_pandas(x, schema=schema, preserve_index=False) for x in [_cut(kept + fresh, k)])
 
     out = T.StructType([T.StructField("q", q_type), T.StructField("id", i_type), T.StructField("score", T.DoubleType())])
     schema = to_arrow_schema(out)

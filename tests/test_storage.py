@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,24 @@ def test_quantiles_are_exact_beyond_a_sketch(spark):
     log = spark.createDataFrame([("a", h, float(v)) for h in range(3) for v in range(200)] + [("b", 0, None)], "g string, h int, v double").withColumn("ts", F.expr("timestamp_seconds(h * 3600)"))
     slid = metrics.sliding_quantiles(log, "ts", ["g"], "v", "1 hour", 2, {"p90": "0.9"}, 16).select(F.unix_timestamp("start").alias("s"), "g", "n", "p90").collect()
     assert sorted(map(tuple, slid)) == [(-3600, "a", 200, 179.0), (-3600, "b", 0, None), (0, "a", 400, 179.0), (0, "b", 0, None), (3600, "a", 400, 179.0), (7200, "a", 200, 179.0)]
+
+
+def test_copies_and_long_batches_stay_small(spark, monkeypatch):
+    """Of copies that tie, a block gives k a query, those with the least ids; a tokenizer never gets a whole Arrow batch."""
+    handed = []
+    monkeypatch.setattr(retrieval, "_cut", lambda parts, k, old=retrieval._cut: (handed.extend(map(len, parts)), old(parts, k))[1])
+    rows = [(i, [1.0, float(i % 2)]) for i in reversed(range(600))]
+    index = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    pairs = retrieval.blocks(index, "i").crossJoin(retrieval.blocks(index.where("id < 4"), "q"))
+    got = retrieval.nearest(pairs, 3, skip_self=True).select("q", "id").collect()
+    assert sorted(map(tuple, got)) == [(q, i) for q in range(4) for i in [x for x in range(q % 2, 10, 2) if x != q][:3]]
+    captured = {}
+    fake = type("Pairs", (), {"schema": pairs.schema, "mapInArrow": lambda self, f, out: captured.update(f=f) or pairs.limit(0).selectExpr("0L AS q", "0L AS id", "0D AS score")})()
+    retrieval.nearest(fake, 3, skip_self=True)
+    assert sum(b.num_rows for b in captured["f"](iter(pairs.toArrow().to_batches()))) == 12 and max(handed) == 12
+    monkeypatch.setattr(batches, "CHARS_AT_ONCE", 10)
+    monkeypatch.setattr(batches.F, "pandas_udf", lambda kind: lambda f: f)
+    sizes = []
+    spans = batches.spans(lambda texts: sizes.append(len(texts)) or [[(0, len(t))] if t else [] for t in texts])
+    (out,) = spans(iter([pd.Series(["abcde", "fghij", None, "k" * 30, "", "l"])]))
+    assert sizes == [3, 1, 2] and [list(x) for x in out["ends"]] == [[5], [5], [], [30], [], [1]]
