@@ -23,16 +23,25 @@ ROUNDS = 6
 MOST_LISTS = 16_384
 #: Queries in a block of those that probe one list.
 QUERY_BLOCK = 2048
+#: Distances to centroids that a task works out at once.
+AT_ONCE = 1 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that no more than ``AT_ONCE`` distances are held."""
+    step = max(1, AT_ONCE // len(centroids))
+    for b in batches:
+        yield from (b.slice(i, step) for i in range(0, b.num_rows, step))
+
+
 def _sums(centroids: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.zeros_like(centroids), np.zeros(len(centroids), dtype=np.int64)
-        for b in batches:
+        for b in _slices(batches, centroids):
             if b.num_rows:
                 v = _unit(_matrix(b.column("vector")))
                 own = (v @ centroids.T).argmax(1)
@@ -68,9 +77,7 @@ def trained(vectors: DataFrame, lists: int, rounds: int = ROUNDS) -> np.ndarray:
 
 def _nearest_lists(centroids: np.ndarray, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches, centroids):
             near = np.argsort(-(_unit(_matrix(b.column("vector"))) @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
             rows = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
             yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), pa.array(near.ravel())], [*b.schema.names, "list"])
