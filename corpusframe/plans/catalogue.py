@@ -439,7 +439,11 @@ def page_spans(spark, d):
 def band_join_y(spark, d):
     s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     c = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).where("c_acctbal BETWEEN s_acctbal - 40 AND s_acctbal + 40").select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
+    # rounding keeps order, so that what lies between two sums lies in a step between theirs
+    s = s.withColumn("step", F.explode(F.expr("sequence(floor((s_acctbal - 40) / 40), floor((s_acctbal + 40) / 40))")))
+    c = c.withColumn("c_step", F.expr("floor(c_acctbal / 40)"))
+    met = s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("step") == F.col("c_step")))
+    return met.where("c_acctbal BETWEEN s_acctbal - 40 AND s_acctbal + 40").select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
 
 
 @query("WITH l AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey AS page, l_linenumber AS k, l_quantity AS x, l_discount * 100 AS y FROM l), c AS (SELECT l_orderkey AS page, l_linenumber AS cell, l_quantity - 5 AS x0, l_quantity + 5 AS x1, 0.0 AS y0, 6.0 AS y1 FROM l) SELECT g.page, g.k, min(cell) AS cell FROM g LEFT JOIN c ON g.page = c.page AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY g.page, g.k")
