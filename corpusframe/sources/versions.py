@@ -9,8 +9,9 @@ those Parquet's Bloom filters and statistics say which parts to read. One writer
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,6 +20,8 @@ from .ledger import _path
 
 #: Keys of one point lookup, which are sent to the readers as a list.
 MOST_KEYS = 10_000
+#: Bytes of values for each file: a larger table is written in more files than were asked for.
+FILE_BYTES = 64 << 20
 _MANIFEST = "file string, low string, high string, n long, added long, tombstone boolean"
 
 
@@ -27,6 +30,12 @@ def _ordered(key):
     return F.lpad(F.hex(F.col(key).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
 
 
+def _bytes(rows: DataFrame) -> int:
+    """About what the rows' values take, read once."""
+    each = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in rows.schema]
+    return rows.agg(F.sum(reduce(Column.__add__, (c.cast("long") for c in each)))).first()[0] or 0
+
+
 class Versions:
     """The table in the folder ``path``, whose rows have a whole-number ``key``; null keys are refused."""
 
@@ -45,8 +54,10 @@ class Versions:
         version = self.current() if version is None else version
         return self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifest/v={version:020d}") if version else self.spark.createDataFrame([], _MANIFEST)
 
-    def _written(self, rows: DataFrame, version: int, tombstone: bool, files: int | None) -> DataFrame:
-        """Files of rows by ranges of keys, as rows of a manifest: only the keys are read back."""
+    def _written(self, rows: DataFrame, version: int, tombstone: bool, files: int | None, size: int = 0) -> DataFrame:
+        """Files of rows by ranges of keys, as rows of a manifest: only the keys are read back. There are ``files`` of them, more
+        where ``size`` bytes are too many for those, so that what a task reads does not grow with the table."""
+        files = files and max(files, -(-size // FILE_BYTES))
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         ranged = rows.repartitionByRange(files, self.key) if files else rows.repartitionByRange(self.key)
         ranged.sortWithinPartitions(self.key).write.option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(folder)
@@ -63,12 +74,13 @@ class Versions:
         version = self.current() + 1
         checked = rows.withColumn(self.key, F.coalesce(self.key, F.raise_error(F.lit("a row has no key")).cast(rows.schema[self.key].dataType)))
         one = checked.withColumn("_n", F.row_number().over(W.partitionBy(self.key).orderBy(*(F.desc(c) for c in rows.columns if c != self.key), self.key))).where("_n = 1").drop("_n")
-        return self._commit(self.manifest().unionByName(self._written(one, version, False, files)), version)
+        return self._commit(self.manifest().unionByName(self._written(one, version, False, files, _bytes(rows) if files else 0)), version)
 
     def delete(self, keys: DataFrame, files: int | None = None) -> int:
         """A new version without the rows of these keys."""
         version = self.current() + 1
-        return self._commit(self.manifest().unionByName(self._written(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct(), version, True, files)), version)
+        gone = keys.select(self.key).where(F.col(self.key).isNotNull())
+        return self._commit(self.manifest().unionByName(self._written(gone.distinct(), version, True, files, _bytes(gone) if files else 0)), version)
 
     def _live(self, entries: list) -> DataFrame | None:
         """The rows that stand among files: the newest of each key, none where that is a tombstone."""
@@ -110,7 +122,9 @@ class Versions:
     def compact(self, files: int | None = None) -> int:
         """A new version with the same rows in files of its own: one row a key, no tombstones."""
         version = self.current() + 1
-        return self._commit(self._written(self.read(), version, False, files), version)
+        live = self.read()
+        names = [r["file"] for r in self.manifest().where("NOT tombstone").select("file").collect()]  # a row a file
+        return self._commit(self._written(live, version, False, files, _bytes(self.spark.read.schema(live.schema).parquet(*names)) if files else 0), version)
 
     def vacuum(self, keep: int) -> int:
         """Delete files that no version from ``keep`` on reads, and older manifests; the number of folders that went."""

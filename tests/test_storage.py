@@ -344,3 +344,21 @@ def test_copies_and_long_batches_stay_small(spark, monkeypatch):
     spans = batches.spans(lambda texts: sizes.append(len(texts)) or [[(0, len(t))] if t else [] for t in texts])
     (out,) = spans(iter([pd.Series(["abcde", "fghij", None, "k" * 30, "", "l"])]))
     assert sizes == [3, 1, 2] and [list(x) for x in out["ends"]] == [[5], [5], [], [30], [], [1]]
+
+
+def test_large_tables_are_written_in_more_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "FILE_BYTES", 1000)
+    rows = spark.range(400).select(F.col("id").alias("k"), F.lit("x" * 42).alias("v"))
+    t = versions.Versions(spark, str(tmp_path / "t"), "k")
+    assert t.manifest(t.upsert(rows, files=2)).count() > 10
+    t.delete(rows.where("k >= 390"), files=1)
+    assert t.manifest(t.compact(files=2)).count() > 10 and t.read().count() == 390
+
+
+def test_band_join_meets_steps_of_the_band(spark):
+    """Rows of a nation are dealt by steps of the balance too, so that no task has all pairs of a nation."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["band_join_y"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join Inner" in x)
+    assert "step" in join and "s_nationkey" in join
