@@ -30,7 +30,7 @@ def once(c, use) -> Column:
 
 def strip(c) -> Column:
     """Trim any white space, not spaces alone."""
-    return F.regexp_replace(F.regexp_replace(_col(c), r"^\s+", ""), r"\s+$", "")
+    return F.btrim(_col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_ar(c) -> Column:
@@ -77,24 +77,35 @@ def ligatures(c, glyphs: dict[str, str] | None = None) -> Column:
     return c
 
 
+#: The numbers whose numerals are looked up: those below 90, which need no letter above L.
+_NUMERALS = {"X" * (n // 10) + o if n < 40 else ("XL" if n < 50 else "L" + "X" * (n // 10 - 5)) + o: n for n in range(1, 90) for o in [["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"][n % 10]]}
+
+
 def roman_to_int(c) -> Column:
     """A value smaller than the one behind it is taken away (STR-08)."""
+    known = F.create_map(*(F.lit(x) for pair in _NUMERALS.items() for x in pair))
     chars = F.split(F.reverse(F.upper(_col(c))), "")
     value = lambda x: F.when(x == "I", 1).when(x == "V", 5).when(x == "X", 10).when(x == "L", 50).otherwise(0)
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last"))
     step = lambda a, x: F.struct((a["sum"] + F.when(value(x) < a["last"], -value(x)).otherwise(value(x))).alias("sum"), value(x).alias("last"))
-    return F.aggregate(chars, start, step, lambda a: a["sum"])
+    return F.coalesce(F.try_element_at(known, F.upper(_col(c))), F.aggregate(chars, start, step, lambda a: a["sum"]))
 
 
 def smart_title(c) -> Column:
     """Title case for text all in capitals; small words stay small unless first (STR-09)."""
     word = lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
     titled = lambda x: F.array_join(F.transform(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), word), " ")
-    return once(c, lambda x: F.when((x == F.upper(x)) & (x != F.lower(x)), titled(x)).otherwise(x))
+    told = lambda x: F.when((x == F.upper(x)) & (x != F.lower(x)), titled(x)).otherwise(x)
+    return told(F.col(c)) if isinstance(c, str) else once(c, told)
+
+
+def bare_title_en(c) -> Column:
+    """A title without white space around it and trailing marks."""
+    return strip(F.regexp_replace(strip(c), r"[:. ]+$", ""))
 
 
 def clean_title_en(c) -> Column:
-    return smart_title(strip(F.regexp_replace(strip(c), r"[:. ]+$", "")))
+    return smart_title(bare_title_en(c))
 
 
 def clean_title_ar(c) -> Column:
@@ -129,7 +140,8 @@ def repeal_range(c) -> Column:
     """(first, last) of a repeal note, else null (STR-14)."""
     pattern = r"(?i)Articles?\s+(\d+)\s*(?:-|–|to)\s*(\d+).*repealed"
     a, b = (F.regexp_extract(_col(c), pattern, i).try_cast("int") for i in (1, 2))
-    return F.when(a.isNotNull(), F.struct(a.alias("first"), b.alias("last")))
+    # a cast that fails costs an exception, so that other lines are not cast
+    return F.when(_col(c).rlike(pattern), F.when(a.isNotNull(), F.struct(a.alias("first"), b.alias("last"))))
 
 
 #: How questions name articles, and how answers cite them.
@@ -332,13 +344,12 @@ def heading_keyword(c) -> Column:
     def told(c: Column) -> Column:
         ordinal = F.element_at(F.create_map(*(F.lit(x) for pair in PART_ORDINALS.items() for x in pair)), F.upper(F.regexp_extract(c, part, 1)))
         found = F.when(c.rlike(part), F.struct(F.lit("part").alias("level"), ordinal.alias("number"), F.regexp_extract(c, part, 2).alias("rest")))
-        for level in ("book", "chapter", "section"):
-            pattern = rf"(?i)^{level}\s+([IVXL]+)\b\.?\s*(.*)$"
-            number = roman_to_int(F.upper(F.regexp_extract(c, pattern, 1))).cast("int")
-            found = found.when(c.rlike(pattern), F.struct(F.lit(level).alias("level"), number.alias("number"), F.regexp_extract(c, pattern, 2).alias("rest")))
-        return F.when(c.rlike(_OPENS), found)
+        keyword = r"(?i)^(BOOK|CHAPTER|SECTION)\s+([IVXL]+)\b\.?\s*(.*)$"
+        number = roman_to_int(F.regexp_extract(c, keyword, 2)).cast("int")
+        found = found.when(c.rlike(keyword), F.struct(F.lower(F.regexp_extract(c, keyword, 1)).alias("level"), number.alias("number"), F.regexp_extract(c, keyword, 3).alias("rest")))
+        return found
 
-    return once(c, told)
+    return F.when(_col(c).rlike(_OPENS), once(c, told))
 
 
 def ar_number(c) -> Column:

@@ -39,9 +39,10 @@ def classified(blocks: DataFrame) -> DataFrame:
     p = p.withColumn("key", F.when(F.col("waits"), F.struct("k.level", "k.number", "rest_en", "rest_ar")))
     p = p.withColumn("before", F.when(F.col("k").isNull(), F.lag("key").over(by)))
     other = F.col("k").isNull() & F.col("before").isNull()
-    arabic = tx.ar_number("ar")
-    p = p.withColumn("num_en", F.regexp_extract("en", NUMBERED_EN, 1).try_cast("int")).withColumn("num_ar", F.when(F.col("ar") != "", arabic["number"])).withColumn("plain_ar", F.when(F.col("ar") != "", arabic["title"]))
-    numbered = other & (F.col("num_en").isNotNull() | (~F.col("en").endswith(":") & F.col("num_ar").isNotNull()))
+    # a cast that fails costs an exception: only digits are cast
+    p = p.withColumn("_other", other).withColumn("num_en", F.when(F.col("_other") & F.col("en").rlike(NUMBERED_EN), F.regexp_extract("en", NUMBERED_EN, 1).try_cast("int")))
+    p = p.withColumn("_n", F.when(F.col("_other") & (F.col("ar") != ""), tx.ar_number("ar"))).withColumn("num_ar", F.col("_n.number")).withColumn("plain_ar", F.col("_n.title"))
+    numbered = F.col("_other") & (F.col("num_en").isNotNull() | (~F.col("en").endswith(":") & F.col("num_ar").isNotNull()))
     p = p.withColumn("numbered", numbered).withColumn("nth", F.sum(F.col("numbered").cast("int")).over(W.partitionBy("doc", "block").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
     topic = F.col("numbered") & (F.col("nth") == 1)
     kind = F.when(F.col("k").isNotNull(), "keyword").when(F.col("before").isNotNull(), "title").when(topic, "topic").otherwise("subtopic")
@@ -50,6 +51,7 @@ def classified(blocks: DataFrame) -> DataFrame:
     whole_ar = F.when(b.rest_ar.isNull(), tx.clean_title_ar("ar")).when(b.rest_en.isNull() & (F.col("ar") != ""), tx.clean_title_ar(F.concat(b.rest_ar, F.lit(" "), F.col("ar")))).otherwise(b.rest_ar)
     of = lambda keyword, title, topic, rest: F.when(F.col("kind") == "keyword", keyword).when(F.col("kind") == "title", title).when(F.col("kind") == "topic", topic).otherwise(rest)
     p = p.withColumn("_raw", of(F.col("rest_en"), F.coalesce(b.rest_en, "en"), F.when(F.col("num_en").isNotNull(), F.regexp_extract("en", NUMBERED_EN, 2)).otherwise(F.col("en")), F.col("en")))
+    p = p.withColumn("_raw", tx.bare_title_en("_raw"))
     return p.select(
         "doc",
         "block",
@@ -59,7 +61,7 @@ def classified(blocks: DataFrame) -> DataFrame:
         "kind",
         of(F.col("k.level"), b.level, F.lit("topic"), F.lit("subtopic")).alias("level"),
         of(F.col("k.number"), b.number, F.coalesce("num_en", "num_ar"), F.lit(None)).alias("number"),
-        tx.clean_title_en("_raw").alias("title_en"),
+        tx.smart_title("_raw").alias("title_en"),
         F.when(F.col("kind").isin("keyword", "title"), of(F.col("rest_ar"), whole_ar, F.lit(None), F.lit(None))).otherwise(tx.clean_title_ar("plain_ar")).alias("title_ar"),
         "waits",
         (F.col("k").isNotNull() & (_ordinal(F.col("word_ar")) != F.col("k.number"))).alias("number_differs"),
@@ -69,43 +71,55 @@ def classified(blocks: DataFrame) -> DataFrame:
 
 def _level_rows(lines: DataFrame) -> DataFrame:
     """(doc, block, at, level, number, title_en, title_ar, kind): what is set, in the order of ``at`` within a block;
-    a block's subtopics are one, set last."""
-    ordered = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce(c, F.lit("")).alias("t")))), lambda x: x.t), lambda t: t != ""), _DASH)
-    single = lines.where("kind <> 'subtopic'").select("doc", "block", F.col("i").cast("double").alias("at"), "level", "number", "title_en", "title_ar", "kind")
-    sub = lines.where("kind = 'subtopic'").groupBy("doc", "block").agg(ordered("title_en").alias("title_en"), F.nullif(ordered("title_ar"), F.lit("")).alias("title_ar"))
-    return single.unionByName(sub.select("doc", "block", F.lit(1e9).alias("at"), F.lit("subtopic").alias("level"), F.lit(None).cast("int").alias("number"), "title_en", "title_ar", F.lit("subtopic").alias("kind")))
+    a block's subtopics are one, set last. Lines that a document's rows hold together are neither dealt out nor joined again."""
+    by = W.partitionBy("doc", "block").orderBy("i")
+    so_far, whole = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sub = F.col("kind") == "subtopic"
+    said = lambda c: F.collect_list(F.when(sub & (F.col(c) != ""), F.struct("i", F.col(c).alias("t")))).over(whole)
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x.t), _DASH)
+    seen = lines.withColumns({"_en": said("title_en"), "_ar": said("title_ar"), "_sub": F.count(F.when(sub, 1)).over(so_far), "_subs": F.count(F.when(sub, 1)).over(whole)})
+    last = seen.where(~sub | (F.col("_sub") == F.col("_subs")))
+    of = lambda a, b, name: F.when(sub, a).otherwise(b).alias(name)
+    titles = of(ordered("_en"), F.col("title_en"), "title_en"), of(F.nullif(ordered("_ar"), F.lit("")), F.col("title_ar"), "title_ar")
+    return last.select("doc", "block", of(F.lit(1e9), F.col("i").cast("double"), "at"), "level", of(F.lit(None), F.col("number"), "number"), *titles, "kind")
 
 
 def corrected(rows: DataFrame, fixes: list[dict]) -> DataFrame:
     """Level rows with parts that the text leaves out (MIS-04): each fix (number, starts_at_book, title_en, title_ar),
     in rising order, holds from a book on. Where the part in force is a lower one or none the part is added
-    before the book; where it is the part itself its missing titles are filled."""
+    before the book; where it is the part itself its missing titles are filled. The book's own row gives the part's, so that
+    a document's rows stay together."""
     for fix in sorted(fixes, key=lambda f: f["number"]):
-        by = W.partitionBy("doc").orderBy("block", "at").rowsBetween(W.unboundedPreceding, -1)
+        by = W.partitionBy("doc").orderBy("block", "at")
+        before, so_far = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(W.unboundedPreceding, 0)
         part = F.when(F.col("level") == "part", F.struct("number", "title_en", "title_ar"))
-        seen = rows.withColumn("_part", F.last(part, ignorenulls=True).over(by)).withColumn("_epoch", F.count(part).over(by))
-        books = seen.where((F.col("level") == "book") & (F.col("kind") == "keyword") & (F.col("number") >= fix["starts_at_book"]))
         p = F.col("_part")
+        book = (F.col("level") == "book") & (F.col("kind") == "keyword") & (F.col("number") >= fix["starts_at_book"])
         wanted = F.when(p.isNull() | (p.number < fix["number"]), "added").when((p.number == fix["number"]) & (p.title_en.isNull() | p.title_ar.isNull()), "filled")
-        first = F.row_number().over(W.partitionBy("doc", "_epoch").orderBy("block", "at"))
-        new = books.withColumn("_what", wanted).where("_what IS NOT NULL").withColumn("_n", first).where("_n = 1")
+        seen = rows.withColumn("_part", F.last(part, ignorenulls=True).over(before)).withColumn("_what", F.when(book, wanted))
+        # the first one behind each part
+        seen = seen.withColumn("_n", F.count("_what").over(so_far)).withColumn("_before", F.last(F.when(F.col("level") == "part", F.col("_n")), ignorenulls=True).over(before))
+        new = F.col("_what").isNotNull() & (F.col("_n") - F.coalesce("_before", F.lit(0)) == 1)
         title = lambda c: F.when(F.col("_what") == "filled", F.coalesce(p[c], F.lit(fix[c]))).otherwise(F.lit(fix[c])).alias(c)
-        rows = rows.unionByName(new.select("doc", "block", (F.col("at") - 0.5).alias("at"), F.lit("part").alias("level"), F.lit(fix["number"]).cast("int").alias("number"), title("title_en"), title("title_ar"), F.col("_what").alias("kind")))
+        own = F.struct("at", "level", "number", "title_en", "title_ar", "kind")
+        added = F.struct((F.col("at") - 0.5).alias("at"), F.lit("part").alias("level"), F.lit(fix["number"]).cast("int").alias("number"), title("title_en"), title("title_ar"), F.col("_what").alias("kind"))
+        rows = seen.select("doc", "block", F.inline(F.when(new, F.array(added, own)).otherwise(F.array(own))))
     return rows
 
 
 def _in_force(rows: DataFrame) -> DataFrame:
     """Level rows with what is in force at each: a struct for each level, null where a higher one has ended it. One
     window over a document numbers the rows and fills all levels."""
-    placed = rows.withColumn("pos", F.row_number().over(W.partitionBy("doc").orderBy("block", "at")))
+    order = ["block", "at"]
+    placed = rows.withColumn("pos", F.row_number().over(W.partitionBy("doc").orderBy(*order)))
     wide = placed.select("*", *(F.when(F.col("level") == x, F.struct("number", "title_en", "title_ar")).alias(x) for x in LEVELS))
-    return filled(wide, "doc", "pos", LEVELS, keep=rows.columns)
+    return filled(wide, "doc", "pos", LEVELS, keep=rows.columns, order=order)
 
 
 def hierarchy(blocks: DataFrame, fixes: list[dict] | None = None) -> DataFrame:
     """(doc, block, number and titles of each level): what is in force behind each heading block (STF-03, MIS-04)."""
-    state = _in_force(corrected(_level_rows(cut(classified(blocks))), fixes or []))
-    after = F.lead("block").over(W.partitionBy("doc").orderBy("pos"))
+    state = _in_force(corrected(_level_rows(classified(blocks)), fixes or []))
+    after = F.lead("block").over(W.partitionBy("doc").orderBy("block", "at"))
     last = state.withColumn("_after", after).where("NOT (_after <=> block)")
     columns = [F.col(x)[c].alias(f"{x}_{c}") for x in LEVELS for c in ("number", "title_en", "title_ar") if (x, c) != ("subtopic", "number")]
     return last.select("doc", "block", *columns)

@@ -213,3 +213,16 @@ def test_boxed_lines(spark):
     glyphs = [(1, 0, 0, "A", True, 10.0, 5.0, 14.0, 9.0), (1, 0, 1, " ", False, 14.0, 1.0, 99.0, 9.0), (1, 0, 2, "b", True, 16.0, 4.0, 20.0, 9.0), (1, 0, 3, ".", False, 8.0, 6.0, 9.0, 9.0), (1, 1, 4, " ", True, 0.0, 0.0, 1.0, 1.0)]
     df = spark.createDataFrame(glyphs, "page int, line int, k int, c string, bold boolean, x0 double, y0 double, x1 double, y1 double")
     assert [tuple(r) for r in feed.boxed_lines(df).collect()] == [(1, 0, ".A b", True, 8.0, 20.0, 4.0)]
+
+
+def test_hierarchy_deals_a_document_out_once(spark):
+    """Subtopics, corrections and states follow within a document's rows: they are not dealt out, joined or united again."""
+    from corpusframe.operators import hierarchy as hi
+
+    blocks = spark.createDataFrame([("d", 1, ["BOOK III One"], ["الكتاب الثالث أول"]), ("d", 2, ["a Title", "2. Two", "Three"], ["عنوان", "٢- اثنان", "ثلاثة"])], "doc string, block long, en array<string>, ar array<string>")
+    made = hi.hierarchy(blocks, [{"number": 1, "starts_at_book": 3, "title_en": "Part One", "title_ar": "قسم"}])
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "Union" not in plan and "Aggregate" not in plan
+    rows = {r.block: r for r in made.collect()}
+    assert (rows[1].part_number, rows[1].book_number, rows[2].topic_number, rows[2].topic_title_en) == (1, 3, 2, "Two")
+    assert rows[2].subtopic_title_en == "a Title — Three" and rows[2].subtopic_title_ar == "عنوان — ثلاثة"
