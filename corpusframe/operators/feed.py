@@ -89,7 +89,7 @@ def _placed(lines: DataFrame) -> DataFrame:
     rows = lines.select(F.col("doc").cast("string").alias("doc"), "page", "lang", "at", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("bold", F.lit(False)).alias("bold"), "row", F.col("y0").cast("double").alias("y0"))
     rows = rows.withColumn("pos", F.row_number().over(doc.orderBy("page", F.desc("lang"), "at", "text")).cast("long")).withColumn("nth", F.row_number().over(page)).withColumn("row_start", F.col("row").isNull() | (F.coalesce(plain_before, F.lit(0)) == 0))
     rows = rows.withColumn("m", m).withColumn("n", note)
-    rows = rows.select("doc", "page", "lang", "pos", "text", "bold", "row", "y0", (F.col("nth") == 1).alias("page_top"), "row_start", F.col("m.number").alias("number"), F.col("m.rest").alias("rest"), F.col("m").isNotNull().alias("marker"), F.col("n.first").alias("note_first"), F.col("n.last").alias("note_last"))
+    rows = rows.select("doc", "page", "lang", "pos", "text", "bold", "row", "y0", (F.col("nth") == 1).alias("page_top"), "row_start", F.col("m.number").alias("number"), F.col("m.rest").alias("rest"), F.col("m").isNotNull().alias("marker"), F.col("m.rest").isNotNull().alias("glued"), ((F.col("lang") == "en") & ~F.col("text").startswith("Article ")).alias("misspelt"), F.col("n.first").alias("note_first"), F.col("n.last").alias("note_last"))
     before = W.partitionBy("doc", "lang").orderBy("pos")
     opens = F.col("marker") | ~F.lag("row").over(before).eqNullSafe(F.col("row")) | ~F.lag("page").over(before).eqNullSafe(F.col("page"))
     return rows.withColumn("stretch", F.sum(opens.cast("long")).over(before.rowsBetween(W.unboundedPreceding, 0)))
@@ -102,7 +102,7 @@ def _table_seen(rows: DataFrame) -> Column:
 
 
 def _judged(rows: DataFrame, first: int, repealed: list[tuple[int, int]], notes: DataFrame | None = None) -> DataFrame:
-    some = rows.where("marker OR note_first IS NOT NULL").withColumn("typo", (F.col("lang") == "en") & ~F.col("text").startswith("Article ")).withColumn("given", F.lit(False))
+    some = rows.where("marker OR note_first IS NOT NULL").withColumn("typo", F.col("misspelt")).withColumn("given", F.lit(False))
     if notes is not None:
         known = [F.col(c) if c in ("doc", "pos", "note_first", "note_last") else F.lit(None).cast(t).alias(c) if c != "given" else F.lit(True).alias(c) for c, t in some.dtypes]
         some = some.unionByName(notes.select(known))
@@ -121,6 +121,8 @@ def fed(lines: DataFrame, first: int = 1, repealed: list[tuple[int, int]] | None
     """
     repealed = list(repealed or [])
     placed = cut(_placed(lines))
+    # texts decide nothing from here on: they stay aside and meet their lines where they are asked for
+    texts, placed = placed.select("doc", "pos", "text", "rest"), placed.drop("text", "rest")
     en = placed.where("lang = 'en'")
     en = en.withColumn("preamble", ~_table_seen(en))
     en = _judged(en.where("NOT preamble"), first, repealed).unionByName(en.where("preamble"), allowMissingColumns=True)
@@ -139,7 +141,7 @@ def fed(lines: DataFrame, first: int = 1, repealed: list[tuple[int, int]] | None
 
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
     joined = lambda texts: tx.strip(F.regexp_replace(F.array_join(texts, " "), r"^[* ]+", ""))
-    blocks = en.where("block IS NOT NULL").groupBy("doc", "block").agg(F.first("page").alias("page"), F.first("row").alias("row"), F.first("role").alias("kind"), ordered("text").alias("en"), F.min_by("y0", "pos").alias("y_from"), F.max_by("y0", "pos").alias("y_to"), F.min_by("note_first", "pos").alias("first"), F.min_by("note_last", "pos").alias("last"))
+    blocks = en.where("block IS NOT NULL").groupBy("doc", "block").agg(F.first("page").alias("page"), F.first("row").alias("row"), F.first("role").alias("kind"), F.min_by("y0", "pos").alias("y_from"), F.max_by("y0", "pos").alias("y_to"))
     ar = placed.where("lang = 'ar'")
     marked = ar.where("marker AND row IS NOT NULL").groupBy("doc", "page", "row").agg(F.min("y0").alias("marker_y"))
     reach = blocks.select("doc", "page", "row", "block", "kind", "y_from", "y_to").join(marked, ["doc", "page", "row"], "left")
@@ -157,7 +159,8 @@ def fed(lines: DataFrame, first: int = 1, repealed: list[tuple[int, int]] | None
     role = F.when(F.col("block").isNotNull(), "claimed").when(F.col("preamble"), "preamble").when(F.col("accepted"), "marker").when(F.col("bold") & F.col("row_start"), "unpaired").otherwise("body")
     ar = cut(ar.withColumn("role", role).select(*placed.columns, "accepted", "note", "typo", "code", "block", "role"))
 
-    arabic = ar.where("block IS NOT NULL").groupBy("doc", "block").agg(ordered("text").alias("ar"))
+    arabic = _with_texts(ar.where("block IS NOT NULL"), texts).groupBy("doc", "block").agg(ordered("text").alias("ar"))
+    blocks = _with_texts(en.where("block IS NOT NULL"), texts).groupBy("doc", "block").agg(F.first("page").alias("page"), F.first("row").alias("row"), F.first("role").alias("kind"), ordered("text").alias("en"), F.min_by("note_first", "pos").alias("first"), F.min_by("note_last", "pos").alias("last"))
     blocks = blocks.join(arabic, ["doc", "block"], "left").withColumn("ar", F.coalesce("ar", F.array().cast("array<string>")))
     notes = blocks.where("kind = 'note'").select("doc", "block", "page", "first", "last", joined(F.col("en")).alias("text_en"), joined(F.col("ar")).alias("text_ar"))
     both = en.unionByName(ar)
@@ -165,7 +168,13 @@ def fed(lines: DataFrame, first: int = 1, repealed: list[tuple[int, int]] | None
     both = both.withColumn("_own", F.last(F.when(F.col("accepted"), F.struct("number", "page", "row")), ignorenulls=True).over(so_far))
     both = both.withColumn("article", F.col("_own.number"))
     articles = _in_force(both.where("accepted"), en)
-    return Feed(_texts(both), blocks.select("doc", "block", "page", "row", "kind", "en", "ar"), notes, articles, _issues(both))
+    return Feed(_texts(_with_texts(both, texts)), blocks.select("doc", "block", "page", "row", "kind", "en", "ar"), notes, articles, _issues(both))
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Lines with their ``text`` and ``rest``; those without a document as well."""
+    own = texts.select(F.col("doc").alias("_doc"), F.col("pos").alias("_pos"), "text", "rest")
+    return rows.join(own, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("pos") == F.col("_pos"))).drop("_doc", "_pos")
 
 
 def _texts(both: DataFrame) -> DataFrame:
@@ -201,7 +210,7 @@ def _issues(both: DataFrame) -> DataFrame:
         F.when(F.col("role") == "preamble", issue("PREAMBLE", info)),
         F.when(F.col("code").isNotNull(), F.struct(F.col("code").alias("code"), F.when(F.col("code").isin("AMBIGUOUS_MARKER", "GAP_BEFORE_ARTICLE"), "warning").otherwise("info").alias("level"), F.when(F.col("accepted"), F.col("number")).otherwise(F.col("article")).alias("number"))),
         F.when(F.col("typo"), issue("MARKER_TYPO", info, F.col("number"))),
-        F.when(F.col("accepted") & F.col("rest").isNotNull(), issue("MARKER_GLUED", info, F.col("number"))),
+        F.when(F.col("accepted") & F.col("glued"), issue("MARKER_GLUED", info, F.col("number"))),
         F.when(F.col("note"), issue("REPEAL_NOTE", info)),
         F.when(body & before, issue("TEXT_BEFORE_FIRST_ARTICLE", level(True))),
         F.when(body & ~before & (F.col("lang") == "en") & F.col("row").isNotNull() & F.col("row_start") & ~F.col("page_top") & ~same_row, issue("ROW_WITHOUT_MARKER", info, F.col("article"))),

@@ -226,3 +226,14 @@ def test_hierarchy_deals_a_document_out_once(spark):
     rows = {r.block: r for r in made.collect()}
     assert (rows[1].part_number, rows[1].book_number, rows[2].topic_number, rows[2].topic_title_en) == (1, 3, 2, "Two")
     assert rows[2].subtopic_title_en == "a Title — Three" and rows[2].subtopic_title_ar == "عنوان — ثلاثة"
+
+
+def test_feed_issues_move_no_texts(spark):
+    """Texts stay aside once markers and notes are found: what follows for the issues is joined and shuffled without them."""
+    rows = [("d", 1, lang, at, t, False, 0, 10.0 * at) for lang, ts in (("en", ["Article 1 The sale", "one"]), ("ar", ["مادة (1)", "نص"])) for at, t in enumerate(ts)]
+    lines = spark.createDataFrame(rows, "doc string, page int, lang string, at int, text string, bold boolean, row int, y0 double")
+    made = feed.fed(lines)
+    plan = made.issues._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "rest#" not in plan
+    assert ("en", "MARKER_GLUED") in {(r.lang, r.code) for r in made.issues.collect()}
+    assert {(r.lang, r.text) for r in made.lines.where("text IS NOT NULL").collect()} == {("en", "The sale"), ("en", "one"), ("ar", "نص")}
