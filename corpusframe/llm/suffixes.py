@@ -24,19 +24,50 @@ GRAM = 8
 WINDOW = 32
 #: The least words of a repeated passage, by which suffixes are sorted.
 PASSAGE = 50
+#: Words of texts that are looked at together, one text at least.
+PIECE_WORDS = 1 << 16
 
 _draw = np.random.RandomState(97)
 _FACTORS = _draw.randint(0, 1 << 62, GRAM, dtype=np.int64).astype(np.uint64) * np.uint64(4) + np.uint64(1)
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hashes(text: str) -> np.ndarray:
-    words = text.encode().split()
+def _word_hashes(text: bytes) -> np.ndarray:
+    words = text.split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gram hashes and word positions of the chosen suffixes; a text under a window keeps its smallest gram."""
+def _pieces(texts: pa.Array, least: int):
+    """(rows, bounds, hashes): the word hashes of texts of ``least`` words or more one behind another, some texts at a time;
+    text ``i`` of ``rows`` has those from ``bounds[i]`` to ``bounds[i + 1]``."""
+    rows, parts, size = [], [], 0
+    for row, t in enumerate(texts):
+        h = _word_hashes(t.as_buffer().to_pybytes())
+        if len(h) >= least:
+            rows.append(row)
+            parts.append(h)
+            size += len(h)
+        if rows and (size >= PIECE_WORDS or row == len(texts) - 1):
+            yield np.array(rows), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), np.concatenate(parts)
+            rows, parts, size = [], [], 0
+    if rows:
+        yield np.array(rows), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), np.concatenate(parts)
+
+
+def _least(g: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest value of each ``width`` neighbours, the last of those that tie, by doubling."""
+    at, have = np.arange(len(g), dtype=np.int64), 1
+    while have < width:
+        step = min(have, width - have)
+        later = g[step:] <= g[:-step]
+        g, at = np.where(later, g[step:], g[:-step]), np.where(later, at[step:], at[:-step])
+        have += step
+    return at
+
+
+def minimisers(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram hashes and places of the chosen suffixes of texts one behind another, in order; a text under a window keeps its
+    smallest gram, one under a gram has none."""
     m = len(h) - GRAM + 1
     if m < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -45,46 +76,69 @@ def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         g += h[k : k + m] * _FACTORS[k]
     g = (g ^ (g >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     g ^= g >> np.uint64(28)
-    if m <= WINDOW:
-        at = np.array([m - 1 - int(np.argmin(g[::-1]))])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-        at = np.unique(np.arange(len(views)) + WINDOW - 1 - np.argmin(views[:, ::-1], axis=1))
-    return g[at].view(np.int64), at.astype(np.int64)
+    at = np.empty(0, np.int64)
+    if m >= WINDOW:
+        inside = np.ones(m - WINDOW + 1, bool)  # windows that no border of texts cuts
+        cut_ = (bounds[1:-1, None] - np.arange(1, GRAM + WINDOW - 1)).ravel()
+        inside[cut_[(cut_ >= 0) & (cut_ < len(inside))]] = False
+        at = _least(g, WINDOW)[inside]
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    sizes = np.diff(bounds) - GRAM + 1
+    short = [b + n - 1 - int(np.argmin(g[b : b + n][::-1])) for b, n in zip(bounds[:-1].tolist(), sizes.tolist(), strict=True) if 0 < n < WINDOW]
+    if short:
+        at = np.sort(np.concatenate([at, short]))
+    return g[at].view(np.int64), at
 
 
 def _marks(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        got = [minimisers(_word_hashes(t.as_py())) for t in batch.column(1)]
-        counts = [len(g[0]) for g in got]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], names=["id", "gram", "at"])
+        for rows, bounds, h in _pieces(batch.column(1), GRAM):
+            grams, at = minimisers(h, bounds)
+            text = np.searchsorted(bounds, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[text]]), pa.array(grams), pa.array(at - bounds[text])], names=["id", "gram", "at"])
+
+
+_powers = np.ones((2, 1), np.uint64)
+
+
+def _rolls(n: int) -> np.ndarray:
+    """Powers of ``_ROLL`` and of its inverse modulo 2 ** 64, ``n`` at least."""
+    global _powers
+    if _powers.shape[1] < n:
+        table = np.array([[_ROLL], [pow(int(_ROLL), -1, 1 << 64)]], np.uint64).repeat(max(n, 2 * PIECE_WORDS), axis=1)
+        table[:, 0] = 1
+        _powers = np.cumprod(table, axis=1, dtype=np.uint64)
+    return _powers
+
+
+def _prints(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Fingerprints of the ``PASSAGE`` words from each place on: sums over word hashes times falling powers, each the
+    difference of two sums from the start."""
+    power, inverse = _rolls(len(h) + 1)
+    before = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * inverse[: len(h)], out=before[1:])
+    g = (before[at + PASSAGE] - before[at]) * power[at + PASSAGE - 1]
+    g = (g ^ (g >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    return (g ^ (g >> np.uint64(29))).view(np.int64)
 
 
 def _suffixes(batches):
     """Fingerprints of the first ``PASSAGE`` words, and first words, of the suffixes that reach a gram at one of the places
     within them."""
     for batch in batches:
-        ids, hashes, starts = [], [], []
-        for i, t, places in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            h = _word_hashes(t.as_py())
-            m = len(h) - PASSAGE + 1
-            if m < 1:
-                continue
-            g = np.zeros(m, np.uint64)
-            for k in range(PASSAGE):
-                g = g * _ROLL + h[k : k + m]
-            g = (g ^ (g >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-            wanted = np.zeros(m, bool)
-            for p in places.as_py():
-                wanted[max(0, p + GRAM - PASSAGE) : p + 1] = True
-            at = np.flatnonzero(wanted)
-            ids.append(np.full(len(at), i.as_py(), np.int64))
-            hashes.append((g[at] ^ (g[at] >> np.uint64(29))).view(np.int64))
-            starts.append(at)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hashes, starts)], names=["id", "print", "at"])
+        ids, places = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+        offsets, flat = places.offsets.to_numpy(), places.values.to_numpy(zero_copy_only=False)
+        for rows, bounds, h in _pieces(batch.column(1), PASSAGE):
+            counts = offsets[rows + 1] - offsets[rows]
+            text = np.repeat(np.arange(len(rows)), counts)
+            p = bounds[text] + flat[np.repeat(offsets[rows] - (np.cumsum(counts) - counts), counts) + np.arange(len(text))]
+            first, last = np.maximum(bounds[text], p + GRAM - PASSAGE), np.minimum(p, bounds[text + 1] - PASSAGE)
+            some = first <= last
+            wanted = np.bincount(first[some], minlength=len(h) + 1) - np.bincount(last[some] + 1, minlength=len(h) + 1)
+            at = np.flatnonzero(np.cumsum(wanted))
+            text = np.searchsorted(bounds, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[text]]), pa.array(_prints(h, at)), pa.array(at - bounds[text])], names=["id", "print", "at"])
 
 
 def _neighbours(batches):
@@ -170,17 +224,26 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    marks = rows.mapInArrow(_marks, "id long, gram long, at long")
-    # a written table on one side lets a gram with very many places be split over tasks on the other
-    held = cut(marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram"))
-    chosen = cut(marks.join(held, "gram").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("places")))
-    path = table_path(spark, "suffixes")
-    rows.join(chosen, "id").select("id", "text", "places").mapInArrow(_suffixes, "id long, print long, at long").write.parquet(path)
+    written: list[str] = []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        written.append(table_path(spark, name))
+        df.write.parquet(written[-1])
+        return spark.read.schema(df.schema).parquet(written[-1])
+
+    # written once, as words are hashed for them; a written table on one side also lets a gram with very many places be split
+    # over tasks on the other
+    marks = table(rows.mapInArrow(_marks, "id long, gram long, at long"), "marks")
+    held = table(marks.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram"), "grams")
+    chosen = table(marks.join(held, "gram").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("places")), "places")
+    remove(spark, written[0])
+    suffixes = table(rows.join(chosen, "id").select("id", "text", "places").mapInArrow(_suffixes, "id long, print long, at long"), "suffixes")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["print", "id", "at"]
-    ranged = spark.read.parquet(path).select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = cut(ranged.mapInArrow(_neighbours, "id long, at long, print long, other long, mark boolean"))
-    remove(spark, path)
+    ranged = suffixes.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = table(ranged.mapInArrow(_neighbours, "id long, at long, print long, other long, mark boolean"), "found")
+    for path in written[1:-1]:
+        remove(spark, path)
     # two keys at most of each task's first and last fingerprint come to the driver
     lows: dict[int, tuple[int, int | None]] = {}
     for r in found.where("mark").select("print", "id").distinct().orderBy("print", "id").collect():
@@ -192,4 +255,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     new = F.coalesce((F.col("at") > before + PASSAGE).cast("int"), F.lit(1))
     merged = spans.withColumn("new", new).withColumn("run", F.sum("new").over(W.partitionBy("id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
     merged = merged.groupBy("id", "run").agg(F.min("at").alias("first_word"), F.max("at").alias("last"), F.min("other").alias("other_id"))
-    return merged.select(F.col("id").alias(key), "first_word", (F.col("last") + PASSAGE - F.col("first_word")).alias("n_words"), "other_id")
+    # rows of passages, far fewer than of suffixes, stay for the caller
+    passages = cut(merged.select("id", "first_word", (F.col("last") + PASSAGE - F.col("first_word")).alias("n_words"), "other_id"))
+    remove(spark, written[-1])
+    return passages.withColumnRenamed("id", key)

@@ -9,6 +9,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,59 @@ def test_other_id_means_the_same_for_few_and_many_copies(spark, copies, parts):
     assert got == {(i, 20, 60, 0 if i else 1) for i in range(copies)}
 
 
+def test_marks_of_a_text_are_looked_for_once(spark, tmp_path, monkeypatch):
+    """Words are hashed for marks once, not once to find common grams and again to find their places."""
+    plain, seen = suffixes._marks, str(tmp_path / "seen")
+
+    def counted(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.writelines(f"{x}\n" for x in b.column(0).to_pylist())
+            yield from plain(iter([b]))
+
+    monkeypatch.setattr(suffixes, "_marks", counted)
+    shared = " ".join(f"s{i}" for i in range(60))
+    assert suffixes.repeated_passages(table(spark, [f"a {shared}", f"b c {shared}", "d"])).count() == 2
+    with open(seen) as f:
+        assert sorted(f.read().split()) == ["0", "1", "2"]
+
+
+@pytest.mark.parametrize("together", [1, 1000])
+def test_minimisers_and_fingerprints_of_texts_one_behind_another(monkeypatch, together):
+    """Equal to each text by itself, place by place."""
+    monkeypatch.setattr(suffixes, "PIECE_WORDS", together)
+    pick = random.Random(29)
+    texts = [" ".join(pick.choice("abcd") for _ in range(n)) for n in [0, 1, 7, 8, 38, 39, 40, 49, 50, 51, 90, 300, 5, 200]]
+    ids = pa.array(range(len(texts)))
+    marked = [r for b in suffixes._marks([pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["id", "text"])]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want, mask = [], (1 << 64) - 1
+    for i, t in enumerate(texts):
+        h = [int(x) for x in suffixes._word_hashes(t.encode())]
+        g = []
+        for k in range(len(h) - suffixes.GRAM + 1):
+            x = sum(a * int(b) for a, b in zip(h[k:], suffixes._FACTORS, strict=False)) & mask
+            x = (x ^ x >> 31) * 0x9FB21C651E98DF25 & mask
+            g.append(x ^ x >> 28)
+        starts = range(max(1, len(g) - suffixes.WINDOW + 1)) if g else []
+        at = sorted({min(range(k, min(len(g), k + suffixes.WINDOW)), key=lambda j: (g[j], -j)) for k in starts})
+        want += [(i, g[k] - (g[k] >> 63 << 64), k) for k in at]
+    assert marked == want
+    places = pa.array([[p for i, _, p in want if i == k][::2] for k in range(len(texts))], pa.list_(pa.int64()))
+    got = [r for b in suffixes._suffixes([pa.RecordBatch.from_arrays([ids, pa.array(texts), places], names=["id", "text", "places"])]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    told = []
+    for i, t in enumerate(texts):
+        h = [int(x) for x in suffixes._word_hashes(t.encode())]
+        for k in range(len(h) - suffixes.PASSAGE + 1):
+            if any(p + suffixes.GRAM - suffixes.PASSAGE <= k <= p for p in places[i].as_py()):
+                x = 0
+                for y in h[k : k + suffixes.PASSAGE]:
+                    x = (x * int(suffixes._ROLL) + y) & mask
+                x = (x ^ x >> 31) * 0x9FB21C651E98DF25 & mask
+                x ^= x >> 29
+                told.append((i, x - (x >> 63 << 64), k))
+    assert got == told
+
+
 # --- tokens -----------------------------------------------------------------------------------------------
 
 
