@@ -60,6 +60,8 @@ LONGEST_KEPT = 64
 KEPT_ARCS = 300_000
 #: What Python itself needs for one kept word: two objects and a place in a table.
 _ENTRY = 180
+#: Marks that are a word of their own behind letters and before a space.
+_ENDS = frozenset(".,;:!?")
 #: Tokens in one Arrow batch that leaves a worker.
 BATCH_TOKENS = 500_000
 #: Numbers of merges lie below this one.
@@ -94,11 +96,11 @@ class Automaton:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self._gadget(number, self.ids[to_bytes(left)], self.ids[to_bytes(right)], self.ids[to_bytes(left + right)])
         self.accepted = {b: t for b, t in self.ids.items() if t in self.lines}
-        self.finder = ahocorasick.Automaton()
-        for b, t in self.accepted.items():
-            self.finder.add_word(b.decode("latin-1"), t)
-        self.finder.make_automaton()
-        self.sizes = {t: len(b) for b, t in self.accepted.items()}
+        self.finder = ahocorasick.Automaton()  # its trie alone is used
+        for b in self.accepted:
+            self.finder.add_word(b.decode("latin-1"), 0)
+        self.longest = max(map(len, self.accepted), default=0)
+        self.label_table = pa.array([self.labels.get(t) for t in range(max(self.labels, default=-1) + 1)], pa.binary())
         self.split, self.split_later, self.later = regex.compile(SPLIT).findall, regex.compile(SPLIT_LATER).findall, re.compile(f"[{LATER}]").search
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._pack()
@@ -152,27 +154,32 @@ class Automaton:
         return known
 
     def encode_word(self, word: bytes) -> bytes:
-        """The one accepted sequence as 32-bit ids. Each place keeps the only token that can end there; the
-        labels that stand in the word come from a trie with failure links, by their ends, the longest first."""
+        """The one accepted sequence as 32-bit ids. From each place the longest label is tried first whose arc the state
+        before has; a place from where none leads on is never come to again, as one token alone can end there."""
         if (whole := self.accepted.get(word)) is not None:
             return array("i", (whole,)).tobytes()
-        arc, leads, sizes = self.arcs.get, self.leads, self.sizes
-        ends = [-1] * (len(word) + 1)
-        for end, token in self.finder.iter(word.decode("latin-1")):
-            end += 1
-            if ends[end] < 0:
-                start = end - sizes[token]
-                if not start:
-                    ends[end] = token
-                elif (before := ends[start]) >= 0:
+        find, arc, leads, begins, longest = self.accepted.get, self.arcs.get, self.leads, self.finder.longest_prefix, self.longest
+        n, text, out, ends, dead, at, before = len(word), word.decode("latin-1"), [], [], set(), 0, -1
+        end = begins(text[:longest])
+        while at < n:
+            while end > at:
+                if (token := find(word[at:end])) is not None and end not in dead:
+                    if before < 0:
+                        break
                     allowed = arc(before << 32 | token)
                     if allowed or allowed is None and leads(before, token):
-                        ends[end] = token
-        out, i = [], len(word)
-        while i:
-            out.append(token := ends[i])
-            i -= sizes[token]
-        out.reverse()
+                        break
+                end -= 1
+            else:
+                dead.add(at)
+                end = ends.pop() - 1
+                out.pop()
+                at, before = (ends[-1], out[-1]) if ends else (0, -1)
+                continue
+            out.append(token)
+            ends.append(end)
+            at, before = end, token
+            end = at + begins(text[at : at + longest])
         return array("i", out).tobytes()
 
     def _keep(self, word: str, ids: bytes) -> bytes:
@@ -201,8 +208,13 @@ class Automaton:
         """The ids of a part of the text together with the one space before it."""
         got = self.older.get(part)
         if got is None:
+            if part[-1:] in _ENDS and (stem := part[:-1]).isalpha():
+                # the word alone is kept, not once more with each mark behind it
+                return (self.memory.get(stem) or self._spaced(stem)) + self._apart(part[-1])
             words = [" " + part] if part.isalpha() else self.words(" " + part)
             got = self.encode_word(words[0].encode()) if len(words) == 1 else b"".join(map(self._apart, words))
+            if "\n" in part:  # two lines seldom meet again
+                return got
         return self._keep(part, got)
 
     def _plain(self, text: str, lone_space=re.compile(r" \s|\s |^ | $").search) -> bytes:
@@ -229,6 +241,19 @@ class Automaton:
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of many sequences, one from ``bounds[i]`` to ``bounds[i + 1]``: labels are put one behind another, and
+        texts cut from them; where some are no UTF-8 each is decoded by itself."""
+        labels = self.label_table.take(pa.array(ids))
+        _, offsets, data = labels.buffers()
+        places = np.frombuffer(offsets, np.int32, len(ids) + 1)[bounds]
+        texts = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(places.tobytes()), data)
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            texts = pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+        return texts
+
 
 def load_spec(path: str) -> str:
     """The tokenizer file, read once on the driver; its size is that of a vocabulary."""
@@ -278,19 +303,19 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     def run(batches):
         automaton = _automaton(shared)
         for batch in batches:
-            ids, decoded, start, size = [], [], 0, 0
+            ids, start, size = [], 0, 0
             for row, t in enumerate(batch.column(len(kept))):
                 got = automaton.encode(t.as_py())
-                decoded.append(automaton.decode(got.tolist()))
                 ids.append(got)
                 size += len(got)
                 if size >= BATCH_TOKENS or row == batch.num_rows - 1:
                     offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                     np.cumsum([len(x) for x in ids], out=offsets[1:])
-                    column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    flat = np.concatenate(ids)
+                    column, decoded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), automaton.decoded(flat, offsets)
                     old = [batch.column(i).slice(start, len(ids)) for i in range(len(kept))]
-                    yield pa.RecordBatch.from_arrays([*old, column, pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
-                    ids, decoded, start, size = [], [], row + 1, 0
+                    yield pa.RecordBatch.from_arrays([*old, column, decoded], names=[*kept, "ids", "decoded"])
+                    ids, start, size = [], row + 1, 0
 
     return source.mapInArrow(run, schema)
 

@@ -9,6 +9,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -617,3 +618,28 @@ def test_bpe_of_letters_newer_than_the_library():
         text = "".join(rng.choice([rng.choice(newer), chr(rng.randrange(32, 127)), " ", "\n", chr(rng.randrange(0xD800))]) for _ in range(rng.randrange(40)))
         ids = t.encode(text, add_special_tokens=False).ids
         assert a.encode(text).tolist() == ids and a.decode(ids) == t.decode(ids, skip_special_tokens=False), text
+
+
+def test_bpe_keeps_a_word_once_whatever_mark_follows():
+    """A word in a text's memory is not there again with each mark behind it, nor are ends of two lines."""
+    from tokenizers import Tokenizer
+
+    a, t = bpe.Automaton(json.loads(bpe.load_spec(tokenizer_path()))), Tokenizer.from_file(tokenizer_path())
+    texts = ["so ndtionth, ndtionth. ndtionth; ndtionth ndtionth! end.\nNext ndtionth? : x,", "é ش. ش٣. don't, ..., a.. ำ."]
+    for text in texts:
+        assert a.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    a.memory.clear()
+    a.encode(texts[0])
+    assert "ndtionth" in a.memory and not any(k[:-1].strip().isalpha() and k[-1] in ".,;:!?" or "\n" in k.strip() for k in a.memory)
+
+
+def test_bpe_decodes_many_texts_at_once():
+    a = bpe.Automaton(json.loads(bpe.load_spec(tokenizer_path())))
+    texts = ["", "a b", "\U00010348", "é ش٣", ""]
+    ids = [a.encode(x) for x in texts]
+    half = a.encode("\U00010348")[:1]  # no whole character
+    for parts in (ids, [*ids, half, ids[1]], [ids[0]]):
+        bounds = [0]
+        for x in parts:
+            bounds.append(bounds[-1] + len(x))
+        assert a.decoded(np.concatenate(parts), np.array(bounds)).to_pylist() == [a.decode(x.tolist()) for x in parts]
