@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +15,25 @@ from pyspark.sql import Window as W
 
 #: Positions that one window follows; ranks within a length carry on from one piece of positions to the next.
 PIECE_BITS = 12
-#: Characters of texts that the tokenizer gets at once, one text at least.
+#: Characters of texts that a tokenizer or another model gets at once (bytes, where texts come as Arrow arrays), one row at least.
 CHARS_AT_ONCE = 1 << 18
 
 
+def pieces(*columns: pa.Array) -> Iterator[tuple[list[str | None], ...]]:
+    """Rows of text columns, some at a time: only these are Python's strings, whatever an Arrow batch holds."""
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends, at, done = np.cumsum(sizes), 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + CHARS_AT_ONCE, side="right")))
+        yield tuple(c.slice(at, to - at).to_pylist() for c in columns)
+        at, done = to, int(ends[to - 1])
+
+
+def joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    """The results of pieces as one array."""
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def _runs(budget: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """What each length hands to the next: a table of distinct lengths, longest first."""
 
@@ -62,13 +78,13 @@ def encoded(texts: DataFrame, budget: int, lengths: Callable[[list[str]], list[i
     """``texts`` (id long, text) with ``vector``, a unit vector by an injected model that gets padded batches; the
     table is in the order of ids again (VEC-03).
 
-    Lengths come from the model's tokenizer, an Arrow batch at a time. A group is one batch, so it holds no more
+    Lengths come from the model's tokenizer, some texts at a time. A group is one batch, so it holds no more
     than the budget. A null text is an empty one.
     """
 
-    @F.pandas_udf("long")
-    def measured(t: pd.Series) -> pd.Series:
-        return pd.Series(lengths(list(t.fillna(""))), dtype="int64")
+    @F.arrow_udf("long")
+    def measured(t: pa.Array) -> pa.Array:
+        return joined([pa.array(lengths([x or "" for x in some]), pa.int64()) for (some,) in pieces(t)], pa.int64())
 
     def run(table: pa.Table) -> pa.Table:
         texts = [x or "" for x in table.column("text").to_pylist()]

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
+from .batches import joined, pieces
 
 #: Bytes of vectors in a block, and the most bytes of query vectors that are sent to every task; more queries meet the
 #: index block by block, without the driver.
@@ -181,11 +182,17 @@ def in_corpus(hits: DataFrame, corpus: DataFrame, on: str = "doc") -> DataFrame:
 
 def embedded(df: DataFrame, text: str, out: str, encode: Callable[[list[str]], np.ndarray], prompt: str | None = None) -> DataFrame:
     """Unit vectors of texts by an injected encoder (VEC-01, UDF-01). A model that has a ``prompt`` for questions gets it
-    before each of them; documents have none. A null text is empty."""
+    before each of them; documents have none. A null text is empty. The encoder gets some texts at a time, so that a
+    worker's memory follows neither the table nor the size of an Arrow batch."""
+    kind = pa.list_(pa.float32())
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_unit(np.asarray(encode([(prompt or "") + t for t in texts.fillna("")]), dtype=np.float64).reshape(len(texts), -1)).astype(np.float32)))
+    def units(texts: list[str | None]) -> pa.Array:
+        v = _unit(np.asarray(encode([(prompt or "") + (t or "") for t in texts]), dtype=np.float64).reshape(len(texts), -1)).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], pa.int32()), pa.array(v.ravel()))
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(texts: pa.Array) -> pa.Array:
+        return joined([units(some) for (some,) in pieces(texts)], kind)
 
     return df.withColumn(out, vectors(text))
 
@@ -206,11 +213,11 @@ def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def scored_pairs(df: DataFrame, query: str, text: str, out: str, scorer: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
-    """Scores of (query, text) by an injected cross-encoder (VEC-04)."""
+    """Scores of (query, text) by an injected cross-encoder, which gets some pairs at a time (VEC-04)."""
 
-    @F.pandas_udf("double")
-    def score(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series(scorer(list(q.fillna("")), list(t.fillna(""))), dtype="float64")
+    @F.arrow_udf("double")
+    def score(q: pa.Array, t: pa.Array) -> pa.Array:
+        return joined([pa.array(scorer([x or "" for x in a], [x or "" for x in b]), pa.float64()) for a, b in pieces(q, t)], pa.float64())
 
     return df.withColumn(out, score(query, text))
 
