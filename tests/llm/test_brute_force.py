@@ -518,6 +518,61 @@ def test_spans_of_ids_far_apart(spark, monkeypatch):
     assert spans.count() == 300
 
 
+def test_quality_references_of_every_document(spark):
+    pick = random.Random(47)
+    vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    texts = [" ".join(pick.choices(vocabulary[: pick.randint(2, 24)], k=pick.randint(20, 80))) for _ in range(430)]
+    df = table(spark, texts).union(table(spark, texts[:5]))  # more than a sample's 400, and five rows twice
+    r = quality.References(df)
+    counts = collections.Counter(w for t in texts for w in t.split())
+    top = sorted(sorted(counts, key=lambda w: (-counts[w], w))[: quality.COMMON_WORDS])
+    shares = [counts[w] / counts.total() for w in top]
+    reference = [*shares, 1 - sum(shares)]
+    assert r.words == top and r.spoken["en"] == pytest.approx(reference)
+    spaces, length = sum(t.count(" ") for t in texts), sum(map(len, texts))
+    assert r.classes["en"] == pytest.approx([0, 0, spaces / length, 0, 0, 0, 1 - spaces / length])
+
+    def spread(t):
+        v = t.split()
+        p = [v.count(w) / len(v) for w in top]
+        p.append(1 - sum(p))
+        part = lambda a, b: a * np.log2(2 * a / (a + b)) if a > 0 else 0.0
+        return (max(0.0, sum(part(a, b) + part(b, a) for a, b in zip(p, reference, strict=True)) / 2) * len(v)) ** 0.5
+
+    low, high = np.quantile([spread(t) for t in texts if len(t.split()) >= quality.LEAST_WORDS], [0.25, 0.75])
+    assert r.fence == pytest.approx(high + quality.FENCE * (high - low))
+
+
+def test_quality_of_every_document_matches_sql(spark):
+    d = D.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    limit = f" QUALIFY row_number() OVER (PARTITION BY l ORDER BY h) <= {quality.SAMPLE}"
+    assert ORACLES["op10_quality"].count(limit) == 1
+    want = con.sql(ORACLES["op10_quality"].replace(limit, ""))
+    docs = common.documents(spark, d)
+    got = quality.judged(docs, quality.References(docs)).select(*want.columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_labelled_documents_once(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_HASHES", broadcast)
+    rows = [(1, "a", "en"), (1, "a", "en"), (1, "a", "de"), (2, "a", "en"), (None, "b", "en"), (None, "b", "en"), (3, None, "en"), (4, "c", None)]
+    df = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], SCHEMA)
+    got = common.labelled(df, "doc_id", "text", "lang")
+    assert sorted((r.lang, r.text) for r in got.collect()) == [("de", "a"), ("en", "a"), ("en", "a"), ("en", "b")]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 1000])
+def test_quantiles_equal_percentiles(spark, n):
+    pick = random.Random(n)
+    df = spark.createDataFrame([(pick.choice([0.5, pick.random(), pick.random()]),) for _ in range(n)], "x double")
+    want = df.agg(F.percentile("x", [0.0, 0.25, 0.75, 1.0])).collect()[0][0]
+    assert quality.quantiles(df, "x", [0.0, 0.25, 0.75, 1.0]) == want
+    assert quality.quantiles(df.where("x < 0"), "x", [0.5]) == []
+
+
 # --- odd rows ---------------------------------------------------------------------------------------------
 
 
