@@ -28,9 +28,9 @@ def once(c, use) -> Column:
     return F.get(F.transform(F.array(_col(c)), use), F.lit(0))
 
 
-def strip(c) -> Column:
+def strip(c, space: str = " \t\n\x0b\f\r") -> Column:
     """Trim any white space, not spaces alone."""
-    return F.btrim(_col(c), F.lit(" \t\n\x0b\f\r"))
+    return F.btrim(_col(c), F.lit(space))
 
 
 def normalize_ar(c) -> Column:

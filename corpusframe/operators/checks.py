@@ -23,9 +23,10 @@ def record_problems(records: DataFrame, required: list[str], key: str = "article
     return records.withColumn("problems", F.array_compact(F.array(*absent, wrong, F.when(no_text, "no text"))))
 
 
-def question_problem(c, most: int = 2000) -> Column:
-    """Why a question is refused, null for a good one (FLT-11): its trimmed length is 1 to ``most``."""
-    n = F.length(tx.strip(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))))
+def question_problem(c, most: int = 2000, **space: str) -> Column:
+    """Why a question is refused, null for a good one (FLT-11): its trimmed length is 1 to ``most``; ``space`` is what is
+    trimmed, as in :func:`corpusframe.functions.text.strip`."""
+    n = F.length(tx.strip(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), **space))
     return F.when(n == 0, "empty").when(n > most, "too long")
 
 
