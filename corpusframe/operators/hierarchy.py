@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..checkpoints import cut
 from ..functions import text as tx
 from .records import filled, paired_headings
 
@@ -29,9 +30,10 @@ def classified(blocks: DataFrame) -> DataFrame:
     ``kind``: ``keyword`` names a level; ``title`` is the line behind a keyword that has not both titles on its
     own line; of the others ``topic`` is the first of a block with a number, the English one or, where the English
     does not end in a colon, the Arabic one; the rest is ``subtopic``. ``number``, ``title_en``, ``title_ar`` are
-    those of the level that the line sets; a title line completes the keyword's."""
+    those of the level that the line sets; a title line completes the keyword's. The blocks are dealt out by document
+    as they come, before a line has columns of its own."""
     by = W.partitionBy("doc").orderBy("block", "i")
-    p = paired_headings(blocks, ["doc", "block"]).withColumn("en", tx.strip("en")).withColumn("ar", tx.strip("ar"))
+    p = paired_headings(blocks.repartition("doc"), ["doc", "block"]).withColumn("en", tx.strip("en")).withColumn("ar", tx.strip("ar"))
     p = p.withColumn("k", tx.heading_keyword("en")).withColumn("rest_en", F.nullif(tx.strip("k.rest"), F.lit("")))
     am = F.col("ar").rlike(KEYWORD_AR)
     p = p.withColumn("word_ar", F.when(am, F.regexp_extract("ar", KEYWORD_AR, 2))).withColumn("rest_ar", F.when(am & F.col("k").isNotNull(), tx.clean_title_ar(F.regexp_extract("ar", KEYWORD_AR, 3))))
@@ -69,9 +71,10 @@ def classified(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _level_rows(lines: DataFrame) -> DataFrame:
+def _level_rows(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc, block, at, level, number, title_en, title_ar, kind): what is set, in the order of ``at`` within a block;
-    a block's subtopics are one, set last. Lines that a document's rows hold together are neither dealt out nor joined again."""
+    a block's subtopics are one, set last. ``keep`` names other columns of a line. Lines that a document's rows hold
+    together are neither dealt out nor joined again."""
     by = W.partitionBy("doc", "block").orderBy("i")
     so_far, whole = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sub = F.col("kind") == "subtopic"
@@ -81,15 +84,16 @@ def _level_rows(lines: DataFrame) -> DataFrame:
     last = seen.where(~sub | (F.col("_sub") == F.col("_subs")))
     of = lambda a, b, name: F.when(sub, a).otherwise(b).alias(name)
     titles = of(ordered("_en"), F.col("title_en"), "title_en"), of(F.nullif(ordered("_ar"), F.lit("")), F.col("title_ar"), "title_ar")
-    return last.select("doc", "block", of(F.lit(1e9), F.col("i").cast("double"), "at"), "level", of(F.lit(None), F.col("number"), "number"), *titles, "kind")
+    return last.select("doc", "block", of(F.lit(1e9), F.col("i").cast("double"), "at"), "level", of(F.lit(None), F.col("number"), "number"), *titles, "kind", *keep)
 
 
-def corrected(rows: DataFrame, fixes: list[dict]) -> DataFrame:
+def corrected(rows: DataFrame, fixes: list[dict], keep: tuple[str, ...] = ()) -> DataFrame:
     """Level rows with parts that the text leaves out (MIS-04): each fix (number, starts_at_book, title_en, title_ar),
     in rising order, holds from a book on. Where the part in force is a lower one or none the part is added
     before the book; where it is the part itself its missing titles are filled. The book's own row gives the part's, so that
-    a document's rows stay together."""
-    for fix in sorted(fixes, key=lambda f: f["number"]):
+    a document's rows stay together; parts added before one book stand in the order of the fixes. ``keep`` names
+    other columns, null in an added row."""
+    for k, fix in enumerate(sorted(fixes, key=lambda f: f["number"]), 1):
         by = W.partitionBy("doc").orderBy("block", "at")
         before, so_far = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(W.unboundedPreceding, 0)
         part = F.when(F.col("level") == "part", F.struct("number", "title_en", "title_ar"))
@@ -101,8 +105,9 @@ def corrected(rows: DataFrame, fixes: list[dict]) -> DataFrame:
         seen = seen.withColumn("_n", F.count("_what").over(so_far)).withColumn("_before", F.last(F.when(F.col("level") == "part", F.col("_n")), ignorenulls=True).over(before))
         new = F.col("_what").isNotNull() & (F.col("_n") - F.coalesce("_before", F.lit(0)) == 1)
         title = lambda c: F.when(F.col("_what") == "filled", F.coalesce(p[c], F.lit(fix[c]))).otherwise(F.lit(fix[c])).alias(c)
-        own = F.struct("at", "level", "number", "title_en", "title_ar", "kind")
-        added = F.struct((F.col("at") - 0.5).alias("at"), F.lit("part").alias("level"), F.lit(fix["number"]).cast("int").alias("number"), title("title_en"), title("title_ar"), F.col("_what").alias("kind"))
+        own = F.struct("at", "level", "number", "title_en", "title_ar", "kind", *keep)
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in keep]
+        added = F.struct((F.col("at") - 0.5 / k).alias("at"), F.lit("part").alias("level"), F.lit(fix["number"]).cast("int").alias("number"), title("title_en"), title("title_ar"), F.col("_what").alias("kind"), *none)
         rows = seen.select("doc", "block", F.inline(F.when(new, F.array(added, own)).otherwise(F.array(own))))
     return rows
 
@@ -127,24 +132,27 @@ def hierarchy(blocks: DataFrame, fixes: list[dict] | None = None) -> DataFrame:
 
 def heading_issues(blocks: DataFrame, fixes: list[dict] | None = None) -> DataFrame:
     """(doc, block, level, code) (STF-03): numbers that differ between the languages, keyword levels that do not rise
-    under their parent, headings that end a block without an Arabic title, and parts from the corrections."""
-    lines = cut(classified(blocks))  # several steps read the lines and the state
-    state = cut(_in_force(corrected(_level_rows(lines), fixes or [])))
-    before = state.withColumn("_old", F.lag(F.struct(*LEVELS)).over(W.partitionBy("doc").orderBy("pos")))
-    old = lambda x: F.col(f"_old.{x}.number")
-    falls = F.lit(False)
-    for x in LEVELS[:4]:
-        falls = falls | ((F.col("level") == x) & (F.col("number") <= old(x)))
-    row = lambda df, code, *more: df.select("doc", "block", F.lit(code).alias("code"), F.col("level"), *more)
-    found = row(lines.where("number_differs"), "HEADING_NUMBER_MISMATCH").union(row(lines.where("topic_differs"), "TOPIC_NUMBER_MISMATCH"))
-    found = found.union(row(before.where((F.col("kind") == "keyword") & falls), "HEADING_ORDER"))
-    fixed = state.where("kind IN ('added', 'filled')").groupBy("doc", "number", "kind").agg(F.min("block").alias("block"))
-    found = found.union(fixed.select("doc", "block", F.when(F.col("kind") == "added", "PART_CORRECTION").otherwise("PART_TITLE_FROM_OFFICIAL"), F.lit("part")))
-    touched = state.where("kind NOT IN ('added', 'filled')").select("doc", "block", "level").distinct()
-    ends = state.groupBy("doc", "block").agg(F.max("pos").alias("pos"), *(F.max_by(F.struct(F.col(x).alias("v")), "pos").alias(x) for x in LEVELS))
-    open_end = lines.groupBy("doc", "block").agg(F.max_by(F.when(F.col("waits"), F.col("level")), "i").alias("open"))
-    at_end = touched.join(ends, ["doc", "block"]).join(open_end, ["doc", "block"])
-    bare = F.lit(False)
+    under their parent, headings that end a block without an Arabic title, and parts from the corrections.
+
+    A document's lines are followed once, in windows of one order: nothing but the blocks is dealt out, joined or stored."""
+    lines, keep = classified(blocks), ("number_differs", "topic_differs", "open")
+    # the level whose titles a block's last line still waits for
+    whole = W.partitionBy("doc", "block").orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    lines = lines.withColumn("open", F.last(F.when(F.col("waits"), F.col("level"))).over(whole))
+    state = _in_force(corrected(_level_rows(lines, keep), fixes or [], keep))
+    by, block = W.partitionBy("doc").orderBy("block", "at"), W.partitionBy("doc", "block")
+    fixed = F.col("kind").isin("added", "filled")
+    fix = F.struct("number", "kind")
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    state = state.withColumns({"_old": F.lag(F.struct(*(F.col(x).number.alias(x) for x in LEVELS[:4]))).over(by), "_known": F.collect_set(F.when(fixed, fix)).over(before)})
+    state = state.withColumns({"_set": F.collect_set(F.when(~fixed, F.col("level"))).over(block), "_end": F.max("pos").over(block)})
+    any_of = lambda cs: reduce(Column.__or__, cs)
+    falls = any_of((F.col("level") == x) & (F.col("number") <= F.col(f"_old.{x}")) for x in LEVELS[:4])
+    found = [(F.col("number_differs"), "HEADING_NUMBER_MISMATCH", F.col("level")), (F.col("topic_differs"), "TOPIC_NUMBER_MISMATCH", F.col("level")), ((F.col("kind") == "keyword") & falls, "HEADING_ORDER", F.col("level"))]
+    first = ~F.array_contains("_known", fix)
+    found += [((F.col("kind") == kind) & first, code, F.lit("part")) for kind, code in (("added", "PART_CORRECTION"), ("filled", "PART_TITLE_FROM_OFFICIAL"))]
     for x in LEVELS:
-        bare = bare | ((F.col("level") == x) & F.col(f"{x}.v.title_en").isNotNull() & (F.col(f"{x}.v.title_en") != "") & F.col(f"{x}.v.title_ar").isNull())
-    return found.union(row(at_end.where(bare & ~F.col("level").eqNullSafe(F.col("open"))), "HEADING_NO_ARABIC")).select("doc", "block", "level", "code")
+        bare = (F.col(f"{x}.title_en") != "") & F.col(f"{x}.title_ar").isNull() & ~F.lit(x).eqNullSafe(F.col("open"))
+        found.append(((F.col("pos") == F.col("_end")) & F.array_contains("_set", x) & bare, "HEADING_NO_ARABIC", F.lit(x)))
+    codes = F.array_compact(F.array(*(F.when(c, F.struct(level.alias("level"), F.lit(code).alias("code"))) for c, code, level in found)))
+    return state.where(any_of(c for c, _, _ in found)).select("doc", "block", F.inline(codes))

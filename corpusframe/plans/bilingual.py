@@ -168,8 +168,10 @@ _SQL_BLOCKS = """WITH b AS (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenum
 
 def _blocks(spark, d) -> DataFrame:
     """A heading block for each order line: books and sections with both titles on one line, chapters with a title
-    line, topics numbered in one or both languages, subtopics of two lines; every tenth number differs."""
-    b = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("doc"), F.expr("l_orderkey * 10 + l_linenumber").alias("block")).agg(F.min("l_partkey").alias("p"), F.min("l_linenumber").alias("kind"), (F.min("l_orderkey") % 9 + 1).cast("int").alias("n"))
+    line, topics numbered in one or both languages, subtopics of two lines; every tenth number differs. Order lines
+    are dealt out by document before they become text."""
+    lines = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), "l_orderkey", "l_linenumber", "l_partkey").repartition("doc")
+    b = lines.groupBy("doc", F.expr("l_orderkey * 10 + l_linenumber").alias("block")).agg(F.min("l_partkey").alias("p"), F.min("l_linenumber").alias("kind"), (F.min("l_orderkey") % 9 + 1).cast("int").alias("n"))
     roman = F.element_at(F.array(*map(F.lit, ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"])), F.col("n"))
     word = F.element_at(F.array(*map(F.lit, tx.ORDINALS_AR)), F.when(F.expr("p % 10 = 0"), F.col("n") + 1).otherwise(F.col("n")))
     p = F.col("p").cast("string")
